@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from symbolmill.functions.names import class_part, schema_name, symbol_key
+from symbolmill.session import checkpointed
 
 #: A key is hot if it holds at least one in HOT_SHARE of all references.
 HOT_SHARE = 1000
+_CASE = ("ref_table", "ref_field", "ref_id", "recorded_at", "has_parent", "spans", "earliest")
 
 
 def _table_key(repo: Column, name: Column) -> Column:
@@ -33,25 +35,26 @@ def _table_key(repo: Column, name: Column) -> Column:
 
 
 def parent_spans(symbols: DataFrame, external: DataFrame, tables: DataFrame) -> DataFrame:
-    """All parents in long form: (parent_kind, key, born, died); ``born`` null means always alive."""
+    """All parents in long form: (parent_kind, key, born, died, never); ``born`` null means alive from the beginning.
+
+    ``never``: an index time that is missing is no eternal life but a candidate that never lives.
+    """
     always = F.lit(None).cast("timestamp_ntz")
     ts = lambda c: F.col(c).cast("timestamp_ntz")
-    own = symbols.select("symbol_id", "qualified_name", ts("indexed_at").alias("born"), ts("removed_at").alias("died"))
-    ext = external.select("symbol_id", "qualified_name", always.alias("born"), always.alias("died"))
-    every = own.withColumn("external", F.lit(False)).unionByName(ext.withColumn("external", F.lit(True)))
-    # an index time that is missing is not an eternal life: such a row is a candidate that is never alive
-    every = every.withColumn("never", ~F.col("external") & F.col("born").isNull())
-    by_name = every.filter(F.col("qualified_name").isNotNull()).select(
-        F.lit("name").alias("parent_kind"), symbol_key("qualified_name").alias("key"), "born", "died", "never"
+    own = symbols.select(
+        "symbol_id", "qualified_name", ts("indexed_at").alias("born"), ts("removed_at").alias("died"), F.col("indexed_at").isNull().alias("never")
     )
-    by_id = every.filter(F.col("symbol_id").isNotNull()).select(
-        F.lit("id").alias("parent_kind"), F.col("symbol_id").cast("string").alias("key"), "born", "died", "never"
+    ext = external.select("symbol_id", "qualified_name", always.alias("born"), always.alias("died"), F.lit(False).alias("never"))
+    kinds = F.array(
+        F.struct(F.lit("name").alias("parent_kind"), symbol_key("qualified_name").alias("key")),
+        F.struct(F.lit("id").alias("parent_kind"), F.col("symbol_id").cast("string").alias("key")),
     )
+    named = own.unionByName(ext).select("born", "died", "never", F.explode(F.filter(kinds, lambda x: x["key"].isNotNull())).alias("k"))
     db = tables.filter(F.col("normalized_name").isNotNull()).select(
         F.lit("table").alias("parent_kind"), _table_key(F.col("repo_id"), F.col("normalized_name")).alias("key"),
         ts("indexed_at").alias("born"), ts("removed_at").alias("died"), ts("indexed_at").isNull().alias("never"),
     )
-    return by_name.unionByName(by_id).unionByName(db)
+    return named.select("k.parent_kind", "k.key", "born", "died", "never").unionByName(db)
 
 
 def child_references(references: DataFrame, foreign_keys: DataFrame, tables: DataFrame) -> DataFrame:
@@ -85,43 +88,39 @@ def child_references(references: DataFrame, foreign_keys: DataFrame, tables: Dat
 
 
 def verdicts(parents: DataFrame, children: DataFrame) -> DataFrame:
-    """(parent_kind, key, n_refs, spans, earliest, has_parent) for every key that some child names.
+    """(parent_kind, key, has_parent, spans, earliest, n_refs, first_ref, last_ref) of every key.
 
-    For names without any candidate the candidates of the part before ``::`` count.
+    Parents with one end keep their earliest birth (a later birth with the same end adds
+    nothing), and what overlaps is merged before the lists are made, so a key that many
+    rows declare still has few spans.
     """
     g = ["parent_kind", "key"]
-    beginning = F.lit("0001-01-01").cast("timestamp_ntz")
-    # parents: spans with one end keep their earliest birth (a later birth with the same end adds nothing)
-    ends = parents.groupBy(*g, "died", "never").agg(F.min(F.coalesce("born", beginning)).alias("born"))
-    end = F.coalesce("died", F.lit("9999-12-31").cast("timestamp_ntz"))
-    running = F.max(end).over(W.partitionBy(*g).orderBy("born", end).rowsBetween(W.unboundedPreceding, -1))
-    islands = (
-        ends.filter(~F.col("never") & (end > F.col("born")))
-        .withColumn("end", end)
-        .withColumn("starts", F.when(F.col("born") <= running, 0).otherwise(1))
-        .withColumn("island", F.sum("starts").over(W.partitionBy(*g).orderBy("born", "end").rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(*g, "island")
-        .agg(F.min("born").alias("born"), F.max("end").alias("end"))
+    ntz = lambda v: F.lit(v).cast("timestamp_ntz")
+    rows = parents.groupBy(*g, "died", "never").agg(F.min(F.coalesce("born", ntz("0001-01-01"))).alias("born"))
+    lives = ~F.col("never") & (F.coalesce("died", ntz("9999-12-31")) > F.col("born"))
+    rows = rows.select(*g, "born", F.when(lives, F.coalesce("died", ntz("9999-12-31"))).alias("end"), F.when(~F.col("never"), F.col("born")).alias("seen"))
+    order = W.partitionBy(*g).orderBy("born", "end")
+    running = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.when(F.col("end").isNotNull() & (running.isNull() | (F.col("born") > running)), 1).otherwise(0)
+    rows = rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    spans = rows.groupBy(*g, "island").agg(
+        F.min(F.when(F.col("end").isNotNull(), F.col("born"))).alias("born"), F.max("end").alias("end"), F.min("seen").alias("earliest")
     )
-    life = islands.select(*g, F.lit(True).alias("is_parent"), "born", "end", F.col("born").alias("earliest"), F.lit(0).cast("long").alias("n"))
-    # candidates that never lived (or lived for no time) still are candidates
-    seen = ends.select(
-        *g, F.lit(True).alias("is_parent"), F.lit(None).cast("timestamp_ntz").alias("born"), F.lit(None).cast("timestamp_ntz").alias("end"),
-        F.when(~F.col("never"), F.col("born")).alias("earliest"), F.lit(0).cast("long").alias("n"),
+    none = ntz(None)
+    parent_rows = spans.select(*g, F.lit(True).alias("is_parent"), "born", "end", "earliest", F.lit(0).cast("long").alias("n"), none.alias("a"), none.alias("b"))
+    child_keys = children.groupBy(*g).agg(F.count("*").alias("n"), F.min("recorded_at").alias("a"), F.max("recorded_at").alias("b"), F.count("recorded_at").alias("dated"))
+    child_rows = child_keys.select(
+        *g, F.lit(False).alias("is_parent"), none.alias("born"), none.alias("end"), none.alias("earliest"), "n",
+        F.when(F.col("dated") == F.col("n"), F.col("a")).alias("a"), "b",
     )
-    seen = seen.groupBy(*g).agg(*[F.first(c).alias(c) for c in ("is_parent", "born", "end")], F.min("earliest").alias("earliest"), F.first("n").alias("n"))
-    keys = children.groupBy(*g).agg(F.count("*").alias("n"))
-    none = F.lit(None).cast("timestamp_ntz")
-    tagged = life.unionByName(seen).unionByName(
-        keys.select(*g, F.lit(False).alias("is_parent"), none.alias("born"), none.alias("end"), none.alias("earliest"), "n")
-    )
-    grouped = tagged.groupBy(*g).agg(
+    return parent_rows.unionByName(child_rows).groupBy(*g).agg(
         F.max("is_parent").alias("has_parent"),
         F.collect_list(F.when(F.col("born").isNotNull(), F.struct("born", "end"))).alias("spans"),
         F.min("earliest").alias("earliest"),
         F.sum("n").alias("n_refs"),
+        F.min("a").alias("first_ref"),
+        F.max("b").alias("last_ref"),
     )
-    return grouped
 
 
 def with_fallback(grouped: DataFrame) -> DataFrame:
@@ -135,12 +134,12 @@ def with_fallback(grouped: DataFrame) -> DataFrame:
         named.filter(lacking)
         .withColumn("class_key", class_part("key"))
         .join(classes, "class_key", "left")
-        .select(
-            "parent_kind", "key", F.col("class_spans").isNotNull().alias("has_parent"), F.coalesce("class_spans", "spans").alias("spans"),
-            F.col("class_earliest").alias("earliest"), "n_refs",
-        )
+        .withColumn("has_parent", F.col("class_spans").isNotNull())
+        .withColumn("spans", F.coalesce("class_spans", "spans"))
+        .withColumn("earliest", F.col("class_earliest"))
+        .select(*grouped.columns)
     )
-    return named.filter(~lacking).select(*fell.columns).unionByName(fell)
+    return named.filter(~lacking).unionByName(fell)
 
 
 def reference_orphans(
@@ -148,22 +147,20 @@ def reference_orphans(
 ) -> DataFrame:
     """One row per reference whose candidates all fail to live when it is recorded, with cause and month."""
     children = child_references(references, foreign_keys, tables)
-    judged = with_fallback(verdicts(parent_spans(symbols, external, tables), children))
-    # keys that live for all time can hold no case; they need not meet the references at all
-    total = judged.agg(F.sum("n_refs").alias("total"))
-    judged = judged.crossJoin(F.broadcast(total)).withColumn("hot", F.col("n_refs") * HOT_SHARE >= F.col("total")).drop("total", "n_refs")
+    grouped = checkpointed(verdicts(parent_spans(symbols, external, tables), children))
+    # a key whose candidates live from its first to its last reference holds no case
+    covered = F.exists("spans", lambda s: (s["born"] <= F.col("first_ref")) & (s["end"] > F.col("last_ref")))
+    judged = with_fallback(grouped).filter(~F.coalesce(covered, F.lit(False)))
+    total = 2 * references.count() + foreign_keys.count()  # counts over Parquet footers
+    judged = checkpointed(judged.select("parent_kind", "key", "has_parent", "spans", "earliest", (F.col("n_refs") * HOT_SHARE >= total).alias("hot")))
     hot = judged.filter("hot").withColumnRenamed("key", "hot_key").withColumnRenamed("parent_kind", "hot_kind")
     marked = children.join(F.broadcast(hot), (F.col("parent_kind") == F.col("hot_kind")) & (F.col("key") == F.col("hot_key")), "left")
-    cols = ["ref_table", "ref_field", "ref_id", "recorded_at", "has_parent", "spans", "earliest"]
-    busy = marked.filter("hot").select(*cols)
-    calm = marked.filter("hot is null").select(*children.columns).join(judged.filter("not hot").drop("hot"), ["parent_kind", "key"]).select(*cols)
+    calm = marked.filter("hot is null").select(*children.columns).join(judged.filter("not hot"), ["parent_kind", "key"])
+    met = marked.filter("hot").select(*_CASE).unionByName(calm.select(*_CASE))
     alive = F.exists("spans", lambda s: (s["born"] <= F.col("recorded_at")) & (s["end"] > F.col("recorded_at")))
-    cause = (
-        F.when(~F.col("has_parent"), "missing").when(F.col("earliest") <= F.col("recorded_at"), "deleted").otherwise("late")
-    )
+    cause = F.when(~F.col("has_parent"), "missing").when(F.col("earliest") <= F.col("recorded_at"), "deleted").otherwise("late")
     return (
-        busy.unionByName(calm)
-        .filter(~F.coalesce(alive, F.lit(False)))
+        met.filter(~F.coalesce(alive, F.lit(False)))
         .select("ref_table", "ref_field", "ref_id", cause.alias("cause"), F.date_format("recorded_at", "yyyy-MM").alias("period"))
         .distinct()
     )
