@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 from symbolmill.catalog import read
+from symbolmill.llm.docpairs import documented_functions, documented_symbols
 from symbolmill.llm.foreign import file_features, foreign_files
 from symbolmill.llm.packing import fill_containers, fill_report
 from symbolmill.llm.syntax import invalid_files, invalid_rates
 from symbolmill.llm.tokens import count_tokens, encode_documents
 
 
+def p4_found(spark, d):
+    return documented_symbols(read(spark, d, "symbols"), read(spark, d, "files"), with_code=False).select("symbol_id").distinct()
+
+
+def p4_pairs(spark, d):
+    return documented_symbols(read(spark, d, "symbols"), read(spark, d, "files"))
+
+
+def p4_functions(spark, d):
+    return documented_functions(read(spark, d, "files")).distinct()
+
+
 def p5_found(spark, d):
     return foreign_files(read(spark, d, "files"), read(spark, d, "external_symbols")).select("file_id")
 
@@ -46,7 +59,7 @@ def p8_report(spark, d):
     return fill_report(p8_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_reasons, p5_layout, p6_found, p6_rates, p7_ids, p7_counts, p8_containers, p8_report)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p4_functions, p5_found, p5_reasons, p5_layout, p6_found, p6_rates, p7_ids, p7_counts, p8_containers, p8_report)}
 
 SQL = {
     "p5_layout": r"""
