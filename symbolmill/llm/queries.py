@@ -6,6 +6,7 @@ from symbolmill.catalog import read
 from symbolmill.llm.docpairs import documented_functions, documented_symbols
 from symbolmill.llm.foreign import file_features, foreign_files
 from symbolmill.llm.packing import fill_containers, fill_report
+from symbolmill.llm.spans import SharedSpans
 from symbolmill.llm.syntax import invalid_files, invalid_rates
 from symbolmill.llm.tokens import count_tokens, encode_documents
 
@@ -59,7 +60,23 @@ def p8_report(spark, d):
     return fill_report(p8_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p4_functions, p5_found, p5_reasons, p5_layout, p6_found, p6_rates, p7_ids, p7_counts, p8_containers, p8_report)}
+def p9_found(spark, d):
+    return SharedSpans(read(spark, d, "documents")).pairs()
+
+
+def p9_shares(spark, d):
+    return SharedSpans(read(spark, d, "documents")).shares()
+
+
+def p9_passages(spark, d):
+    return SharedSpans(read(spark, d, "documents")).passages()
+
+
+_ALL = (
+    p4_found, p4_pairs, p4_functions, p5_found, p5_reasons, p5_layout, p6_found, p6_rates,
+    p7_ids, p7_counts, p8_containers, p8_report, p9_found, p9_shares, p9_passages,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 SQL = {
     "p5_layout": r"""
