@@ -91,7 +91,7 @@ def recursive_reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame
              SELECT e.dst, w.depth + 1 FROM walk w JOIN {edges} e ON e.src = w.node WHERE w.depth < {depth}),
            least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
            SELECT w.node, w.depth, count(*) AS n_paths FROM walk w JOIN least l ON w.node = l.node AND w.depth = l.depth GROUP BY 1, 2""",
-        edges=edges, seeds=seeds, depth=F.lit(depth),
+        edges=edges, seeds=seeds, depth=int(depth),
     )
 
 

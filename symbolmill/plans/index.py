@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symbolmill.catalog import read
 from symbolmill.operators import compare as C
+from symbolmill.operators import extract as X
 from symbolmill.operators import lines as L
 from symbolmill.operators import reports as R
 from symbolmill.operators import schema as S
@@ -259,8 +260,39 @@ def changeset(spark, d):
     return C.changeset(stored, files.filter("content is not null and content <> ''").select("repo_id", "path", "hash"))
 
 
+def php_symbols(spark, d):
+    """Symbols read from the sources of files that the index has symbols of."""
+    files = files_of(spark, d).join(read(spark, d, "symbols").select("file_id").distinct(), "file_id", "left_semi")
+    return X.php_symbols(files).select("file_id", "kind", "line_start", "line_end").distinct()
+
+
+def php_references(spark, d):
+    return X.php_references(files_of(spark, d)).groupBy("reference_kind").agg(F.count("*").alias("n_references"), F.countDistinct("target_qualified_name").alias("n_targets"))
+
+
+def ddl_columns(spark, d):
+    return X.ddl_columns(files_of(spark, d))
+
+
+def ddl_keys(spark, d):
+    """Keys that the statements of all deliveries declare, each once."""
+    texts = read(spark, d, "sql_statements").select("text").distinct()
+    rows = X.ddl_keys(texts.select(F.lit(0).alias("file_id"), F.lit("sql").alias("language"), F.col("text").alias("content")))
+    return rows.drop("file_id", "line_start").distinct()
+
+
+def ddl_tables(spark, d):
+    """Tables that the SQL files of the index create and its catalog lists, by name."""
+    made = X.ddl_columns(files_of(spark, d)).select("file_id", "table_name").distinct()
+    return made.join(read(spark, d, "db_tables").select("file_id", F.col("normalized_name").alias("table_name")).distinct(), ["file_id", "table_name"], "left_semi")
+
+
+def sql_file_statements(spark, d):
+    return X.sql_statements(files_of(spark, d)).groupBy("file_id").agg(F.count("*").alias("n_statements"), F.max("line_start").alias("last_line"))
+
+
 _ALL = (
-    resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
+    php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
     exception_summary, fk_graph_bfs, schema_counts, table_summary, table_search, fk_join_check, line_counts, enclosing_symbol, search_content,
     line_write_context, block_segments, comment_lines, table_refs, status, unresolved_categories, source_labels, namespace_prefixes, module_stats,
     module_table, module_dependencies, layer_violations, external_namespaces, kind_counts, interface_adoption, naming_ratios, freshness,

@@ -44,6 +44,8 @@ _FORWARD = "SELECT DISTINCT src, dst FROM e"
 _BACK = "SELECT DISTINCT dst AS src, src AS dst FROM e"
 
 SQL = {
+    "php_symbols": "SELECT DISTINCT file_id, kind, line_start, line_end FROM symbols",
+    "ddl_tables": "SELECT DISTINCT file_id, normalized_name AS table_name FROM db_tables WHERE file_id IN (SELECT file_id FROM files WHERE language = 'sql' AND content <> '') AND normalized_name IS NOT NULL",
     "resolve": _BASE
     + f""", names AS (SELECT {_KEY.format('qualified_name')} AS key, symbol_id, parent_symbol_id FROM s WHERE qualified_name IS NOT NULL),
 x AS (SELECT key, max(symbol_id) AS id FROM names GROUP BY 1), c AS (SELECT key, max(symbol_id) AS id FROM names WHERE parent_symbol_id IS NULL GROUP BY 1),
