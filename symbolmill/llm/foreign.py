@@ -166,25 +166,23 @@ def foreign_files(files: DataFrame, external: DataFrame) -> DataFrame:
     rows = file_features(files)
     inner = F.regexp_replace(F.coalesce("path", F.lit("")), r"^@[^/]*/", "")
     label = F.coalesce("source_label", F.regexp_extract(F.coalesce("path", F.lit("")), r"^@([^/]*)/", 1))
-    packages = external.filter(F.col("package_name").isNotNull()).select(F.lower("package_name").alias("package")).distinct()
+    packages = external.filter(F.col("package_name").isNotNull()).select(F.lit("package comment").alias("reason"), F.lower("package_name").alias("value"))
     # the packages' own namespaces, from the names of their symbols
-    spaces = (
-        external.filter(F.instr("qualified_name", "\\") > 0)
-        .select(F.lower(F.substring_index(F.regexp_replace("qualified_name", r"^\\", ""), "\\", 2)).alias("space"))
-        .distinct()
+    spaces = external.filter(F.instr("qualified_name", "\\") > 0).select(
+        F.lit("package namespace").alias("reason"), F.lower(F.substring_index(F.regexp_replace("qualified_name", r"^\\", ""), "\\", 2)).alias("value")
     )
+    known = packages.unionByName(spaces).distinct().withColumn("known", F.lit(True))
     tests = layout_verdicts() | {
         "vendored path": F.regexp_like(inner, F.lit(_FOREIGN_PATH)) | F.regexp_like(label, F.lit(_FOREIGN_LABEL)),
         "tool path": F.regexp_like(inner, F.lit(_TOOL_PATH)) & ~F.regexp_like(inner, F.lit(_OWN_CACHE)),
         "minified path": F.regexp_like(inner, F.lit(_MINIFIED_PATH)),
         "tool comment": F.col("tool_comment"),
     }
-    reasons = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]))
-    space = F.lower(F.substring_index("namespace", "\\", 2))
-    judged = rows.select("file_id", reasons.alias("reasons"), "package_names", space.alias("space"))
-    plain = judged.filter(F.size("reasons") > 0).select("file_id", F.explode("reasons").alias("reason"))
-    named = (
-        judged.select("file_id", F.explode("package_names").alias("package")).join(packages, "package", "left_semi").select("file_id", F.lit("package comment").alias("reason"))
-    )
-    spaced = judged.join(spaces, "space", "left_semi").select("file_id", F.lit("package namespace").alias("reason"))
-    return plain.unionByName(named).unionByName(spaced).groupBy("file_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    # signs that speak for themselves have no value; the others count if the value is a package's
+    sign = lambda reason, value: F.struct(F.lit(reason).alias("reason"), value.alias("value"))
+    plain = F.array_compact(F.array(*[F.when(c, sign(n, F.lit(None).cast("string"))) for n, c in tests.items()]))
+    named = F.transform("package_names", lambda p: sign("package comment", p))
+    spaced = F.array_compact(F.array(F.when(F.col("namespace").isNotNull(), sign("package namespace", F.lower(F.substring_index("namespace", "\\", 2))))))
+    signs = rows.select("file_id", F.explode(F.concat(plain, named, spaced)).alias("s")).select("file_id", "s.reason", "s.value")
+    judged = signs.join(known, ["reason", "value"], "left").filter(F.col("value").isNull() | F.col("known"))
+    return judged.groupBy("file_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
