@@ -197,10 +197,17 @@ def occurrences(documents: DataFrame, span: int = SPAN, phrase: int = PHRASE) ->
 
 
 def _common(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    return next(i for i in range(n) if a[i] != b[i])
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
 
 
 def class_links(classes: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
@@ -211,19 +218,23 @@ def class_links(classes: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> D
     need = span - phrase
     out = "phrase string, class_a string, class_b string, reach_before int, reach_after int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["class"], [x[::-1] for x in pdf.before], pdf.after, strict=True))
-        found = []
-        for i, (a, ab, af) in enumerate(rows):
-            for b, bb, bf in rows[i + 1 :]:
-                left, right = _common(ab, bb), _common(af, bf)
-                if left + right >= need:
-                    found.append((pdf.phrase.iloc[0], a, b, left, right))
-        return pd.DataFrame(found, columns=["phrase", "class_a", "class_b", "reach_before", "reach_after"])
-
-    sizes = classes.groupBy("phrase").agg(F.count("*").alias("m")).filter("m > 1")
-    several = classes.join(sizes, "phrase")
-    return several.filter(F.col("m") <= CLASSES).groupBy("phrase").applyInPandas(run, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple[str, str, str, int, int]] = []
+            for p, items in zip(b.column("phrase").to_pylist(), b.column("items").to_pylist(), strict=True):
+                rows = [(x["class"], x["before"][::-1], x["after"]) for x in items]
+                for i, (a, ab, af) in enumerate(rows):
+                    for other, bb, bf in rows[i + 1 :]:
+                        left, right = _common(ab, bb), _common(af, bf)
+                        if left + right >= need:
+                            found.append((p, a, other, left, right))
+            if found:
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [f.split()[0] for f in out.split(", ")])
+
+    sizes = classes.groupBy("phrase").agg(F.count("*").alias("m")).filter(F.col("m").between(2, CLASSES))
+    several = classes.join(sizes, "phrase").groupBy("phrase").agg(F.collect_list(F.struct("class", "before", "after")).alias("items"))
+    return several.mapInArrow(run, out)
 
 
 def class_keys(classes: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
