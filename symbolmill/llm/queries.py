@@ -78,6 +78,14 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
+#: All spans of 200 characters that stand in more than one document.
+_GRAMS = """
+WITH g AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+h AS (SELECT doc_id, i, substring(text, i, 200) AS s FROM g),
+m AS (SELECT s FROM h GROUP BY s HAVING min(doc_id) < max(doc_id)),
+shared AS (SELECT h.doc_id, h.i, h.s FROM h JOIN m USING (s))
+"""
+
 SQL = {
     "p5_layout": r"""
 WITH l AS (
@@ -86,4 +94,11 @@ WITH l AS (
 SELECT file_id, language, CAST(length(content) AS BIGINT) AS n_chars, CAST(len(lines) AS BIGINT) AS n_lines,
   CAST(coalesce(list_max(list_transform(lines, lambda x: length(x))), 0) AS BIGINT) AS max_line
 FROM l""",
+    "p9_found": _GRAMS
+    + """SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM shared a JOIN shared b ON a.s = b.s AND a.doc_id < b.doc_id""",
+    "p9_shares": _GRAMS
+    + """, c AS (SELECT doc_id, CAST(sum(least(200, n - i)) AS BIGINT) AS c FROM (
+  SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), i + 200) AS n FROM (SELECT DISTINCT doc_id, i FROM shared)) GROUP BY 1)
+SELECT d.doc_id, d.n AS n_chars, coalesce(c.c, 0) AS shared_chars, CASE WHEN d.n > 0 THEN round(coalesce(c.c, 0) / d.n, 6) ELSE 0.0 END AS shared_share
+FROM (SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents) d LEFT JOIN c USING (doc_id)""",
 }

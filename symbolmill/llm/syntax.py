@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 _OPEN, _LITERAL, _CONFLICT = "\x01", "\x02", "\x03"
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 _DELIMITER = re.compile(r"[()\[\]{}]")
-_MARKER = r"^(?:<{7}|>{7}|\|{7})(?:[ \t][^\r\n]*)?$|^={7}$"
+_MARKER = r"(?<![^\r\n])(?:(?:<{7}|>{7}|\|{7})(?:[ \t][^\r\n]*)?|={7})(?![^\r\n])"
 
 
 def unbalanced(code: str, pattern: re.Pattern[str] = _DELIMITER) -> str | None:
@@ -52,13 +52,19 @@ def _words(text: str) -> str:
     return "|".join(text.split())
 
 
+#: Keywords that open a declaration: no other name stands before them.
+_DECLARE = frozenset(("function", "class", "interface", "trait", "namespace", "import", "const", "let", "def"))
+
+
 def _neighbours(keywords: str, before: str = r"[\w$\\>.:@#&-]") -> Callable[[str], bool]:
     """Whether two names stand in a row of which neither is a keyword."""
     known = frozenset(keywords.split())
     pair = re.compile(rf"(?<!{before})([^\W\d]\w*+)[ \t]++(?=([^\W\d]\w*+))")
 
     def found(code: str) -> bool:
-        return any(a not in known and b not in known and a.lower() not in known and b.lower() not in known for a, b in pair.findall(code))
+        return any(
+            a not in known and a.lower() not in known and (b in _DECLARE or (b not in known and b.lower() not in known)) for a, b in pair.findall(code)
+        )
 
     return found
 
@@ -68,6 +74,7 @@ def _neighbours(keywords: str, before: str = r"[\w$\\>.:@#&-]") -> Callable[[str
 _PHP_TAG = re.compile(r"<\?(?:php\b|=|(?=\s))", re.I)
 _PHP_TOKEN = re.compile(
     r"(?P<comment>(?://|#(?!\[))[^\r\n]*?(?=\?>|[\r\n]|\Z)|/\*.*?\*/)"
+    r"|(?P<halt>\b__halt_compiler\s*\(\s*\)\s*(?:;|\?>).*\Z)"
     r"|(?P<html>\?>.*?(?:<\?(?:php\b|=|(?=\s))|\Z))"
     r"|(?P<conflict>" + _MARKER + r")"
     r"|(?P<literal>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\]|\\.)*`"
@@ -85,7 +92,7 @@ _PHP_NAMES = _neighbours(_PHP_KEYWORDS)
 _PHP_AFTER = _words("as and or xor instanceof insteadof else elseif endif endforeach endwhile endfor endswitch while catch finally extends implements")
 _PHP_WRONG = re.compile(
     rf"(?:{_LITERAL}|\$\w++)[ \t\r\n]*(?:{_LITERAL}|\$\w|(?!(?:{_PHP_AFTER})\b)[A-Za-z_]\w*)|\b\d+[ \t]+(?:\$\w|\d|{_LITERAL})"
-    r"|(?<![=!<>])=[ \t\r\n]*[;)\]}]|[^\s;,:(\[{}]\s*=>\s*[;)\]}]|->\s*[;)\]}=]|,\s*;|\(\s*,|(?<!use )\bfunction\s+\w+\s*[^\s(\w]|\b(?:class|interface|trait)\s+\w+\s*[;(=]",
+    r"|(?<![=!<>])=[ \t\r\n]*[;)\]}]|[^\s;,:(\[{}]\s*=>\s*[;)\]}]|(?<![=!<>])=[ \t]+=|\b(?:class|interface|trait|enum|function)\s+\d|->\s*[;)\]}=]|,\s*;|\(\s*,|(?<!use )\bfunction\s+\w+\s*[^\s(\w]|\b(?:class|interface|trait)\s+\w+\s*[;(=]",
     re.S,
 )
 
@@ -109,7 +116,7 @@ def _replace(m: re.Match[str]) -> str:
     kind = m.lastgroup
     if kind == "comment":
         return " "
-    if kind == "html":
+    if kind in ("html", "halt"):
         return ";"
     if kind == "conflict":
         return _CONFLICT
@@ -142,7 +149,7 @@ _TS_KEYWORDS = (
 _TS_NAMES = _neighbours(_TS_KEYWORDS, r"[\w$.@#-]")
 _TS_WRONG = re.compile(
     rf"(?:{_LITERAL})[ \t]*(?:{_LITERAL}|(?!(?:as|in|of|instanceof|satisfies|from|is|with|assert)\b)[A-Za-z_$]\w*)|\b\d+[ \t]+(?:[A-Za-z_]\w*|\d|{_LITERAL})(?<!\bin)(?<!\bas)(?<!\bof)"
-    r"|(?<![=!<>])=[ \t\r\n]*[;)\]}]|,\s*;|\(\s*,|<\?php|\bimport\s+\w+\s*[\r\n;]|^\s*def\s+\w+\s*\(|^\s*#(?!\w)|\$\w+\s*->|^\s*(?:use|namespace)\s+[\w\\]+;",
+    r"|(?<![=!<>])=[ \t\r\n]*[;)\]}]|(?<![=!<>])=[ \t]+=|\b(?:class|interface|enum|function|const|let|var)\s+\d|\b(?:const|let|var)\s*[=;]|,\s*;|\(\s*,|<\?php|\bimport\s+\w+\s*[\r\n;]|^\s*def\s+\w+\s*\(|^\s*#(?!\w)|\$\w+\s*->|^\s*(?:use|namespace)\s+[\w\\]+;",
     re.S | re.M,
 )
 _TS_BROKEN = re.compile(r"\b(?:const|let|var|return|function|class|interface|export|import|from|new|extends|implements|if|for|while|throw|else|case|typeof|await|of|in)\s*\Z|[=+*/,.:?&|(\[{<-]\s*\Z")
@@ -272,13 +279,25 @@ _SQL_STARTS = _words(
 )
 _SQL_HEAD = re.compile(rf"\s*(?:\(\s*)*(?:{_SQL_STARTS})\b", re.I)
 _N = rf"(?:[\w$#@]|{_LITERAL})+(?:\s*\.\s*(?:[\w$#@]|{_LITERAL})+)*"
+_OBJECTS = _words(
+    "table view index sequence schema database user role function procedure trigger type domain extension policy rule aggregate cast collation "
+    "conversion language operator publication subscription server statistics tablespace text event package synonym partition constraint column "
+    "default login queue assembly certificate group profile directory library cluster catalog macro stream task stage warehouse pipe"
+)
+_OBJECT_WORDS = (
+    r"(?:unique|clustered|nonclustered|columnstore|fulltext|spatial|bitmap|temp|temporary|unlogged|global|local|external|virtual|foreign|materialized|"
+    r"recursive|force|editionable|noneditionable|public|private|constraint|event|definer\s*=\s*\S+|algorithm\s*=\s*\w+|sql\s+security\s+\w+|"
+    r"transient|secure|live|streaming|trusted|default|access|body)"
+)
 _SQL_FORMS = [
     (re.compile(p, re.I | re.S), re.compile(q, re.I | re.S))
     for p, q in (
         (r"\s*insert\b", rf"\s*insert\s+(?:or\s+\w+\s+|ignore\s+|low_priority\s+|delayed\s+|overwrite\s+|all\s+)*(?:into\s+)?(?:table\s+)?{_N}\s*(?:as\s+\w+\s*)?(?:\(.*?\)\s*)?(?:overriding\s+\w+\s+value\s+)?(?:values?\b|select\b|with\b|set\b|default\b|exec|table\b|\().*[^\s,=]\s*"),
         (r"\s*update\b", rf"\s*update\s+.*?\bset\s+{_N}\s*=\s*\S.*"),
-        (r"\s*delete\b", rf"\s*delete\s+(?:from\s+)?(?:only\s+)?{_N}.*"),
-        (r"\s*drop\b", rf"\s*drop\s+\w+.*\s{_N}.*"),
+        (r"\s*delete\b", rf"\s*delete\s+(?:top\s*\(.*?\)\s*|low_priority\s+|quick\s+|ignore\s+)*(?:{_N}(?:\s*,\s*{_N})*\s+)?from\s+(?:only\s+)?{_N}.*"),
+        (r"\s*drop\b", rf"\s*drop\s+(?:temporary\s+|materialized\s+|foreign\s+|public\s+)*(?:{_OBJECTS})\b.*\s{_N}.*"),
+        (r"\s*create\b", rf"\s*create\s+(?:or\s+(?:replace|alter)\s+)?(?:{_OBJECT_WORDS}\s+)*(?:{_OBJECTS})\b.*"),
+        (r"\s*alter\b", rf"\s*alter\s+(?:{_OBJECT_WORDS}\s+)*(?:{_OBJECTS})\b.*"),
         (r"\s*create\s+(?:unique\s+)?(?:clustered\s+|nonclustered\s+|fulltext\s+|spatial\s+)?index\b", r".*\bon\b.*\(.+\).*"),
         (r"\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+|unlogged\s+|external\s+|global\s+|local\s+)*table\b", r"\s*create\s.*\btable\b.+(?:\(|\bas\b|\blike\b|\bof\b|\bclone\b|\busing\b|\blocation\b).*"),
         (r"\s*create\s+(?:or\s+replace\s+)?(?:materialized\s+|temp(?:orary)?\s+)*view\b", r".*\bas\b\s*.*\S.*"),

@@ -8,6 +8,7 @@ GOOD = {
         "<?php $a = <<<TXT\nIt's { not ( closed\n  TXT;\n$b = \"x {$a['k']} (\"; # it's\n#[Attr(1)]\nfunction f() { return match(true) { default => '}' }; }",
         "<p>it's ( html</p><?= $x ?> more { html <?php if ($a): ?>x<?php endif; ?>",
         "<?php // ends ?>\n<b>don't</b>",
+        "<?php f();\n__halt_compiler();\n{{ [ unused don't\n",
         "<?php\n/* <<<<<<< HEAD */\n$s = '\n=======\n';\n",
         "<?php echo 'a' . 'b', $x and $y; foreach ($a as $k => [$b, , $c]) { static fn() => $k instanceof D; }",
         "﻿<?php\r\nnamespace A\\B;\r\nuse function X\\y;\r\nabstract class Z { abstract protected function q(array $a): void; }\r\n",
@@ -19,6 +20,7 @@ GOOD = {
         "CREATE FUNCTION f() RETURNS int AS $$ begin return 'a; end $$ LANGUAGE plpgsql;",
         "ALTER TABLE t ADD COLUMN c INT; DROP TABLE IF EXISTS t; CREATE UNIQUE INDEX i ON t (a, b); CREATE VIEW v AS SELECT 1",
         "WITH a AS (SELECT 1) SELECT * FROM a; COMMIT; BEGIN; SET x = 1",
+        "CREATE OR REPLACE FORCE VIEW v AS SELECT 1; DELETE t FROM t JOIN u ON t.a = u.a; DELETE FROM t; CREATE TEMPORARY TABLE x (a INT); ALTER VIEW v AS SELECT 2; DROP MATERIALIZED VIEW v",
         "INSERT INTO tmp VALUES\n(1, 2, 'ab'),\n(3, -4, 'cd');\n",
     ],
     "typescript": [
@@ -32,13 +34,13 @@ BAD = {
     "php": [
         "UPDATE a SET b = 1;", "no tag", "<?php class A { function f() { }", "<?php $a = 'open;\n$b = 1;\n", "<?php f(]);", "<?php }", "<?php /* open",
         "<?php $a = <<<TXT\nnever closed\n", "<?php\nclass A {\n<<<<<<< HEAD\n$a;\n=======\n$b;\n>>>>>>> x\n}", "<?php $count = (7 + ;", "<?php function (asset { }",
-        "<?php This is prose about the weather.", "<?php use A\\B;\nuse C", "<?php $x = ;",
+        "<?php This is prose about the weather.", "<?php use A\\B;\nuse C", "<?php $x = ;", "<?php class 9lives {}", "<?php\r\n$a = 1;\r\n<<<<<<< HEAD\r\n$b = 2;\r\n", "<?php $a = = 3;",
     ],
     "sql": [
         "# Title\n\nWhen the cat sleeps it dreams.\n", "CREATE TABLE t (a INT", "UPDATE p SET note = 'open WHERE id = 3;\n", "SELECT a,, b FROM t;", "DELETE FROM", "<?php echo 1;",
-        "INSERT INTO t (a) VALUES", "CREATE TABLE t (a INT));", "import x from 'y';", "UPDATE t SET a",
+        "INSERT INTO t (a) VALUES", "CREATE TABLE t (a INT));", "import x from 'y';", "UPDATE t SET a", "CREATE TABEL t (id INT);", "DELETE FORM t WHERE a = 1;", "DROP TABEL t;", "ALTER TABEL t ADD c INT;",
     ],
-    "typescript": ["function f() {", "const a = `x ${b", "const a = 'x\nconst b = 1;", "def f(x):\n    return x\n", "CREATE TABLE t (a INT);", "<?php echo 1;", "const a = (1];", "export function f(a: number"],
+    "typescript": ["function f() {", "const a = `x ${b", "const a = 'x\nconst b = 1;", "def f(x):\n    return x\n", "CREATE TABLE t (a INT);", "<?php echo 1;", "const a = (1];", "let total = = 3;", "const = 4;", "exprot function f() {}", "class 9a {}", "export function f(a: number"],
     "python": ["def f(x):\n  return (x\n", "x = 'a\n", "def (x):\n    pass\n", "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\n", "const a = {};\n", "for x in y:\n", "'''open"],
 }
 
