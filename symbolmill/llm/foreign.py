@@ -156,9 +156,8 @@ def layout_verdicts() -> dict[str, Column]:
 
 _FOREIGN_PATH = r"(?:^|/)(?:vendor|vendors|vendored|node_modules|bower_components|third[-_]?party|external|externals)/"
 _FOREIGN_LABEL = r"(?i)^(?:vendor|third[-_]?party|external)|vendor[-_]mirror"
-_TOOL_PATH = r"(?i)(?:^|/)(?:generated|__generated__|gen|autogen)/|(?:^|/)(?:var/)?cache/(?:[\w.-]+/)*[\w.-]+$|\.(?:pb|generated|g|gen|designer)\.\w+$|_pb2(?:_grpc)?\.py$"
-_OWN_CACHE = r"(?:^|/)src/Cache/"
-_MINIFIED_PATH = r"(?i)[.-](?:min|bundle)\.\w+$"
+_TOOL_PATH = r"(?:^|/)(?:[Gg]enerated|__generated__|__CG__|autogen)/|(?:^|/)(?:var|storage|bootstrap|tmp|temp)/cache/|^\.?cache/|\.(?:pb|pb2|generated|g|gen|designer)\.\w+$|_pb2(?:_grpc)?\.py$"
+_MINIFIED_PATH = r"(?i)\.(?:min|bundle)\.\w+$"
 
 
 def foreign_files(files: DataFrame, external: DataFrame) -> DataFrame:
@@ -174,7 +173,7 @@ def foreign_files(files: DataFrame, external: DataFrame) -> DataFrame:
     known = packages.unionByName(spaces).distinct().withColumn("known", F.lit(True))
     tests = layout_verdicts() | {
         "vendored path": F.regexp_like(inner, F.lit(_FOREIGN_PATH)) | F.regexp_like(label, F.lit(_FOREIGN_LABEL)),
-        "tool path": F.regexp_like(inner, F.lit(_TOOL_PATH)) & ~F.regexp_like(inner, F.lit(_OWN_CACHE)),
+        "tool path": F.regexp_like(inner, F.lit(_TOOL_PATH)),
         "minified path": F.regexp_like(inner, F.lit(_MINIFIED_PATH)),
         "tool comment": F.col("tool_comment"),
     }

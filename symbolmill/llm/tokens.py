@@ -41,7 +41,7 @@ _PLAIN = re.compile(
 )
 _RARE = re.compile("[^\x00-\x1b\x20-\x7f\u00a1-\u00a9\u00aa-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2013\u2014\u2018-\u201e\u2022\u2026]")
 #: Words kept between batches of a task.
-_KEPT = 400_000
+_KEPT = 300_000
 
 
 def words_of(text: str) -> list[str]:
@@ -193,7 +193,7 @@ def encoder(path: str) -> TextEncoder:
     return _ENCODERS[path]
 
 
-def _parts(batch: pa.RecordBatch, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text at most (one row at least)."""
     sizes = np.array([len(x) if x else 0 for x in batch.column("text").to_pylist()], dtype=np.int64)
     start, total = 0, 0
