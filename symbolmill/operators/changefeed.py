@@ -35,7 +35,7 @@ from symbolmill.functions.ddl import schema_events
 from symbolmill.session import checkpointed
 
 _EVENTS = (
-    "repo_id long, seq struct<rank:long,path:string,line:int,idx:int>, level string, op string, "
+    "repo_id long, seq struct<rank:double,path:string,line:int,idx:int>, level string, op string, "
     "table_name string, column_name string, other string, data_type string"
 )
 
@@ -58,17 +58,20 @@ def latest_state(
     return last.filter(F.col("change.operation") != "delete").select(*keys, "change.sequence", "change.payload")
 
 
+#: What the parts of a version weigh in the order of scripts, and the rank of scripts without one.
+VERSION_WEIGHTS, UNVERSIONED = (1_000_000, 10_000, 100, 1), 999_999_999
+
+
 def script_rank(path: Column) -> Column:
-    """Initial sources first, then by version, the rest last."""
+    """Initial sources first, then by version, the rest at a fixed rank (a double, so no version is too large)."""
     low = F.lower(path)
     version = r"(\d+)[_.](\d+)[_.](\d+)[_.](\d+)"
-    part = lambda i: F.regexp_extract(low, version, i).cast("decimal(38,0)")
-    number = F.lit(1) + part(1) * 1_000_000 + part(2) * 10_000 + part(3) * 100 + part(4)
+    part = lambda i: F.regexp_extract(low, version, i).try_cast("double")
+    number = sum((part(i + 1) * w for i, w in enumerate(VERSION_WEIGHTS)), F.lit(1.0))
     return (
-        F.when(F.regexp_like(low, F.lit(r"(?s)\binitial\b.*\bsource\b")), F.lit(0).cast("decimal(38,0)"))
+        F.when(F.regexp_like(low, F.lit(r"(?s)\binitial\b.*\bsource\b")), F.lit(0.0))
         .when(F.regexp_like(low, F.lit(version)), number)
-        .otherwise(F.lit(999_999_999).cast("decimal(38,0)"))
-        .cast("long")
+        .otherwise(F.lit(float(UNVERSIONED)))
     )
 
 
@@ -106,7 +109,7 @@ def settle(events: DataFrame, scope: Sequence[str]) -> DataFrame:
     """
     scope = list(scope)
     log = events.select(*scope, "name", F.struct("seq", "op", "other", "payload").alias("e"))
-    seq = "struct<rank:long,path:string,line:int,idx:int>"
+    seq = "struct<rank:double,path:string,line:int,idx:int>"
     steps = f"array<struct<name:string,since:{seq},until:{seq}>>"
     backs = f"array<struct<name:string,until:{seq},depth:int>>"
     nothing = F.lit(None).cast(seq)

@@ -54,13 +54,17 @@ def name_tokens(name: Column | str) -> Column:
     return F.array_distinct(F.concat(F.array(F.array_join(words, "")), words))
 
 
+#: What each way of matching is worth in a suggestion.
+SCORES = {"name": 120, "qualified": 110, "suffix": 70, "name_part": 50, "qualified_part": 40, "name_word": 12, "qualified_word": 8}
+
+
 def suggestion_score(wanted: str, name: Column | str, qualified: Column | str) -> Column:
     """C4 without its fixed pre-limit: weights of equal, ending and containing names, and of shared words."""
     name, qualified, low = F.lower(as_column(name)), F.lower(as_column(qualified)), wanted.lower()
     words = F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(F.lit(wanted), r"\\", " "), r"([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+"), lambda w: w != "")
-    score = F.when(name == low, 120).otherwise(0) + F.when(qualified == low, 110).otherwise(0) + F.when(F.endswith(qualified, F.lit(low)), 70).otherwise(0)
-    score = score + F.when(F.contains(name, F.lit(low)), 50).otherwise(0) + F.when(F.contains(qualified, F.lit(low)), 40).otherwise(0)
-    per_word = F.aggregate(words, F.lit(0), lambda acc, w: acc + F.when(F.contains(name, w), 12).otherwise(0) + F.when(F.contains(qualified, w), 8).otherwise(0))
+    score = F.when(name == low, SCORES["name"]).otherwise(0) + F.when(qualified == low, SCORES["qualified"]).otherwise(0) + F.when(F.endswith(qualified, F.lit(low)), SCORES["suffix"]).otherwise(0)
+    score = score + F.when(F.contains(name, F.lit(low)), SCORES["name_part"]).otherwise(0) + F.when(F.contains(qualified, F.lit(low)), SCORES["qualified_part"]).otherwise(0)
+    per_word = F.aggregate(words, F.lit(0), lambda acc, w: acc + F.when(F.contains(name, w), SCORES["name_word"]).otherwise(0) + F.when(F.contains(qualified, w), SCORES["qualified_word"]).otherwise(0))
     return score + per_word
 
 

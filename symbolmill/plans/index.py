@@ -14,6 +14,7 @@ from symbolmill.operators import lines as L
 from symbolmill.operators import reports as R
 from symbolmill.operators import schema as S
 from symbolmill.operators import traverse as G
+from symbolmill.operators import usage as U
 from symbolmill.operators.resolve import current, resolve_references
 from symbolmill.plans.index_sql import SQL
 
@@ -291,8 +292,47 @@ def sql_file_statements(spark, d):
     return X.sql_statements(files_of(spark, d)).groupBy("file_id").agg(F.count("*").alias("n_statements"), F.max("line_start").alias("last_line"))
 
 
+def body_previews(spark, d):
+    return U.body_previews(L.file_lines(read(spark, d, "files")), symbols_of(spark, d))
+
+
+def symbol_card(spark, d):
+    edges = _edges(spark, d)
+    return U.symbol_card(symbols_of(spark, d), references_of(spark, d), G.busiest(edges, "src"))
+
+
+def table_usage(spark, d):
+    refs = L.table_tokens(L.file_lines(read(spark, d, "files")), read(spark, d, "db_tables"))
+    return U.table_usage(refs, files_of(spark, d), R.layer_of("path"), R.is_test_path("path"))
+
+
+def column_mentions(spark, d):
+    own = tables_of(spark, d).select("table_id", F.col("normalized_name").alias("table_name"))
+    columns = keys_of(spark, d).select("table_id", F.explode("source_columns").alias("c")).join(own, "table_id").select("table_name", F.lower("c").alias("column_name"))
+    return U.column_mentions(L.file_lines(read(spark, d, "files")), columns.filter("table_name is not null"))
+
+
+def literal_sql_tables(spark, d):
+    code = read(spark, d, "files").filter("language <> 'sql'")
+    return U.literal_sql_tables(L.file_lines(code), read(spark, d, "db_tables"))
+
+
+def seed_dedup(spark, d):
+    """The kind of reference each file makes most."""
+    own = symbols_of(spark, d).select(F.col("symbol_id").alias("source_symbol_id"), "file_id")
+    counted = references_of(spark, d).join(own, "source_symbol_id").groupBy("file_id", "reference_kind").agg(F.count("*").alias("weight"))
+    return U.dedup_seeds(counted, "file_id", "weight", "reference_kind")
+
+
+def context_requirements(spark, d):
+    """Exceptions that can be thrown within four steps of the busiest symbol, at their least depth."""
+    symbols, edges = symbols_of(spark, d), _edges(spark, d)
+    thrown = symbols.select(F.col("symbol_id").alias("node"), F.explode("metadata.thrown_exceptions").alias("context_key"))
+    return U.requirements(G.reach(edges, G.busiest(edges, "src"), 4), thrown.filter("context_key is not null").distinct())
+
+
 _ALL = (
-    php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
+    body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
     exception_summary, fk_graph_bfs, schema_counts, table_summary, table_search, fk_join_check, line_counts, enclosing_symbol, search_content,
     line_write_context, block_segments, comment_lines, table_refs, status, unresolved_categories, source_labels, namespace_prefixes, module_stats,
     module_table, module_dependencies, layer_violations, external_namespaces, kind_counts, interface_adoption, naming_ratios, freshness,

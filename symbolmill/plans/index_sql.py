@@ -190,3 +190,47 @@ SELECT a, b, count(*) FILTER (WHERE y.sig IS NULL) AS n_only_a, count(*) FILTER
 SQL["missing_everywhere"] = (
     _BASE + _PAIRS + "SELECT DISTINCT p.a, m.member FROM pairs p JOIN m ON m.owner = p.a WHERE NOT EXISTS (SELECT 1 FROM pairs q JOIN m o ON o.owner = q.b WHERE q.a = p.a AND o.member = m.member)"
 )
+
+_REFS = r""", n AS (SELECT DISTINCT normalized_name AS token FROM db_tables WHERE normalized_name IS NOT NULL),
+x AS (SELECT file_id, line_number, line, unnest(list_distinct(regexp_extract_all(lower(line), '[a-z_][a-z0-9_]*'))) AS token FROM l WHERE NOT regexp_matches(trim(line), '^(?://|#|/\*|\*)'))"""
+SQL["table_usage"] = (
+    SQL["table_refs"].replace("SELECT DISTINCT file_id, CAST(line_number AS INTEGER) AS line_number, token AS table_name, kind FROM (SELECT *,", ", u AS (SELECT DISTINCT file_id, line_number, token AS table_name, kind FROM (SELECT *,")
+    + f""")
+SELECT u.table_name, u.kind, {_LAYER} AS layer, {_TEST} AS is_test, count(*) AS n_lines, count(DISTINCT u.file_id) AS n_files FROM u JOIN f USING (file_id) GROUP BY ALL"""
+)
+SQL["body_previews"] = (
+    _BASE
+    + """, b AS (SELECT s.symbol_id, list(trim(l.line) ORDER BY l.line_number) AS b FROM s JOIN l ON l.file_id = s.file_id AND l.line_number > s.line_start AND l.line_number <= s.line_end
+  WHERE s.kind = 'method' AND s.line_end - s.line_start <= 40 AND trim(l.line) NOT IN ('', '{', '}', '};') GROUP BY 1)
+SELECT symbol_id, array_to_string(CASE WHEN len(b) > 8 THEN list_append(b[:8], '...') ELSE b END, chr(10)) AS preview FROM b"""
+)
+SQL["symbol_card"] = (
+    _BASE
+    + """, o AS (SELECT node, node AS owner FROM root UNION ALL SELECT root.node, s.symbol_id FROM s JOIN root ON s.parent_symbol_id = root.node)
+SELECT node, section, via_symbol_id, other, reference_kind, count(*) AS n FROM (
+  SELECT o.node, 'out' AS section, r.source_symbol_id AS via_symbol_id, r.target_qualified_name AS other, r.reference_kind FROM r JOIN o ON o.owner = r.source_symbol_id
+  UNION ALL SELECT root.node, 'in', root.node, CAST(r.source_symbol_id AS VARCHAR), r.reference_kind FROM r JOIN root ON r.target_symbol_id = root.node) GROUP BY ALL"""
+)
+SQL["column_mentions"] = (
+    _BASE
+    + _REFS
+    + """, c AS (SELECT DISTINCT t.normalized_name AS table_name, lower(c) AS column_name FROM (SELECT table_id, unnest(source_columns) AS c FROM k) JOIN t USING (table_id) WHERE t.normalized_name IS NOT NULL)
+SELECT DISTINCT x.file_id, CAST(x.line_number AS INTEGER) AS line_number, c.table_name, c.column_name FROM x JOIN c ON c.column_name = x.token WHERE EXISTS (SELECT 1 FROM x y WHERE y.file_id = x.file_id AND y.token = c.table_name)"""
+)
+SQL["literal_sql_tables"] = (
+    _BASE
+    + r""", q AS (SELECT DISTINCT file_id, line_number, unnest(regexp_extract_all(lower(line), '\b(?:from|join|into|update)\s+[`"\[]?([a-z_][a-z0-9_.]*)', 1)) AS table_name FROM l
+  WHERE language <> 'sql' AND regexp_matches(line, '(?i)\b(select\s.+\sfrom|insert\s+into|update\s+\S+\s+set|delete\s+from)\b') AND NOT regexp_matches(trim(line), '^(?://|#|/\*|\*)'))
+SELECT file_id, CAST(line_number AS INTEGER) AS line_number, table_name, EXISTS (SELECT 1 FROM db_tables d WHERE d.normalized_name = q.table_name) AS is_known FROM q"""
+)
+SQL["seed_dedup"] = (
+    _BASE
+    + """, c AS (SELECT s.file_id, r.reference_kind, count(*) AS weight FROM r JOIN s ON s.symbol_id = r.source_symbol_id GROUP BY 1, 2)
+SELECT file_id, weight, reference_kind FROM c QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY weight DESC, reference_kind) = 1"""
+)
+SQL["context_requirements"] = (
+    _BASE
+    + f""", step AS ({_FORWARD}), w(node, depth) AS (SELECT node, 0 FROM root UNION SELECT step.dst, w.depth + 1 FROM w JOIN step ON step.src = w.node WHERE w.depth < 4),
+m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1), x AS (SELECT DISTINCT symbol_id AS node, unnest(metadata.thrown_exceptions) AS context_key FROM s)
+SELECT context_key, CAST(min(depth) AS INTEGER) AS depth FROM m JOIN x USING (node) WHERE context_key IS NOT NULL GROUP BY 1"""
+)

@@ -87,6 +87,7 @@ def test_renames_drops_and_late_deliveries(spark):
         (1, v(4), 1, 1, "drop table a"),
         (1, v(4), 2, None, None),
         (1, v(5), 1, 1, "alter table b change w [V] varchar(3) not null, modify z char(2)"),
+        (5, "db/99999999999999999999_1_1_1/x.sql", 1, 1, "create table t (late int)"), (5, "a.sql", 1, 1, "create table t (early int)"),
         (2, v(6), 1, 1, "alter table unknown add x int"),
         (3, v(10), 1, 1, "drop table t"),
         (3, v(9), 1, 1, "create table t (a int)"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from symbolmill.functions.names import schema_name, unquote_name
 from symbolmill.functions.php_source import Source
-from symbolmill.operators import compare, extract, lines, reports, schema, traverse
+from symbolmill.operators import compare, extract, lines, reports, schema, traverse, usage
 from symbolmill.operators.resolve import resolve_references
 
 
@@ -142,3 +142,28 @@ def test_extractors_on_tables(spark):
     mapped = spark.createDataFrame([(1, "php", '#[ORM\\Table(name: "users")] #[Column(name: "id")] $this->args[\'k\'] $this->args["k"]')], "file_id long, language string, content string")
     assert rows(extract.orm_mappings(mapped)) == {(1, "Table", "users"), (1, "Column", "id")}
     assert rows(extract.context_keys(mapped)) == {(1, "k")}
+
+
+def test_usage(spark):
+    text = "a();\n\n{\n  b();\n}\n" + "".join(f"x{i}();\n" for i in range(20))
+    files = spark.createDataFrame([(1, "p", text)], "file_id long, path string, content string")
+    symbols = spark.createDataFrame([(1, 1, "method", 1, 5), (2, 1, "method", 5, 25), (3, 1, "class", 1, 25), (4, 1, "method", 1, 99)], "symbol_id long, file_id long, kind string, line_start int, line_end int")
+    got = dict(rows(usage.body_previews(lines.file_lines(files), symbols)))
+    assert got[1] == "b();" and got[2].endswith("x7();\n...") and set(got) == {1, 2}
+    code = spark.createDataFrame([(1, "p", "$q = 'SELECT id FROM users u JOIN gone g';\n// SELECT x FROM users\n$from = users();"), (2, "q", None)], "file_id long, path string, content string")
+    tables = spark.createDataFrame([("users",), (None,)], "normalized_name string")
+    assert rows(usage.literal_sql_tables(lines.file_lines(code), tables)) == {(1, 1, "users", True), (1, 1, "gone", False)}
+    columns = spark.createDataFrame([("users", "id"), ("other", "id")], "table_name string, column_name string")
+    assert rows(usage.column_mentions(lines.file_lines(code), columns)) == {(1, 1, "users", "id")}
+    seeds = spark.createDataFrame([("a", 3, "z"), ("a", 5, "y"), ("a", 5, "x"), ("b", 1, "q")], "path string, weight int, via string")
+    assert rows(usage.dedup_seeds(seeds, "path", "weight", "via")) == {("a", 5, "x"), ("b", 1, "q")}
+    hints = spark.createDataFrame([("a", "r", 8), ("a", "r", 8), ("a", "s", 2)], "path string, reason string, score int")
+    assert [(r.score, r.reasons) for r in usage.merge_hints(hints, ["path"]).collect()] == [(10, ["r", "s"])]
+    assert [r.score for r in usage.merge_hints(hints, ["path"], False).collect()] == [18]
+
+
+def test_line_windows_and_blocks(spark):
+    text = "UPDATE t\n  SET payload = 1;\nSELECT 1\nFROM t\n\nfunction x() {\nreturn payload;\n"
+    df = lines.file_lines(spark.createDataFrame([(1, "p", text)], "file_id long, path string, content string"))
+    assert rows(lines.write_context(df, "PAYLOAD")) == {(1, 2, True), (1, 7, False)}
+    assert rows(lines.sql_blocks(df)) == {(1, 1, 2, 2), (1, 3, 4, 2)}
