@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolmill.operators.lines import comment_only
+from symbolmill.operators.lines import comment_only, enclosing
+from symbolmill.operators.traverse import outermost, reach, reverse
 
 
 def body_previews(lines: DataFrame, symbols: DataFrame, most_lines: int = 40, shown: int = 8) -> DataFrame:
@@ -84,3 +85,18 @@ def merge_hints(hints: DataFrame, keys: Sequence[str], once_per_reason: bool = T
 def requirements(reached: DataFrame, keys: DataFrame) -> DataFrame:
     """Least depth of each context key (node, context_key) over the nodes reached (node, depth)."""
     return reached.join(keys, "node").groupBy("context_key").agg(F.min("depth").alias("depth"))
+
+
+def upstream_touchpoints(points: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame, layer: Column, bridges: Sequence[str], depth: int = 3) -> DataFrame:
+    """Symbols that reach the given lines (file_id, line_number) from outside: (symbol_id, depth).
+
+    Lines lead to their innermost symbol and its outermost container; containers in a
+    bridging layer start at depth 1, and users of them (or of their containers) follow.
+    """
+    inner = enclosing(points, symbols).filter("symbol_id is not null").select(F.col("symbol_id").alias("node")).distinct()
+    tops = outermost(symbols.select(F.col("symbol_id").alias("node"), F.col("parent_symbol_id").alias("parent")))
+    at = symbols.select(F.col("symbol_id").alias("top"), "file_id").join(files.select("file_id", layer.alias("layer")), "file_id")
+    seeds = inner.join(tops, "node").select("top").distinct().join(at, "top").filter(F.col("layer").isin(*bridges)).select(F.col("top").alias("node"))
+    lift = symbols.filter("parent_symbol_id is not null").select(F.col("symbol_id").alias("node"), F.col("parent_symbol_id").alias("parent"))
+    found = reach(reverse(edges), seeds, depth, lift=lift)
+    return found.select(F.col("node").alias("symbol_id"), (F.col("depth") + 1).alias("depth"))

@@ -331,8 +331,15 @@ def context_requirements(spark, d):
     return U.requirements(G.reach(edges, G.busiest(edges, "src"), 4), thrown.filter("context_key is not null").distinct())
 
 
+def upstream_touchpoints(spark, d):
+    """Symbols that reach lines with literal SQL through the outer layers."""
+    code = L.file_lines(read(spark, d, "files").filter("language <> 'sql'"))
+    points = U.literal_sql_tables(code, read(spark, d, "db_tables"))
+    return U.upstream_touchpoints(points, symbols_of(spark, d), files_of(spark, d), _edges(spark, d), R.layer_of("path"), ("Http", "Command", "Listener"))
+
+
 _ALL = (
-    body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
+    upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
     exception_summary, fk_graph_bfs, schema_counts, table_summary, table_search, fk_join_check, line_counts, enclosing_symbol, search_content,
     line_write_context, block_segments, comment_lines, table_refs, status, unresolved_categories, source_labels, namespace_prefixes, module_stats,
     module_table, module_dependencies, layer_violations, external_namespaces, kind_counts, interface_adoption, naming_ratios, freshness,

@@ -234,3 +234,14 @@ SQL["context_requirements"] = (
 m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1), x AS (SELECT DISTINCT symbol_id AS node, unnest(metadata.thrown_exceptions) AS context_key FROM s)
 SELECT context_key, CAST(min(depth) AS INTEGER) AS depth FROM m JOIN x USING (node) WHERE context_key IS NOT NULL GROUP BY 1"""
 )
+SQL["upstream_touchpoints"] = (
+    SQL["literal_sql_tables"].replace("SELECT file_id, CAST(line_number AS INTEGER) AS line_number, table_name, EXISTS", ", p AS (SELECT DISTINCT file_id, line_number FROM q), unused AS (SELECT file_id, table_name, EXISTS")
+    + f"""), h AS (SELECT s.symbol_id, row_number() OVER (PARTITION BY p.file_id, p.line_number ORDER BY CASE WHEN kind IN ('method', 'function') THEN 0 ELSE 1 END, line_end - line_start, line_start, symbol_id) AS n
+  FROM p JOIN s ON s.file_id = p.file_id AND p.line_number BETWEEN s.line_start AND s.line_end),
+c(node, top, height) AS (SELECT symbol_id, symbol_id, 0 FROM s UNION ALL SELECT c.node, p2.symbol_id, c.height + 1 FROM c JOIN s c2 ON c2.symbol_id = c.top JOIN s p2 ON p2.symbol_id = c2.parent_symbol_id WHERE c.height < 32),
+o AS (SELECT node, arg_max(top, height) AS top FROM c GROUP BY 1),
+seed AS (SELECT DISTINCT o.top AS node FROM h JOIN o ON o.node = h.symbol_id JOIN s ON s.symbol_id = o.top JOIN f USING (file_id) WHERE h.n = 1 AND {_LAYER} IN ('Http', 'Command', 'Listener')),
+step AS ({_BACK}), up AS (SELECT src, dst FROM step UNION SELECT step.src, s.parent_symbol_id FROM step JOIN s ON s.symbol_id = step.dst WHERE s.parent_symbol_id IS NOT NULL),
+w(node, depth) AS (SELECT node, 0 FROM seed UNION SELECT up.dst, w.depth + 1 FROM w JOIN up ON up.src = w.node WHERE w.depth < 3)
+SELECT node AS symbol_id, CAST(min(depth) + 1 AS INTEGER) AS depth FROM w GROUP BY node"""
+)
