@@ -14,9 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """(file_id, path, line_number, line) of all distinct files."""
-    rows = files.select("file_id", "path", "content").filter(F.col("content").isNotNull()).dropDuplicates(["file_id"])
+def file_lines(files: DataFrame, unique: bool = True) -> DataFrame:
+    """(file_id, path, line_number, line) of all files.
+
+    ``unique`` drops repeated deliveries first, which moves whole contents (by file_id,
+    as the windows below need them anyway). Operators whose result is a set of lines do
+    without and drop repeats from the little they find.
+    """
+    rows = files.select("file_id", "path", "content").filter(F.col("content").isNotNull())
+    if unique:
+        rows = rows.dropDuplicates(["file_id"])
     parts = F.split("content", "\r\n|\r|\n", -1)
     return rows.select("file_id", "path", F.posexplode(parts).alias("i", "line")).select("file_id", "path", (F.col("i") + 1).alias("line_number"), "line")
 
@@ -84,5 +91,5 @@ def table_tokens(lines: DataFrame, tables: DataFrame) -> DataFrame:
 
 def search_content(lines: DataFrame, needle: str, limit: int = 100) -> DataFrame:
     """The first ``limit`` lines with ``needle`` in order of path, file and line (a top-k, not a cap on the search)."""
-    hit = lines.filter(F.contains(F.lower("line"), F.lit(needle.lower())))
+    hit = lines.filter(F.contains(F.lower("line"), F.lit(needle.lower()))).distinct()
     return hit.orderBy("path", "file_id", "line_number").limit(limit).select("file_id", "path", "line_number", F.trim("line").alias("preview"))
