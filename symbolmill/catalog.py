@@ -47,6 +47,16 @@ def read(spark: SparkSession, base: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, base: str, table: str) -> DataFrame:
+    """A table whose texts are parsed: a scan with fewer splits than cores is dealt out over them.
+
+    Large tables have more splits than that and are read as they lie, without a shuffle.
+    """
+    df = read(spark, base, table)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def empty(spark: SparkSession, table: str) -> DataFrame:
     """An empty catalog table with its declared schema."""
     return spark.createDataFrame([], SCHEMAS[table])

@@ -75,7 +75,7 @@ def table_tokens(lines: DataFrame, tables: DataFrame) -> DataFrame:
     Tokens meet names in an equi-join; no pattern is built per table.
     """
     names = tables.select(F.col("normalized_name").alias("token")).filter(F.col("token").isNotNull()).distinct()
-    tokens = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("line"), F.lit(r"[a-z_][a-z0-9_]*"), F.lit(0)), lambda t: t))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(r"[a-z_][a-z0-9_]*"), F.lit(0)))
     rows = lines.filter(~comment_only("line")).select("file_id", "line_number", "line", F.explode(tokens).alias("token"))
     hit = rows.join(names, "token")
     before = F.lower(F.expr("substring(lower(line), 1, instr(lower(line), token) - 1)"))
@@ -86,7 +86,9 @@ def table_tokens(lines: DataFrame, tables: DataFrame) -> DataFrame:
         .when(F.regexp_like(before, F.lit(r"return\s+['\"]$")), "quoted_return")
         .when(F.regexp_like(before, F.lit(r"['\"]$")), "quoted_literal")
     )
-    return hit.select("file_id", "line_number", F.col("token").alias("table_name"), kind.alias("kind")).filter("kind is not null").distinct()
+    # classified inside the aggregation: as a plain filter the patterns would be pushed below the join, to every token
+    rows = hit.groupBy("file_id", "line_number", F.col("token").alias("table_name")).agg(F.max(kind).alias("kind"))
+    return rows.filter("kind is not null")
 
 
 def search_content(lines: DataFrame, needle: str, limit: int = 100) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from symbolmill.catalog import read
+from symbolmill.catalog import read, read_spread
 from symbolmill.operators import compare as C
 from symbolmill.operators import extract as X
 from symbolmill.operators import lines as L
@@ -142,24 +142,24 @@ def enclosing_symbol(spark, d):
 
 
 def search_content(spark, d):
-    return L.search_content(L.file_lines(read(spark, d, "files"), unique=False), "snapshot")
+    return L.search_content(L.file_lines(read_spread(spark, d, "files"), unique=False), "snapshot")
 
 
 def line_write_context(spark, d):
-    return L.write_context(L.file_lines(read(spark, d, "files")), "payload")
+    return L.write_context(L.file_lines(read_spread(spark, d, "files")), "payload")
 
 
 def block_segments(spark, d):
-    return L.sql_blocks(L.file_lines(read(spark, d, "files").filter("language = 'sql'")))
+    return L.sql_blocks(L.file_lines(read_spread(spark, d, "files").filter("language = 'sql'")))
 
 
 def comment_lines(spark, d):
-    rows = L.file_lines(read(spark, d, "files"))
+    rows = L.file_lines(read_spread(spark, d, "files"))
     return rows.groupBy("file_id").agg(F.count("*").alias("n_lines"), F.count_if(L.comment_only("line")).alias("n_comment_lines"))
 
 
 def table_refs(spark, d):
-    return L.table_tokens(L.file_lines(read(spark, d, "files"), unique=False), read(spark, d, "db_tables"))
+    return L.table_tokens(L.file_lines(read_spread(spark, d, "files"), unique=False), read(spark, d, "db_tables"))
 
 
 def status(spark, d):
@@ -263,16 +263,16 @@ def changeset(spark, d):
 
 def php_symbols(spark, d):
     """Symbols read from the sources of files that the index has symbols of."""
-    found = X.php_symbols(read(spark, d, "files")).select("file_id", "kind", "line_start", "line_end").distinct()
+    found = X.php_symbols(read_spread(spark, d, "files")).select("file_id", "kind", "line_start", "line_end").distinct()
     return found.join(read(spark, d, "symbols").select("file_id").distinct(), "file_id", "left_semi")
 
 
 def php_references(spark, d):
-    return X.php_references(read(spark, d, "files")).distinct().groupBy("reference_kind").agg(F.count("*").alias("n_references"), F.countDistinct("target_qualified_name").alias("n_targets"))
+    return X.php_references(read_spread(spark, d, "files")).distinct().groupBy("reference_kind").agg(F.count("*").alias("n_references"), F.countDistinct("target_qualified_name").alias("n_targets"))
 
 
 def ddl_columns(spark, d):
-    return X.ddl_columns(read(spark, d, "files")).distinct()
+    return X.ddl_columns(read_spread(spark, d, "files")).distinct()
 
 
 def ddl_keys(spark, d):
@@ -284,16 +284,16 @@ def ddl_keys(spark, d):
 
 def ddl_tables(spark, d):
     """Tables that the SQL files of the index create and its catalog lists, by name."""
-    made = X.ddl_columns(read(spark, d, "files")).select("file_id", "table_name").distinct()
+    made = X.ddl_columns(read_spread(spark, d, "files")).select("file_id", "table_name").distinct()
     return made.join(read(spark, d, "db_tables").select("file_id", F.col("normalized_name").alias("table_name")).distinct(), ["file_id", "table_name"], "left_semi")
 
 
 def sql_file_statements(spark, d):
-    return X.sql_statements(read(spark, d, "files")).distinct().groupBy("file_id").agg(F.count("*").alias("n_statements"), F.max("line_start").alias("last_line"))
+    return X.sql_statements(read_spread(spark, d, "files")).distinct().groupBy("file_id").agg(F.count("*").alias("n_statements"), F.max("line_start").alias("last_line"))
 
 
 def body_previews(spark, d):
-    return U.body_previews(L.file_lines(read(spark, d, "files")), symbols_of(spark, d))
+    return U.body_previews(L.file_lines(read_spread(spark, d, "files")), symbols_of(spark, d))
 
 
 def symbol_card(spark, d):
@@ -302,18 +302,18 @@ def symbol_card(spark, d):
 
 
 def table_usage(spark, d):
-    refs = L.table_tokens(L.file_lines(read(spark, d, "files"), unique=False), read(spark, d, "db_tables"))
+    refs = L.table_tokens(L.file_lines(read_spread(spark, d, "files"), unique=False), read(spark, d, "db_tables"))
     return U.table_usage(refs, files_of(spark, d), R.layer_of("path"), R.is_test_path("path"))
 
 
 def column_mentions(spark, d):
     own = tables_of(spark, d).select("table_id", F.col("normalized_name").alias("table_name"))
     columns = keys_of(spark, d).select("table_id", F.explode("source_columns").alias("c")).join(own, "table_id").select("table_name", F.lower("c").alias("column_name"))
-    return U.column_mentions(L.file_lines(read(spark, d, "files"), unique=False), columns.filter("table_name is not null"))
+    return U.column_mentions(L.file_lines(read_spread(spark, d, "files"), unique=False), columns.filter("table_name is not null"))
 
 
 def literal_sql_tables(spark, d):
-    code = read(spark, d, "files").filter("language <> 'sql'")
+    code = read_spread(spark, d, "files").filter("language <> 'sql'")
     return U.literal_sql_tables(L.file_lines(code, unique=False), read(spark, d, "db_tables"))
 
 
@@ -333,7 +333,7 @@ def context_requirements(spark, d):
 
 def upstream_touchpoints(spark, d):
     """Symbols that reach lines with literal SQL through the outer layers."""
-    code = L.file_lines(read(spark, d, "files").filter("language <> 'sql'"), unique=False)
+    code = L.file_lines(read_spread(spark, d, "files").filter("language <> 'sql'"), unique=False)
     points = U.literal_sql_tables(code, read(spark, d, "db_tables"))
     return U.upstream_touchpoints(points, symbols_of(spark, d), files_of(spark, d), _edges(spark, d), R.layer_of("path"), ("Http", "Command", "Listener"))
 
