@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symbolmill.catalog import read
+from symbolmill.catalog import read, read_spread
 from symbolmill.llm.docpairs import documented_functions, documented_symbols
 from symbolmill.llm.foreign import file_features, foreign_files
 from symbolmill.llm.packing import fill_containers, fill_report
@@ -12,48 +12,48 @@ from symbolmill.llm.tokens import count_tokens, encode_documents
 
 
 def p4_found(spark, d):
-    return documented_symbols(read(spark, d, "symbols"), read(spark, d, "files"), with_code=False).select("symbol_id").distinct()
+    return documented_symbols(read(spark, d, "symbols"), read_spread(spark, d, "files"), with_code=False).select("symbol_id").distinct()
 
 
 def p4_pairs(spark, d):
-    return documented_symbols(read(spark, d, "symbols"), read(spark, d, "files"))
+    return documented_symbols(read(spark, d, "symbols"), read_spread(spark, d, "files"))
 
 
 def p4_functions(spark, d):
-    return documented_functions(read(spark, d, "files")).distinct()
+    return documented_functions(read_spread(spark, d, "files")).distinct()
 
 
 def p5_found(spark, d):
-    return foreign_files(read(spark, d, "files"), read(spark, d, "external_symbols")).select("file_id")
+    return foreign_files(read_spread(spark, d, "files"), read(spark, d, "external_symbols")).select("file_id")
 
 
 def p5_reasons(spark, d):
-    return foreign_files(read(spark, d, "files"), read(spark, d, "external_symbols"))
+    return foreign_files(read_spread(spark, d, "files"), read(spark, d, "external_symbols"))
 
 
 def p5_layout(spark, d):
     cols = ("file_id", "language", "n_chars", "n_lines", "max_line")
-    return file_features(read(spark, d, "files")).select(*cols).distinct()
+    return file_features(read_spread(spark, d, "files")).select(*cols).distinct()
 
 
 def p6_found(spark, d):
-    return invalid_files(read(spark, d, "files")).select("file_id")
+    return invalid_files(read_spread(spark, d, "files")).select("file_id")
 
 
 def p6_rates(spark, d):
-    return invalid_rates(read(spark, d, "files"))
+    return invalid_rates(read_spread(spark, d, "files"))
 
 
 def p7_ids(spark, d):
-    return encode_documents(read(spark, d, "documents"))
+    return encode_documents(read_spread(spark, d, "documents"))
 
 
 def p7_counts(spark, d):
-    return count_tokens(read(spark, d, "documents"))
+    return count_tokens(read_spread(spark, d, "documents"))
 
 
 def p8_containers(spark, d):
-    return fill_containers(read(spark, d, "documents"), read(spark, d, "container_sizes"))
+    return fill_containers(read_spread(spark, d, "documents"), read(spark, d, "container_sizes"))
 
 
 def p8_report(spark, d):
@@ -61,15 +61,15 @@ def p8_report(spark, d):
 
 
 def p9_found(spark, d):
-    return SharedSpans(read(spark, d, "documents")).pairs()
+    return SharedSpans(read_spread(spark, d, "documents")).pairs()
 
 
 def p9_shares(spark, d):
-    return SharedSpans(read(spark, d, "documents")).shares()
+    return SharedSpans(read_spread(spark, d, "documents")).shares()
 
 
 def p9_passages(spark, d):
-    return SharedSpans(read(spark, d, "documents")).passages()
+    return SharedSpans(read_spread(spark, d, "documents")).passages()
 
 
 _ALL = (
