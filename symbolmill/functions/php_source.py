@@ -19,14 +19,14 @@ _BLANK = re.compile(
 )
 _MODS = r"(?P<mods>(?:(?:public|protected|private|static|abstract|final|readonly|var)\s+)*)"
 _TYPE = r"[?\w\\|&() ]+?"
-_CLASS = re.compile(r"(?<![\w$>:\\])(?P<mods>(?:(?:abstract|final|readonly)\s+)*)(?P<kind>class|interface|trait|enum)\s+(?P<name>[^\W\d]\w*)(?P<head>[^{};]*)\{", re.I)
-_FUNCTION = re.compile(rf"(?<![\w$>:\\]){_MODS}function\s+&?\s*(?P<name>[^\W\d]\w*)\s*\(", re.I)
-_PROPERTY = re.compile(rf"(?<![\w$>:\\(,])(?P<mods>(?:(?:public|protected|private|static|readonly|var)\s+)+)(?P<type>{_TYPE})?\s*\$(?P<name>\w+)", re.I)
-_CONSTANT = re.compile(rf"(?<![\w$>:\\]){_MODS}const\s+(?:{_TYPE}\s+)?(?P<name>[^\W\d]\w*)\s*=", re.I)
+_CLASS = re.compile(r"\b(?<![$>:\\])(?P<mods>(?:(?:abstract|final|readonly)\s+)*)(?P<kind>class|interface|trait|enum)\s+(?P<name>[^\W\d]\w*)(?P<head>[^{};]*)\{", re.I)
+_FUNCTION = re.compile(rf"\b(?<![$>:\\]){_MODS}function\s+&?\s*(?P<name>[^\W\d]\w*)\s*\(", re.I)
+_PROPERTY = re.compile(rf"\b(?<![$>:\\(,])(?P<mods>(?:(?:public|protected|private|static|readonly|var)\s+)+)(?P<type>{_TYPE})?\s*\$(?P<name>\w+)", re.I)
+_CONSTANT = re.compile(rf"\b(?<![$>:\\]){_MODS}const\s+(?:{_TYPE}\s+)?(?P<name>[^\W\d]\w*)\s*=", re.I)
 _PROMOTED = re.compile(rf"(?P<mods>(?:(?:public|protected|private|readonly)\s+)+)(?P<type>{_TYPE})?\s*(?:\.\.\.)?&?\$(?P<name>\w+)", re.I)
-_NAMESPACE = re.compile(r"(?<![\w$>:\\])namespace\s+([\w\\]+)\s*;", re.I)
-_USE = re.compile(r"(?<![\w$>:\\])use\s+(?!function\b|const\b)\\?([\w\\]+?)(?:\\\{([^}]*)\}|\s+as\s+(\w+))?\s*;", re.I)
-_TRAITS = re.compile(r"(?<![\w$>:\\)])use\s+([\w\\\s,]+)[;{]", re.I)
+_NAMESPACE = re.compile(r"\b(?<![$>:\\])namespace\s+([\w\\]+)\s*;", re.I)
+_USE = re.compile(r"\b(?<![$>:\\])use\s+(?!function\b|const\b)\\?([\w\\]+?)(?:\\\{([^}]*)\}|\s+as\s+(\w+))?\s*;", re.I)
+_TRAITS = re.compile(r"\b(?<![$>:\\)])use\s+([\w\\\s,]+)[;{]", re.I)
 _BUILTIN = frozenset("array bool callable false float int iterable mixed never null object parent self static string true void resource".split())
 _NEW = re.compile(r"\bnew\s+(\\?[^\W\d][\w\\]*)")
 _STATIC = re.compile(r"(?<![\w$>])(\\?[^\W\d][\w\\]*)::(\$?\w+)\s*(\()?")
