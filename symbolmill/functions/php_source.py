@@ -51,9 +51,16 @@ class Reference(NamedTuple):
     line: int
 
 
+def _spaces(text: str) -> str:
+    """Blanks in place of all but line ends."""
+    if "\r" in text:
+        return re.sub(r"[^\r\n]", " ", text)
+    return "\n".join([" " * len(part) for part in text.split("\n")])
+
+
 def blanked(text: str) -> str:
     """The text with comments and literals turned into blanks of equal length."""
-    return _BLANK.sub(lambda m: re.sub(r"[^\r\n]", " ", m[0]), text)
+    return _BLANK.sub(lambda m: _spaces(m[0]), text)
 
 
 def _partner(code: str, start: int) -> int:
@@ -71,11 +78,11 @@ def outer_level(code: str) -> str:
     out, depth, at = [], 0, 0
     for m in re.finditer(r"[{}]", code):
         part = code[at : m.start()]
-        out.append(part if depth == 0 else re.sub(r"[^\r\n]", " ", part))
+        out.append(part if depth == 0 else _spaces(part))
         out.append(m[0])
         depth = depth + 1 if m[0] == "{" else max(0, depth - 1)
         at = m.end()
-    out.append(code[at:] if depth == 0 else re.sub(r"[^\r\n]", " ", code[at:]))
+    out.append(code[at:] if depth == 0 else _spaces(code[at:]))
     return "".join(out)
 
 

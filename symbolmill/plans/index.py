@@ -261,8 +261,13 @@ def changeset(spark, d):
     return C.changeset(stored, files.filter("content is not null and content <> ''").select("repo_id", "path", "hash"))
 
 
+def php_symbols_all(spark, d):
+    """Symbols read from the sources of all files, with all that is read of them."""
+    return X.php_symbols(read_spread(spark, d, "files")).distinct()
+
+
 def php_symbols(spark, d):
-    """Symbols read from the sources of files that the index has symbols of."""
+    """Comparison of ``php_symbols_all`` with the index: places of symbols in files that ``symbols`` has rows of."""
     found = X.php_symbols(read_spread(spark, d, "files")).select("file_id", "kind", "line_start", "line_end").distinct()
     return found.join(read(spark, d, "symbols").select("file_id").distinct(), "file_id", "left_semi")
 
@@ -339,7 +344,7 @@ def upstream_touchpoints(spark, d):
 
 
 _ALL = (
-    upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
+    upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols_all, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
     exception_summary, fk_graph_bfs, schema_counts, table_summary, table_search, fk_join_check, line_counts, enclosing_symbol, search_content,
     line_write_context, block_segments, comment_lines, table_refs, status, unresolved_categories, source_labels, namespace_prefixes, module_stats,
     module_table, module_dependencies, layer_violations, external_namespaces, kind_counts, interface_adoption, naming_ratios, freshness,

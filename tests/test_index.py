@@ -8,6 +8,7 @@ from symbolmill.functions.names import schema_name, unquote_name
 from symbolmill.functions.php_source import Source
 from symbolmill.operators import compare, extract, lines, reports, schema, traverse, usage
 from symbolmill.operators.resolve import resolve_references
+from symbolmill.plans import index
 
 
 def rows(df):
@@ -144,6 +145,31 @@ def test_extractors_on_tables(spark):
     assert rows(extract.context_keys(mapped)) == {(1, "k")}
 
 
+def test_php_symbols_of_all_files(spark, tmp_path):
+    """Against what a generator of sources says it wrote; only one of the files has rows in ``symbols``."""
+    rnd, files, want = random.Random(5), [], set()
+    for i in range(12):
+        text, at = ["<?php", f"namespace N{i};"], 2
+        for k in range(rnd.randrange(4)):
+            kind, own = rnd.choice(["class", "interface", "trait"]), f"N{i}\\T{k}"
+            start, body = at + 1, [f"{kind} T{k}", "{"]
+            for m in range(rnd.randrange(3)):
+                vis = rnd.choice(["public", "protected", "private"])
+                body += [f"    {vis} function m{m}(int $a)", "    {", "        return 'function x() {';", "    }"]
+                want.add((i, "method", f"m{m}", f"{own}::m{m}", own, vis, at + len(body) - 3, at + len(body)))
+            text, at = text + [*body, "}"], at + len(body) + 1
+            want.add((i, kind, f"T{k}", own, None, None, start, at))
+        text, at = [*text, "function f() {}"], at + 1
+        want.add((i, "function", "f", f"N{i}\\f", None, None, at, at))
+        files.append((i, "PHP" if i % 2 else "php", "\n".join(text)))
+    spark.createDataFrame([*files, files[0], (90, "php", None), (91, "sql", files[0][2])], "file_id long, language string, content string").write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame([(0,)], "file_id long").write.parquet(f"{tmp_path}/symbols.parquet")
+    got = index.QUERIES["php_symbols_all"](spark, str(tmp_path))
+    cols = ("file_id", "kind", "name", "qualified_name", "parent_name", "visibility", "line_start", "line_end")
+    assert rows(got.select(*cols)) == want and got.count() == len(want)
+    assert {r.file_id for r in index.QUERIES["php_symbols"](spark, str(tmp_path)).collect()} == {0}
+
+
 def test_usage(spark):
     text = "a();\n\n{\n  b();\n}\n" + "".join(f"x{i}();\n" for i in range(20))
     files = spark.createDataFrame([(1, "p", text)], "file_id long, path string, content string")
