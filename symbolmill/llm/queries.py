@@ -69,7 +69,7 @@ def p9_shares(spark, d):
 
 
 def p9_passages(spark, d):
-    return SharedSpans(read_spread(spark, d, "documents")).passages()
+    return SharedSpans(read_spread(spark, d, "documents"), beyond=1).passages()
 
 
 _ALL = (

@@ -25,12 +25,15 @@ Edge cases: null, empty and short texts share nothing and have a share of 0; nul
 are left out of pairs; repeated rows of one id are one text; texts that repeat a span
 only within themselves share nothing; positions and lengths are in code points, line
 ends are characters; very long texts are read whole; empty tables give an empty result;
-other columns are ignored.
+other columns are ignored. A text that has the windows of a passage, but nowhere in one
+piece (since it repeats some of them), has its own pieces under ids of their own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -147,9 +150,8 @@ def _routed(texts: DataFrame, shards: int, span: int, phrase: int) -> DataFrame:
     return texts.select("doc_id", "text", "found").mapInArrow(run, schema)
 
 
-def _streamed(rows: DataFrame, span: int, phrase: int) -> DataFrame:
+def _streamed(rows: DataFrame, reach: int, phrase: int) -> DataFrame:
     """Occurrences (phrase, doc_id, pos, before, after) of every phrase of a shard in every text of it."""
-    reach = span - phrase
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, automaton = None, None
@@ -173,8 +175,8 @@ def _streamed(rows: DataFrame, span: int, phrase: int) -> DataFrame:
     return rows.mapInArrow(run, "phrase string, doc_id long, pos int, before string, after string")
 
 
-def occurrences(documents: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
-    """All occurrences of the recurring phrases, with what stands around them."""
+def occurrences(documents: DataFrame, span: int = SPAN, phrase: int = PHRASE, beyond: int = 0) -> DataFrame:
+    """All occurrences of the recurring phrases, with what stands around them and ``beyond`` characters more."""
     taken = phrases_taken(documents, span, phrase)
     recurring = checkpointed(taken.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("hash"))
     shards = 1 + recurring.count() // SHARD_PHRASES
@@ -193,7 +195,7 @@ def occurrences(documents: DataFrame, span: int = SPAN, phrase: int = PHRASE) ->
     machine = confirmed.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("tag"), none.cast("long").alias("doc_id"), "phrase", none.cast("string").alias("text"))
     stream = routed.filter("text is not null").join(copies, "shard").select("shard", F.pmod(F.hash("doc_id"), F.col("copies")).alias("copy"), F.lit(1).alias("tag"), "doc_id", none.cast("string").alias("phrase"), "text")
     rows = machine.unionByName(stream).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "tag")
-    return _streamed(rows, span, phrase)
+    return _streamed(rows, span - phrase + beyond, phrase)
 
 
 def _common(a: str, b: str) -> int:
@@ -253,14 +255,17 @@ def _with_classes(found: DataFrame) -> DataFrame:
 
 
 class SharedSpans:
-    """Spans of at least ``span`` characters that texts of ``documents`` have in common."""
+    """Spans of at least ``span`` characters that texts of ``documents`` have in common.
 
-    def __init__(self, documents: DataFrame, span: int = SPAN, phrase: int = PHRASE):
-        self.documents, self.span, self.phrase = documents, span, phrase
-        self.found = checkpointed(_with_classes(occurrences(documents, span, phrase)))
+    With ``beyond=1`` the surroundings hold the character before and after any run, which ``passages`` needs.
+    """
+
+    def __init__(self, documents: DataFrame, span: int = SPAN, phrase: int = PHRASE, beyond: int = 0):
+        self.documents, self.span, self.phrase, self.beyond = documents, span, phrase, beyond
+        self.found = checkpointed(_with_classes(occurrences(documents, span, phrase, beyond)))
         g = ["phrase", "class"]
         classes = self.found.groupBy(*g).agg(F.first("before").alias("before"), F.first("after").alias("after"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-        classes = checkpointed(classes)
+        self.classes = classes = checkpointed(classes)
         whole = classes.filter((F.col("a") < F.col("b")) & (F.length("before") + F.length("after") >= span - phrase)).select(
             "phrase", F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.length("before").alias("reach_before"), F.length("after").alias("reach_after")
         )
@@ -295,16 +300,20 @@ class SharedSpans:
 
     def spans(self) -> DataFrame:
         """(doc_id, span_start, span_end): maximal parts of each text that are shared elsewhere, end exclusive."""
-        reaches = self._linked_elsewhere()
-        parts = self.found.select("class", "phrase", "doc_id", "pos").join(reaches, ["phrase", "class", "doc_id"]).select(
-            "doc_id", (F.col("pos") - F.col("reach_before")).alias("s"), (F.col("pos") + self.phrase + F.col("reach_after")).alias("e")
-        )
-        parts = parts.groupBy("doc_id", "s").agg(F.max("e").alias("e"))
+        parts = self._parts()
         before = F.max("e").over(W.partitionBy("doc_id").orderBy("s").rowsBetween(W.unboundedPreceding, -1))
         runs = parts.withColumn("before", before)
         runs = runs.withColumn("island", F.sum(F.when(F.col("before").isNull() | (F.col("s") > F.col("before")), 1).otherwise(0)).over(W.partitionBy("doc_id").orderBy("s")))
         return runs.groupBy("doc_id", "island").agg(F.min("s").alias("span_start"), F.max("e").alias("span_end")).drop("island")
 
+    def _parts(self) -> DataFrame:
+        """(doc_id, s, e): runs of each text that another one has, the longest of each beginning."""
+        reaches = self._linked_elsewhere()
+        parts = self.found.select("class", "phrase", "doc_id", "pos").join(reaches, ["phrase", "class", "doc_id"]).select(
+            "doc_id", (F.col("pos") - F.col("reach_before")).alias("s"), (F.col("pos") + self.phrase + F.col("reach_after")).alias("e")
+        )
+        return parts.groupBy("doc_id", "s").agg(F.max("e").alias("e"))
+
     def _linked_elsewhere(self) -> DataFrame:
         """(phrase, class, doc_id, reach_before, reach_after): as far as *another* text shares the run."""
         members = self.found.select("phrase", "class", "doc_id").distinct()
@@ -327,8 +336,66 @@ class SharedSpans:
         share = F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(0.0)
         return out.withColumn("shared_share", share)
 
+    def _cuts(self) -> DataFrame:
+        """(doc_id, at): windows of ``span`` characters that other texts share than the window before them.
+
+        Windows with unequal neighbours somewhere are those at the end of what two classes share. A window ends
+        a passage where fewer texts have it with its neighbour than have it at all.
+        """
+        need = self.span - self.phrase
+        sides = []
+        for own in ("class_a", "class_b"):
+            link = self.links.select("phrase", F.col(own).alias("class"), "reach_before", "reach_after")
+            sides.append(link.filter(F.col("reach_before") <= need).select("phrase", "class", (-F.col("reach_before")).alias("off"), F.lit(0).alias("side")))
+            sides.append(link.filter(F.col("reach_after") <= need).select("phrase", "class", (F.col("reach_after") - need).alias("off"), F.lit(1).alias("side")))
+        for side in (0, 1):
+            sides.append(self.keys.select("phrase", "class", (-F.col("reach_before")).alias("off"), F.lit(side).alias("side")))
+        windows = sides[0]
+        for s in sides[1:]:
+            windows = windows.unionByName(s)
+        text, first = F.concat("before", "phrase", "after"), F.length("before") + F.col("off") + 1
+        around = windows.distinct().join(self.classes.select("phrase", "class", "before", "after"), ["phrase", "class"]).withColumns({"t": text, "first": first})
+        window = F.sha2(F.expr(f"substring(t, first, {self.span})"), 256)
+        beside = F.expr(f"case when side = 1 then substring(t, first + {self.span}, 1) when first > 1 then substring(t, first - 1, 1) else '' end")
+        around = around.select("class", "off", "side", window.alias("window"), beside.alias("beside"))
+        several = around.groupBy("window", "side").agg(F.min("beside").alias("lo"), F.max("beside").alias("hi")).filter("lo <> hi").select("window", "side")
+        around = checkpointed(around.join(several, ["window", "side"]))
+        texts = around.select("class", "window", "side", "beside").join(self.found.select("class", "doc_id").distinct(), "class").select("window", "side", "beside", "doc_id").distinct()
+        n = texts.groupBy("window", "side", "beside").agg(F.count("*").alias("n_beside"))
+        fewer = n.join(texts.groupBy("window", "side").agg(F.countDistinct("doc_id").alias("n")), ["window", "side"]).filter("n_beside < n").select("window", "side", "beside")
+        cuts = around.join(fewer, ["window", "side", "beside"]).select("class", (F.col("off") + F.col("side")).alias("off")).distinct()
+        return self.found.select("class", "doc_id", "pos").join(cuts, "class").select("doc_id", (F.col("pos") + F.col("off")).alias("at")).distinct()
+
     def passages(self) -> DataFrame:
-        """(passage_id, doc_id, span_start, span_end): shared parts with equal characters under one id."""
-        cut = self.spans().join(self.documents.select(F.col("doc_id").cast("long"), "text").dropDuplicates(["doc_id"]), "doc_id")
+        """(passage_id, doc_id, span_start, span_end): parts shared by the same texts from end to end, equal ones under one id.
+
+        A passage is a longest row of windows of ``span`` characters that the same texts have, each also with its
+        neighbour; where the set of texts changes the next passage begins, so passages overlap by less than ``span``.
+        """
+        if not self.beyond:
+            return SharedSpans(self.documents, self.span, self.phrase, 1).passages()
+        span = self.span
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple[int, int, int]] = []
+                for doc, parts, cuts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "parts", "cuts")), strict=True):
+                    rows: list[list[int]] = []  # windows by their first character, end exclusive
+                    for p in sorted(parts, key=lambda p: p["s"]):
+                        if rows and p["s"] <= rows[-1][1]:
+                            rows[-1][1] = max(rows[-1][1], p["e"] - span + 1)
+                        else:
+                            rows.append([p["s"], p["e"] - span + 1])
+                    at = sorted(cuts or ())
+                    for s, e in rows:
+                        ends = [s, *at[bisect_right(at, s) : bisect_left(at, e)], e]
+                        out += [(doc, a, z - 1 + span) for a, z in pairwise(ends)]
+                cols = list(zip(*out, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "span_start", "span_end"])
+
+        parts = self._parts().groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("parts"))  # bounded by a text's length
+        cuts = self._cuts().groupBy("doc_id").agg(F.collect_list("at").alias("cuts"))
+        found = parts.join(cuts, "doc_id", "left").select("doc_id", "parts", "cuts").mapInArrow(run, "doc_id long, span_start int, span_end int")
+        cut = found.join(self.documents.select(F.col("doc_id").cast("long"), "text").dropDuplicates(["doc_id"]), "doc_id")
         part = F.expr("substring(text, span_start + 1, span_end - span_start)")
         return cut.select(F.sha2(part, 256).alias("passage_id"), "doc_id", "span_start", "span_end")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -80,6 +81,45 @@ def test_passages_repeats_and_empty(spark):
     assert SharedSpans(df.limit(0)).pairs().count() == 0
 
 
+def passages_by_windows(docs, span):
+    """(text, doc, start, end) of the longest rows of windows with the same texts, by all substrings."""
+    have = lambda s: {d for d, t in docs.items() if s in t}
+    out = set()
+    for d, t in docs.items():
+        sets = [have(t[i : i + span]) for i in range(len(t) - span + 1)]
+        start = 0
+        for i in range(len(sets)):
+            if i + 1 == len(sets) or not sets[i] == sets[i + 1] == have(t[i : i + span + 1]):
+                if len(sets[i]) > 1:
+                    out.add((hashlib.sha256(t[start : i + span].encode()).hexdigest(), d, start, i + span))
+                start = i + 1
+    return out
+
+
+@pytest.mark.parametrize(("seed", "classes"), [(1, 64), (2, 64), (3, 3)])
+def test_passages_against_all_substrings(spark, monkeypatch, seed, classes):
+    monkeypatch.setattr(spans, "CLASSES", classes)
+    docs = made(seed)
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in docs.items()], SCHEMA).repartition(3)
+    got = SharedSpans(df, 30, 12, 1).passages().collect()
+    assert {tuple(r) for r in got} == passages_by_windows({d: t for d, t in docs.items() if t}, 30)
+    assert len(got) == len(set(got))
+
+
+def test_passages_of_partial_overlap(spark):
+    rnd = random.Random(6)
+    word = lambda k: "".join(rnd.choice("abcdefghijklmnop") for _ in range(k))
+    whole, y, z = word(900), word(250), word(250)
+    docs = {1: whole, 2: "<" + whole + ">", 3: "#" * 40 + whole[200:500] + "#" * 40, 4: y + z, 5: y + "!", 6: "?" + z}
+    df = spark.createDataFrame([(d, t, "", "") for d, t in docs.items()], SCHEMA)
+    sharers = {}
+    for r in SharedSpans(df).passages().collect():
+        sharers.setdefault(docs[r.doc_id][r.span_start : r.span_end], set()).add((r.passage_id, r.doc_id))
+    texts = {t: sorted(d for _, d in s) for t, s in sharers.items()}
+    assert texts == {whole[:399]: [1, 2], whole[200:500]: [1, 2, 3], whole[301:]: [1, 2], y: [4, 5], z: [4, 6]}
+    assert all(len({i for i, _ in s}) == 1 for s in sharers.values())
+
+
 def test_winnow_guarantee():
     rnd = random.Random(4)
     base = "".join(rnd.choice("ab") for _ in range(50))
