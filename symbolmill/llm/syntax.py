@@ -5,7 +5,8 @@ unterminated; a pushdown stack runs over the delimiters of the rest, which finds
 is unbalanced, closed wrongly or ended too early; and token rules on the rest find
 merge-conflict markers, neighbours no grammar allows (two names or a literal and a name
 in a row, as in prose or in another language), statements that break off and, for PHP,
-a missing opening tag. For Python the language's own parser has the last word on what
+a missing opening tag. Bodies of SQL routines and blocks are not judged, but for their
+delimiters and their END; all other SQL statements are. For Python the language's own parser has the last word on what
 the lexer found sound.
 
 Verdicts are per file and come from one pass over the table without a shuffle; rates
@@ -310,7 +311,72 @@ _SQL_BROKEN = re.compile(
     re.I,
 )
 _SQL_WRONG = re.compile(r",\s*\)|\(\s*,|,\s*,|=\s*=\s*=|<\?php|=>|\$this\b", re.S)
-_SQL_BLOCK = re.compile(r"\b(?:procedure|function|trigger|begin|delimiter|declare|package)\b", re.I)
+#: Statements with a body of statements: routines, and blocks outside of them (not BEGIN of a transaction).
+_SQL_ROUTINE = re.compile(
+    rf"\s*(?:create|alter)\s+(?:or\s+(?:replace|alter)\s+)?(?:{_OBJECT_WORDS}\s+|temp\s+|aggregate\s+)*(?P<kind>procedure|proc|function|trigger|event|package)\b", re.I
+)
+_SQL_TRANSACTION = r"(?=\s*(?:;|\Z)|\s*^\s*(?:go|/)\s*$|\s+(?:tran|transaction|work|distributed|isolation|read|deferred|immediate|exclusive|concurrent)\b)"
+_SQL_BLOCK = re.compile(rf"\s*(?:\w+\s*:\s*)?(?:begin\b(?!{_SQL_TRANSACTION})|declare\b|if\b|while\b)", re.I | re.M)
+_SQL_STEP = re.compile(
+    rf"[;()]|^[ \t]*(?:go|/)[ \t]*$|(?<![\w.@:$#])(?:begin\b{_SQL_TRANSACTION}|begin\b|case\b|end[ \t]+(?:if|loop|while|repeat|for)\b|end[ \t]+case\b|end\b)(?![ \t]*[=.])", re.I | re.M
+)
+_SQL_BEGIN = re.compile(rf"(?<![\w.@:$#])begin\b(?!{_SQL_TRANSACTION})", re.I | re.M)
+_SQL_DECLARES = re.compile(r"\b(?:is|as|declare)\b(?!\s*\x02)", re.I)
+_SQL_DELIMITER = re.compile(r"^[ \t]*delimiter[ \t]+(\S+)[^\r\n]*$", re.I | re.M)
+
+
+def _declares(code: str, at: int) -> bool:
+    """Whether declarations stand between ``at`` and the BEGIN of a body."""
+    begin = _SQL_BEGIN.search(code, at)
+    parts = code[at : begin.start()].split(";") if begin else [""]
+    return bool(begin) and not parts[-1].strip() and not any(_SQL_HEAD.match(p) and not re.match(r"\s*(?:declare|pragma)\b", p, re.I) for p in parts)
+
+
+def _sql_statements(code: str) -> tuple[list[tuple[str, bool]], bool]:
+    """(text, whether it ends with a body, which is left out) of each statement; whether the last body lacks its END."""
+    out: list[tuple[str, bool]] = []
+    start = at = parens = 0
+    while start < len(code):
+        routine = _SQL_ROUTINE.match(code, start)
+        package = bool(routine) and routine["kind"].lower() == "package"
+        procedural = bool(routine) or bool(_SQL_BLOCK.match(code, start))
+        body, depth, closed, stop, at, parens = -1, 0, False, len(code), start, 0
+        if package:
+            body = routine.end()
+        after = len(code)
+        while m := _SQL_STEP.search(code, at):
+            step, at = " ".join(m[0].lower().split()), m.end()
+            if step in ("(", ")"):
+                parens += 1 if step == "(" else -1
+            elif step in ("go", "/"):
+                stop, after = m.start(), m.end()
+                break
+            elif step == ";":
+                if depth or (package and not closed) or (procedural and body < 0 and _SQL_DECLARES.search(code, start, at) and _declares(code, at)):
+                    continue
+                stop, after = m.start(), m.end()
+                break
+            elif not procedural or parens > 0:
+                continue
+            elif step == "begin" and not re.compile(rf"begin\b{_SQL_TRANSACTION}", re.I | re.M).match(code, m.start()):
+                body = m.start() if body < 0 else body
+                depth += 1
+            elif step == "case":
+                depth += 1
+            elif step in ("end", "end case"):
+                closed = package and depth == 0
+                depth = max(0, depth - 1)
+                follows = re.compile(r"\s*([^\W\d]\w*)").match(code, at)
+                if not package and body >= 0 and depth == 0 and follows and _SQL_HEAD.match(code, at) and follows[1].lower() not in ("else", "while", "if", "loop", "repeat"):
+                    stop = after = at
+                    break
+        text = code[start : stop if body < 0 else body]
+        if text.strip() or body >= 0:
+            out.append((text, body >= 0))
+        if depth or (package and not re.search(r"\bend\b", code[body:stop], re.I)):
+            return out, True
+        start = after
+    return out, False
 
 
 def _sql_fault(code: str) -> str | None:
@@ -319,22 +385,31 @@ def _sql_fault(code: str) -> str | None:
         return fault
     if _SQL_WRONG.search(code):
         return "unexpected token"
-    if _SQL_BLOCK.search(code):
-        return None  # bodies of routines have statements of their own
-    statements = [s for s in re.split(r";|^\s*go\s*$", code, flags=re.I | re.M) if s.strip()]
-    for s in statements:
+    statements, unended = _sql_statements(code)
+    for k, (s, body) in enumerate(statements):
+        if body:  # what stands in a body is not judged
+            if s.strip() and not (_SQL_ROUTINE.match(s) or _SQL_BLOCK.match(s + " begin x")):
+                return "unexpected token"
+            continue
         if not _SQL_HEAD.match(s):
             return "unexpected token"
         if _SQL_BROKEN.search(s):
             return "premature end"
         for head, form in _SQL_FORMS:
             if head.match(s) and not form.fullmatch(s):
-                return "premature end" if s is statements[-1] and not code.rstrip().endswith(";") else "unexpected token"
-    return None
+                return "premature end" if k + 1 == len(statements) and not code.rstrip().endswith(";") else "unexpected token"
+    return "premature end" if unended else None
+
+
+def _one_delimiter(text: str) -> str:
+    """The text with what DELIMITER lines set as the end of a statement turned into semicolons."""
+    parts = _SQL_DELIMITER.split(text)
+    return "\n".join([parts[0], *(body if d == ";" else body.replace(d, ";") for d, body in zip(parts[1::2], parts[2::2], strict=True))]) if len(parts) > 1 else text
 
 
 def sql_fault(text: str) -> str | None:
     """None if some dialect (backslashes escape in strings, or do not) takes the text."""
+    text = _one_delimiter(text)
     faults = [_sql_fault(t.sub(_replace, text)) for t in (_SQL_TOKENS if "\\" in text else _SQL_TOKENS[:1])]
     return None if None in faults else faults[0]
 

@@ -45,6 +45,34 @@ BAD = {
 }
 
 
+ROUTINES = [
+    "DELIMITER //\nCREATE PROCEDURE p(IN a INT)\nBEGIN\n  IF a THEN SET @x = CASE WHEN a THEN 1 ELSE 2 END; END IF;\n  CALL q();\nEND//\nDELIMITER ;\nSELECT 1;",
+    "DELIMITER $$\nCREATE DEFINER=`r`@`h` TRIGGER t BEFORE INSERT ON u FOR EACH ROW BEGIN SET NEW.a = 1; END$$\nCREATE FUNCTION f() RETURNS INT BEGIN RETURN 1; END $$\nDELIMITER ;\n",
+    "CREATE OR REPLACE PROCEDURE p IS\n  n NUMBER;\n  m NUMBER := 2;\nBEGIN\n  n := m;\nEND p;\n/\nCREATE TABLE a (x INT);",
+    "CREATE PACKAGE BODY k AS\n PROCEDURE a IS BEGIN NULL; END a;\n PROCEDURE b IS BEGIN NULL; END b;\nEND k;\n/\nDROP TABLE t;",
+    "DECLARE\n x NUMBER;\n y NUMBER;\nBEGIN\n x := y;\n BEGIN NULL; END;\nEND;\n/\n",
+    "CREATE PROCEDURE p AS\nBEGIN\n  SELECT 1\n  BEGIN TRY SELECT 2 END TRY BEGIN CATCH SELECT 3 END CATCH\nEND\nGO\nSELECT 4\nGO\n",
+    "IF EXISTS (SELECT 1) BEGIN SELECT 1; SELECT 2; END ELSE BEGIN SELECT 3; END;\nDECLARE @x INT; BEGIN TRANSACTION; UPDATE t SET a = 1; COMMIT;",
+    "CREATE TABLE spans (begin DATE, end DATE); SELECT begin, end FROM spans; CREATE TRIGGER t BEFORE INSERT ON u FOR EACH ROW SET NEW.a = 1;",
+    "BEGIN; UPDATE t SET a = CASE WHEN b THEN 1 ELSE 2 END; END;",
+]
+NO_ROUTINES = [
+    "BEGIN; CREATE TABLE a (x int); INSERT INTO a (x) VALUES", "function pick(a) { return a + 1; }", "BEGIN TRANSACTION; CREATE TABEL t (id INT); COMMIT;", "DECLARE @x INT; DELETE FORM t;",
+    "CREATE PROCEDURE p()\nBEGIN\n  SELECT 1;\n", "DELIMITER //\nCREATE PROCEDURE p() BEGIN SELECT 1; END//\nDELIMITER ;\nDROP TABEL t;", "CREATE TABLE t (a INT); the trigger was moved;",
+    "CREATE PROCEDURE p() BEGIN SELECT 1; END; INSERT INTO a (x) VALUES", "CREATE PACKAGE k AS PROCEDURE a;", "package main; func f() { }",
+]
+
+
+@pytest.mark.parametrize("text", ROUTINES)
+def test_routines_and_blocks(text):
+    assert fault_of("sql", text) is None
+
+
+@pytest.mark.parametrize("text", NO_ROUTINES)
+def test_words_of_routines_excuse_nothing(text):
+    assert fault_of("sql", text)
+
+
 @pytest.mark.parametrize(("language", "text"), [(k, t) for k, ts in GOOD.items() for t in ts])
 def test_valid(language, text):
     assert fault_of(language, text) is None
