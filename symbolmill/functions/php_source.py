@@ -3,7 +3,9 @@
 Comments and strings are blanked in place, so offsets and lines stay; nested bodies are
 blanked for what belongs to an outer level only. Names follow the index: ``Ns\\Name``,
 ``Class::method``, ``Class::CONSTANT``, ``Class::$property``. Braced namespaces are not
-entered, group imports keep their last segment as alias.
+entered, group imports keep their last segment as alias; of several properties or constants
+in one statement the first is read. Exceptions count where they stand in code, not in a
+comment or literal. Metadata that does not apply or is empty is missing.
 """
 
 from __future__ import annotations
@@ -31,6 +33,11 @@ _BUILTIN = frozenset("array bool callable false float int iterable mixed never n
 _NEW = re.compile(r"\bnew\s+(\\?[^\W\d][\w\\]*)")
 _STATIC = re.compile(r"(?<![\w$>])(\\?[^\W\d][\w\\]*)::(\$?\w+)\s*(\()?")
 _SELF_CALL = re.compile(r"\$this->(\w+)\s*\(")
+_THROW = re.compile(r"\bthrow\s+new\s+(\\?[^\W\d][\w\\]*)", re.I)
+_CATCH = re.compile(r"\bcatch\s*\(([^)$]+)(?:\$\w+\s*)?\)", re.I)
+_THROWS = re.compile(r"@throws\s+([^\s*]+)")
+_CONTEXT = re.compile(r"\$this->(args|params)\[['\"]([^'\"]+)['\"]\]")
+_ATTRIBUTES = re.compile(r"\s*(?:#\[.*\]\s*)?", re.S)
 _NAMES = re.compile(r"\\?[^\W\d][\w\\]*")
 
 
@@ -42,6 +49,10 @@ class Symbol(NamedTuple):
     visibility: str | None
     line_start: int
     line_end: int
+    signature: str | None = None
+    return_type: str | None = None
+    docblock: str | None = None
+    metadata: dict[str, str | bool | list[str]] = {}
 
 
 class Reference(NamedTuple):
@@ -58,9 +69,15 @@ def _spaces(text: str) -> str:
     return "\n".join([" " * len(part) for part in text.split("\n")])
 
 
-def blanked(text: str) -> str:
-    """The text with comments and literals turned into blanks of equal length."""
-    return _BLANK.sub(lambda m: _spaces(m[0]), text)
+def blanked(text: str, docs: list[tuple[int, int]] | None = None) -> str:
+    """The text with comments and literals turned into blanks of equal length; ``docs`` gets the places of ``/**``."""
+
+    def blank(m: re.Match[str]) -> str:
+        if docs is not None and m[0].startswith("/**"):
+            docs.append(m.span())
+        return _spaces(m[0])
+
+    return _BLANK.sub(blank, text)
 
 
 def _partner(code: str, start: int) -> int:
@@ -90,7 +107,8 @@ class Source:
     """Symbols and references of one file."""
 
     def __init__(self, text: str):
-        self.code = blanked(text)
+        self.docs: list[tuple[int, int]] = []
+        self.text, self.code = text, blanked(text, self.docs)
         self.starts = [0, *(m.end() for m in re.finditer(r"\r\n|\r|\n", text))]
         self.symbols: list[Symbol] = []
         self.references: list[Reference] = []
@@ -123,12 +141,40 @@ class Source:
 
     def resolve(self, name: str) -> str:
         """Lower-case name a written class name stands for."""
+        return self.full_name(name).lower()
+
+    def full_name(self, name: str) -> str:
+        """Name a written class name stands for."""
         if name.startswith("\\"):
-            return name[1:].lower()
+            return name[1:]
         first, _, rest = name.partition("\\")
         if first.lower() in self.imports:
-            return (self.imports[first.lower()] + ("\\" + rest if rest else "")).lower()
-        return self.qualify(name).lower()
+            return self.imports[first.lower()] + ("\\" + rest if rest else "")
+        return self.qualify(name)
+
+    def docblock(self, at: int) -> str | None:
+        """The comment ``/**`` right before a declaration and its attributes."""
+        k = bisect_right(self.docs, at, key=lambda d: d[1]) - 1
+        if k < 0 or not _ATTRIBUTES.fullmatch(self.text, self.docs[k][1], at):
+            return None
+        return self.text[slice(*self.docs[k])]
+
+    def exceptions(self, body: str, docblock: str | None) -> dict[str, list[str]]:
+        """Resolved exceptions that a body throws and catches and its docblock names, distinct and sorted."""
+        named = {
+            "thrownExceptions": _THROW.findall(body),
+            "caughtExceptions": [n for c in _CATCH.findall(body) for n in c.split("|")],
+            "documentedThrows": [n for d in _THROWS.findall(docblock or "") for n in d.split("|")],
+        }
+        return {k: sorted({self.full_name(n) for n in (x.strip().lstrip("?") for x in names) if n}) for k, names in named.items()}
+
+    def context(self, start: int, end: int) -> dict[str, list[str]]:
+        """E5: keys of ``$this->args`` and ``$this->params`` that a body reads, in order."""
+        found: dict[str, dict[str, None]] = {"contextArgs": {}, "contextParams": {}}
+        for m in _CONTEXT.finditer(self.text, start, end):
+            if self.code.startswith("$this", m.start()):
+                found["contextArgs" if m[1] == "args" else "contextParams"][m[2]] = None
+        return {k: list(v) for k, v in found.items()}
 
     def refer(self, source: str, name: str, kind: str, at: int, member: str = "") -> None:
         if name.lower().lstrip("\\") not in _BUILTIN:
@@ -140,18 +186,22 @@ class Source:
 
     def _class(self, m: re.Match[str], end: int) -> None:
         own, kind = self.qualify(m["name"]), m["kind"].lower()
-        self.symbols.append(Symbol(kind, m["name"], own, None, None, self.line(m.start()), self.line(end)))
-        head = m["head"]
+        meta: dict[str, str | bool | list[str]] = {}
+        at, head = len(self.symbols), m["head"]
         if e := re.search(r"\bextends\s+(.+?)(?:\bimplements\b|$)", head, re.I | re.S):
             for n in _NAMES.findall(e[1])[:1]:
+                meta["extends"] = self.full_name(n)
                 self.refer(own, n, "inheritance", m.start())
         if i := re.search(r"\bimplements\s+(.+)$", head, re.I | re.S):
+            meta["implements"] = [self.full_name(n) for n in _NAMES.findall(i[1])]
             for n in _NAMES.findall(i[1]):
                 self.refer(own, n, "implementation", m.start())
         body, base = outer_level(self.code[m.end() : end]), m.end()
         for t in _TRAITS.finditer(body):
             for n in _NAMES.findall(t[1]):
+                meta["traits"] = [*meta.get("traits", []), self.full_name(n)]
                 self.refer(own, n, "trait_use", base + t.start())
+        self.symbols.insert(at, Symbol(kind, m["name"], own, None, None, self.line(m.start()), self.line(end), docblock=self.docblock(m.start()), metadata=_present(meta)))
         taken = []
         for f in _FUNCTION.finditer(body):
             taken.append((f.start(), self._function(f, own, base) - base))
@@ -166,7 +216,11 @@ class Source:
 
     def _member(self, kind: str, m: re.Match[str], own: str, tail: str, base: int) -> None:
         at = self.line(base + m.start())
-        self.symbols.append(Symbol(kind, m["name"], f"{own}::{tail}", own, _visibility(m["mods"]), at, at))
+        kept = ("static", "readonly") if kind == "property" else ()
+        written = m["type"] if kind == "property" else None
+        self.symbols.append(
+            Symbol(kind, m["name"], f"{own}::{tail}", own, _visibility(m["mods"]), at, at, None, (written or "").strip() or None, self.docblock(base + m.start()), _modifiers(m["mods"], *kept))
+        )
 
     def _function(self, m: re.Match[str], own: str | None, base: int) -> int:
         close = _partner(self.code, base + m.end())
@@ -175,12 +229,20 @@ class Source:
         end = _partner(self.code, stop.end()) if opens else (stop.start() if stop else len(self.code))
         name = f"{own}::{m['name']}" if own else self.qualify(m["name"])
         visibility = _visibility(m["mods"]) if own else None
-        self.symbols.append(Symbol("method" if own else "function", m["name"], name, own, visibility, self.line(base + m.start()), self.line(end)))
+        returned = re.match(r"\s*:\s*(.*\S)", self.code[close + 1 : stop.start() if stop else len(self.code)], re.S)
+        signature = f"{m['name']}({self.text[base + m.end() : close]})" + (f": {returned[1]}" if returned else "")
+        docblock, inside = self.docblock(base + m.start()), (stop.end(), end) if opens else (end, end)
+        meta = self.exceptions(self.code[slice(*inside)], docblock)
+        if own:
+            meta |= _modifiers(m["mods"], "static", "abstract") | self.context(*inside) | {"magic": m["name"].startswith("__")}
+        lines = self.line(base + m.start()), self.line(end)
+        self.symbols.append(Symbol("method" if own else "function", m["name"], name, own, visibility, *lines, signature, returned[1] if returned else None, docblock, _present(meta)))
         params = self.code[base + m.end() : close]
         if own and m["name"].lower() == "__construct":
             for p in _PROMOTED.finditer(params):
                 at = self.line(base + m.end() + p.start())
-                self.symbols.append(Symbol("property", p["name"], f"{own}::${p['name']}", own, _visibility(p["mods"]), at, at))
+                meta = {"promoted": True} | _modifiers(p["mods"], "readonly")
+                self.symbols.append(Symbol("property", p["name"], f"{own}::${p['name']}", own, _visibility(p["mods"]), at, at, None, (p["type"] or "").strip() or None, None, meta))
         for p in re.finditer(rf"(?:(?:public|protected|private|readonly)\s+)*(?P<type>{_TYPE})?\s*&?(?:\.\.\.)?\$\w+", params, re.I):
             self.hint(name, re.sub(r"\b(?:public|protected|private|readonly)\b", "", p["type"] or "", flags=re.I), base + m.end() + p.start())
         if stop:
@@ -206,3 +268,12 @@ class Source:
 def _visibility(mods: str) -> str:
     found = re.search(r"public|protected|private", mods, re.I)
     return found[0].lower() if found else "public"
+
+
+def _modifiers(mods: str, *kept: str) -> dict[str, bool]:
+    """The modifiers among ``kept``."""
+    return {k: True for k in kept if k in mods.lower().split()}
+
+
+def _present(meta: dict[str, str | bool | list[str]]) -> dict[str, str | bool | list[str]]:
+    return {k: v for k, v in meta.items() if v}

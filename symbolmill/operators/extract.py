@@ -34,10 +34,17 @@ def _each_file(files: DataFrame, language: str, schema: str, rows_of: Callable[[
     return mine.select(F.col("file_id").cast("long"), "content").mapInArrow(run, "file_id long, " + schema)
 
 
+#: Metadata of a symbol, by the names of the catalog.
+_METADATA = {"extends": "string", "static": "boolean", "abstract": "boolean", "magic": "boolean", "readonly": "boolean", "promoted": "boolean"} | dict.fromkeys(
+    ("implements", "traits", "contextArgs", "contextParams", "thrownExceptions", "caughtExceptions", "documentedThrows"), "array<string>"
+)
+
+
 def php_symbols(files: DataFrame) -> DataFrame:
-    """Classes, interfaces, traits, enums, functions and members."""
-    schema = "kind string, name string, qualified_name string, parent_name string, visibility string, line_start int, line_end int"
-    return _each_file(files, "php", schema, lambda t: [tuple(s) for s in Source(t).symbols])
+    """Classes, interfaces, traits, enums, functions and members, with signature, docblock and metadata."""
+    schema = "kind string, name string, qualified_name string, parent_name string, visibility string, line_start int, line_end int, signature string, return_type string, docblock string"
+    rows = _each_file(files, "php", ", ".join([schema, *(f"{k} {v}" for k, v in _METADATA.items())]), lambda t: [(*s[:-1], *(s.metadata.get(k) for k in _METADATA)) for s in Source(t).symbols])
+    return rows.select(*[c for c in rows.columns if c not in _METADATA], F.struct(*_METADATA).alias("metadata"))
 
 
 def php_references(files: DataFrame) -> DataFrame:

@@ -170,6 +170,52 @@ def test_php_symbols_of_all_files(spark, tmp_path):
     assert {r.file_id for r in index.QUERIES["php_symbols"](spark, str(tmp_path)).collect()} == {0}
 
 
+def test_php_metadata(spark):
+    text = """<?php
+namespace App;
+use Lib\\Errors\\{Gone, Late};
+use Lib\\Wrong as W;
+/** Keeps. */
+#[Attr(1)]
+final class Box extends W implements \\Countable, Named
+{
+    use HasA, HasB;
+    /** The size. */
+    private static ?int $size = 1;
+    /** not of the next */ // since this stands between
+    const A = 1;
+    public function __construct(private readonly Late $late) {}
+    /**
+     * @throws Gone|\\RuntimeException when full
+     */
+    public static function put(int $a, string $b = ')'): ?W
+    {
+        // throw new Commented();
+        $x = 'throw new Quoted()' . $this->args['k'] . $this->params["p"] . $this->args['k'];
+        try { throw new W\\Deep(); } catch (Gone | \\LogicException $e) { throw new Gone(); } catch (Late) { throw new \\DomainException(); }
+    }
+}
+/** @throws Own */
+function f(): void { throw new Own(); }
+"""
+    df = extract.php_symbols(spark.createDataFrame([(1, "php", text)], "file_id long, language string, content string"))
+    s = {r.qualified_name: r.asDict(recursive=True) for r in df.collect()}
+    meta = {k: {a: b for a, b in v["metadata"].items() if b is not None} for k, v in s.items()}
+    assert meta == {
+        "App\\Box": {"extends": "Lib\\Wrong", "implements": ["Countable", "App\\Named"], "traits": ["App\\HasA", "App\\HasB"]},
+        "App\\Box::$size": {"static": True}, "App\\Box::A": {}, "App\\Box::__construct": {"magic": True}, "App\\Box::$late": {"promoted": True, "readonly": True},
+        "App\\Box::put": {
+            "static": True, "contextArgs": ["k"], "contextParams": ["p"], "thrownExceptions": ["DomainException", "Lib\\Errors\\Gone", "Lib\\Wrong\\Deep"],
+            "caughtExceptions": ["Lib\\Errors\\Gone", "Lib\\Errors\\Late", "LogicException"], "documentedThrows": ["Lib\\Errors\\Gone", "RuntimeException"],
+        },
+        "App\\f": {"thrownExceptions": ["App\\Own"], "documentedThrows": ["App\\Own"]},
+    }
+    put = s["App\\Box::put"]
+    assert (put["signature"], put["return_type"]) == ("put(int $a, string $b = ')'): ?W", "?W") and put["docblock"].startswith("/**\n     * @throws Gone")
+    assert [s[k]["docblock"] for k in ("App\\Box", "App\\Box::$size", "App\\Box::A", "App\\f")] == ["/** Keeps. */", "/** The size. */", None, "/** @throws Own */"]
+    assert [s[k]["return_type"] for k in ("App\\Box::$size", "App\\Box::$late", "App\\f")] == ["?int", "Late", "void"]
+
+
 def test_usage(spark):
     text = "a();\n\n{\n  b();\n}\n" + "".join(f"x{i}();\n" for i in range(20))
     files = spark.createDataFrame([(1, "p", text)], "file_id long, path string, content string")
