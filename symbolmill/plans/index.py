@@ -287,8 +287,19 @@ def ddl_keys(spark, d):
     return rows.drop("file_id", "line_start").distinct()
 
 
+def ddl_tables_all(spark, d):
+    """Tables that the SQL files of the index create, beside those its catalog lists of SQL files: which side has each."""
+    files = read_spread(spark, d, "files")
+    made = X.ddl_columns(files).select("file_id", "table_name").distinct().withColumn("made", F.lit(True))
+    own = read(spark, d, "files").filter("lower(language) = 'sql' and content <> ''").select("file_id").distinct()
+    listed = read(spark, d, "db_tables").select("file_id", F.col("normalized_name").alias("table_name")).filter("table_name is not null").distinct()
+    listed = listed.join(own, "file_id", "left_semi").withColumn("listed", F.lit(True))
+    sides = [F.coalesce(c, F.lit(False)).alias(c) for c in ("made", "listed")]
+    return made.join(listed, ["file_id", "table_name"], "full_outer").select("file_id", "table_name", *sides)
+
+
 def ddl_tables(spark, d):
-    """Tables that the SQL files of the index create and its catalog lists, by name."""
+    """Tables that the SQL files of the index create and its catalog lists, by name; ``ddl_tables_all`` has the others."""
     made = X.ddl_columns(read_spread(spark, d, "files")).select("file_id", "table_name").distinct()
     return made.join(read(spark, d, "db_tables").select("file_id", F.col("normalized_name").alias("table_name")).distinct(), ["file_id", "table_name"], "left_semi")
 
@@ -344,7 +355,7 @@ def upstream_touchpoints(spark, d):
 
 
 _ALL = (
-    upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols_all, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
+    upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols_all, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables_all, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
     exception_summary, fk_graph_bfs, schema_counts, table_summary, table_search, fk_join_check, line_counts, enclosing_symbol, search_content,
     line_write_context, block_segments, comment_lines, table_refs, status, unresolved_categories, source_labels, namespace_prefixes, module_stats,
     module_table, module_dependencies, layer_violations, external_namespaces, kind_counts, interface_adoption, naming_ratios, freshness,

@@ -216,6 +216,14 @@ function f(): void { throw new Own(); }
     assert [s[k]["return_type"] for k in ("App\\Box::$size", "App\\Box::$late", "App\\f")] == ["?int", "Late", "void"]
 
 
+def test_ddl_tables_of_all_files(spark, tmp_path):
+    files = [(1, "sql", "CREATE TABLE a (x INT); CREATE TABLE b (x INT);"), (2, "sql", "CREATE TABLE c (x INT);"), (3, "sql", None), (4, "php", "<?php")]
+    spark.createDataFrame(files, "file_id long, language string, content string").write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame([(1, "a"), (1, "gone"), (1, None), (4, "p")], "file_id long, normalized_name string").write.parquet(f"{tmp_path}/db_tables.parquet")
+    got = index.QUERIES["ddl_tables_all"](spark, str(tmp_path))
+    assert rows(got) == {(1, "a", True, True), (1, "b", True, False), (1, "gone", False, True), (2, "c", True, False)} and got.count() == 4
+
+
 def test_usage(spark):
     text = "a();\n\n{\n  b();\n}\n" + "".join(f"x{i}();\n" for i in range(20))
     files = spark.createDataFrame([(1, "p", text)], "file_id long, path string, content string")
