@@ -12,7 +12,7 @@ from symbolmill.llm.tokens import count_tokens, encode_documents
 
 
 def p4_found(spark, d):
-    return documented_symbols(read(spark, d, "symbols"), read_spread(spark, d, "files"), with_code=False).select("symbol_id").distinct()
+    return p4_pairs(spark, d).select("symbol_id").distinct()
 
 
 def p4_pairs(spark, d):
@@ -45,15 +45,15 @@ def p6_rates(spark, d):
 
 
 def p7_ids(spark, d):
-    return encode_documents(read_spread(spark, d, "documents"))
+    return encode_documents(read(spark, d, "documents"))
 
 
 def p7_counts(spark, d):
-    return count_tokens(read_spread(spark, d, "documents"))
+    return count_tokens(read(spark, d, "documents"))
 
 
 def p8_containers(spark, d):
-    return fill_containers(read_spread(spark, d, "documents"), read(spark, d, "container_sizes"))
+    return fill_containers(read(spark, d, "documents"), read(spark, d, "container_sizes"))
 
 
 def p8_report(spark, d):

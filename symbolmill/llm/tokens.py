@@ -1,12 +1,17 @@
 """Encoding of the corpus with a public byte-level BPE tokenizer (problem 7).
 
-Corpus-level merge replay: a task takes the distinct words of its part of the corpus,
-lays them end to end as symbols, and keeps an inverted index from token pair to the
-word positions where it stands. Merges are applied in rank order over all words at
-once; a merge visits only the positions in its posting list and adds the pairs with
-the touched neighbours to the index. Texts are then rows of indices into the encoded
-words. Words never cross a task, so the corpus is encoded without any shuffle: it is
-read, encoded and written once, whatever its size.
+Corpus-level merge replay. Documents fall into slices; of every slice the distinct words
+go to the partition of their word, so a word of the corpus is met in one place only. There
+the words of a partition are laid end to end as symbols, with an inverted index from token
+pair to the word positions where it stands. Merges are applied in rank order over all of
+these words at once; a merge visits only the positions in its posting list and adds the
+pairs with the touched neighbours to the index. The encoded words return to their slices,
+whose documents become rows of ids.
+
+Shapes at scale: texts are shuffled once (both readers of the slices share that exchange),
+words once for each slice that holds them. A word of every text is one row per slice, and
+rows of words stream through their task: an index takes in ``INDEX_ROWS`` of them and is
+then replaced, so no hot word and no large partition fills a worker.
 
 Edge cases: null, empty texts: an empty list of ids. Blank texts, unusual characters
 and the strings of special tokens are ordinary text. A very long word (a blob without
@@ -19,13 +24,14 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Where the public vocabularies lie unless a caller names another folder.
 TOKENIZERS = "/opt/tokenizers"
@@ -40,8 +46,8 @@ _PLAIN = re.compile(
     f" ?[{_LETTERS}]+|[{_BLANKS}]+(?![^{_BLANKS}])| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^{_BLANKS}{_LETTERS}0-9]+|[{_BLANKS}]+"
 )
 _RARE = re.compile("[^\x00-\x1b\x20-\x7f\u00a1-\u00a9\u00aa-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2013\u2014\u2018-\u201e\u2022\u2026]")
-#: Words kept between batches of a task.
-_KEPT = 300_000
+#: Documents of one slice, about; rows of words, and their bytes, that one inverted index takes in.
+SLICE_DOCUMENTS, INDEX_ROWS, INDEX_BYTES = 1_000, 400_000, 1 << 25
 
 
 def words_of(text: str) -> list[str]:
@@ -150,87 +156,99 @@ class MergeReplay:
                             found.append(o)
 
 
-class TextEncoder:
-    """Encodes batches of texts, keeping the words met before."""
+_REPLAYS: dict[str, MergeReplay] = {}
 
-    def __init__(self, path: str):
-        self.replay = MergeReplay(*load_merges(path))
-        self.known: dict[str, list[int]] = {}
 
-    def _learn(self, pieces: list[list[str]]) -> None:
-        if len(self.known) > _KEPT:
-            self.known.clear()
-        fresh = list(set().union(*pieces).difference(self.known))
-        self.known.update(zip(fresh, self.replay.encode(fresh), strict=True))
+def merge_replay(path: str) -> MergeReplay:
+    """One replay per worker process and vocabulary."""
+    if path not in _REPLAYS:
+        _REPLAYS[path] = MergeReplay(*load_merges(path))
+    return _REPLAYS[path]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts end to end, number of ids of each text)."""
-        pieces = [words_of(t) if t else [] for t in texts]
-        self._learn(pieces)
-        get = self.known.__getitem__
-        out, sizes = [], np.zeros(len(texts), dtype=np.int64)
-        for i, words in enumerate(pieces):
-            ids = list(chain.from_iterable(map(get, words)))
-            sizes[i] = len(ids)
-            out.append(np.array(ids, dtype=np.int32))
-        return (np.concatenate(out) if out else np.zeros(0, dtype=np.int32)), sizes
 
-    def sizes(self, texts: list[str | None]) -> np.ndarray:
-        """Number of ids of each text."""
-        pieces = [words_of(t) if t else [] for t in texts]
-        self._learn(pieces)
-        get = self.known.__getitem__
-        return np.array([sum(map(len, map(get, words))) for words in pieces], dtype=np.int64)
+def sliced(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, slice): documents dealt out to slices by a hash of the row, never by a value that many share."""
+    n = 1 + documents.count() // SLICE_DOCUMENTS  # a count over Parquet footers
+    return documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("slice")).repartition("slice")
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+def slice_words(slices: DataFrame) -> DataFrame:
+    """(slice, word): the distinct words of every slice (a word may come twice where a slice has very many)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for s, words in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), s)), pa.array(list(words), pa.string())], ["slice", "word"])
+            seen.clear()
+
+        for b in batches:
+            for s, text in zip(b.column("slice").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if text:
+                    seen.setdefault(s, set()).update(words_of(text))
+            if sum(map(len, seen.values())) > INDEX_ROWS:
+                yield from emit()
+        yield from emit()
 
-def encoder(path: str) -> TextEncoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    return slices.mapInArrow(run, "slice long, word string")
 
 
-def _parts(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of text at most (one row at least)."""
-    sizes = np.array([len(x) if x else 0 for x in batch.column("text").to_pylist()], dtype=np.int64)
-    start, total = 0, 0
-    for i, s in enumerate(sizes.tolist()):
-        if total and total + s > limit:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += s
-    if len(batch) > start:
-        yield batch.slice(start)
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """(slice, word, ids) of (slice, word): an inverted index over the words of each partition of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay, parts, rows, size = merge_replay(path), [], 0, 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts)
+            coded = table.column("word").combine_chunks().dictionary_encode()
+            ids = replay.encode(coded.dictionary.to_pylist())
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(list(chain.from_iterable(ids)), pa.int32()))
+            out = pa.Table.from_arrays([table.column("slice"), table.column("word"), lists.take(coded.indices)], ["slice", "word", "ids"])
+            yield from out.combine_chunks().to_batches()
+
+        for b in batches:
+            parts.append(b)
+            rows, size = rows + len(b), size + b.nbytes
+            if rows >= INDEX_ROWS or size >= INDEX_BYTES:
+                yield from emit()
+                parts, rows, size = [], 0, 0
+        if parts:
+            yield from emit()
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "slice long, word string, ids array<int>")
+
+
+def _documents_of(documents: DataFrame, folder: str, vocabulary: str, field: str, make: Callable[[list[list[list[int]]]], pa.Array]) -> DataFrame:
+    """(doc_id, field): ``make`` turns the encoded words of each document of a slice into the field."""
+    name, kind = field.split(" ")[0], documents.schema["doc_id"].dataType.simpleString()
+    slices = sliced(documents)
+    words = encoded_words(slice_words(slices), f"{folder}/{vocabulary}")
+
+    def run(texts: pa.Table, coded: pa.Table) -> pa.Table:
+        lists = coded.column("ids").combine_chunks()
+        flat, at = lists.flatten().to_pylist(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+        known = {w: flat[a:z] for w, a, z in zip(coded.column("word").to_pylist(), at, at[1:], strict=False)}
+        get = known.__getitem__
+        made = make([list(map(get, words_of(t))) if t else [] for t in texts.column("text").to_pylist()])
+        return pa.Table.from_arrays([texts.column("doc_id"), made], ["doc_id", name])
+
+    return slices.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(run, f"doc_id {kind}, {field}")
 
 
 def encode_documents(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids) of every document."""
-    path = f"{folder}/{vocabulary}"
-    kind = documents.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in batches:
-            for part in _parts(batch):
-                ids, sizes = enc.encode(part.column("text").to_pylist())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+    def lists(documents: list[list[list[int]]]) -> pa.Array:
+        ids = [np.array(list(chain.from_iterable(words)), dtype=np.int32) for words in documents]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return _documents_of(documents, folder, vocabulary, "ids array<int>", lists)
 
 
 def count_tokens(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of every document; 0 for null and empty texts."""
-    path = f"{folder}/{vocabulary}"
-    kind = documents.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in batches:
-            for part in _parts(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(enc.sizes(part.column("text").to_pylist()))], ["doc_id", "n_tokens"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return _documents_of(documents, folder, vocabulary, "n_tokens long", lambda documents: pa.array([sum(map(len, words)) for words in documents], pa.int64()))

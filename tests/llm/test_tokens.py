@@ -3,7 +3,7 @@ import random
 import duckdb
 from tokenizers import Tokenizer
 
-from symbolmill.llm.tokens import TOKENIZERS, VOCABULARY, TextEncoder, _PATTERN, count_tokens, encode_documents, words_of
+from symbolmill.llm.tokens import TOKENIZERS, VOCABULARY, _PATTERN, count_tokens, encode_documents, encoded_words, merge_replay, slice_words, sliced, words_of
 
 SCHEMA = "doc_id long, text string, ids string"
 
@@ -41,7 +41,19 @@ def test_repeated_rows_and_empty_table(spark):
 
 
 def test_round_trip_of_words():
-    enc = TextEncoder(f"{TOKENIZERS}/{VOCABULARY}")
-    ids, sizes = enc.encode(["hello world", None, "aaaaaaa"])
-    assert reference().decode(ids[: sizes[0]].tolist()) == "hello world" and sizes[1] == 0
+    ids = merge_replay(f"{TOKENIZERS}/{VOCABULARY}").encode(["hello", " world", "", "aaaaaaa"])
+    assert reference().decode(ids[0] + ids[1]) == "hello world" and ids[2] == [] and reference().decode(ids[3]) == "aaaaaaa"
     assert all(words_of(t) == _PATTERN.findall(t) for t in odd_texts(2000))
+
+
+def test_a_word_of_the_corpus_is_encoded_in_one_partition(spark):
+    rows = [(i, f"every text has the word{i % 7} and its own x{i}", "x") for i in range(3000)] + [(None, None, "x"), (None, "", "x")]
+    slices = sliced(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert slices.select("slice").distinct().count() > 1
+    words = slice_words(slices)
+    coded = encoded_words(words, f"{TOKENIZERS}/{VOCABULARY}")
+    from pyspark.sql import functions as F
+
+    parts = coded.withColumn("p", F.spark_partition_id()).groupBy("word").agg(F.countDistinct("p").alias("n"), F.countDistinct("ids").alias("m"))
+    assert parts.filter("n > 1 or m > 1").count() == 0
+    assert coded.count() == words.distinct().count()
