@@ -6,23 +6,24 @@ is unbalanced, closed wrongly or ended too early; and token rules on the rest fi
 merge-conflict markers, neighbours no grammar allows (two names or a literal and a name
 in a row, as in prose or in another language), statements that break off and, for PHP,
 a missing opening tag. Bodies of SQL routines and blocks are not judged, but for their
-delimiters and their END; all other SQL statements are. For Python the language's own parser has the last word on what
-the lexer found sound.
+delimiters and their END; all other SQL statements are. Strings with expressions in them
+(PHP, TypeScript templates, Python's formatted strings) and JSX elements are taken out by a
+pushdown of their own. For Python a second stack follows the indentation: what opens a
+block, which clause may follow which, and where a block must not end.
 
 Verdicts are per file and come from one pass over the table without a shuffle; rates
 per repository and language are one small aggregation.
 
 Edge cases: null, empty and blank contents are valid; unknown and null languages are
 not judged; languages are compared in lower case; any line ends, a byte-order mark and
-unusual characters are part of the language; very long files are read whole; repeated
+unusual characters are part of the language; very long files are read whole; strings in
+strings (or elements in elements) nested some hundred levels deep are a fault; repeated
 rows give one verdict; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -57,14 +58,14 @@ def _words(text: str) -> str:
 _DECLARE = frozenset(("function", "class", "interface", "trait", "namespace", "import", "const", "let", "def"))
 
 
-def _neighbours(keywords: str, before: str = r"[\w$\\>.:@#&-]") -> Callable[[str], bool]:
+def _neighbours(keywords: str, before: str = r"[\w$\\>.:@#&-]", declare: frozenset[str] = _DECLARE) -> Callable[[str], bool]:
     """Whether two names stand in a row of which neither is a keyword."""
     known = frozenset(keywords.split())
     pair = re.compile(rf"(?<!{before})([^\W\d]\w*+)[ \t]++(?=([^\W\d]\w*+))")
 
     def found(code: str) -> bool:
         return any(
-            a not in known and a.lower() not in known and (b in _DECLARE or (b not in known and b.lower() not in known)) for a, b in pair.findall(code)
+            a not in known and a.lower() not in known and (b in declare or (b not in known and b.lower() not in known)) for a, b in pair.findall(code)
         )
 
     return found
@@ -92,20 +93,96 @@ _PHP_KEYWORDS = (
 _PHP_NAMES = _neighbours(_PHP_KEYWORDS)
 _PHP_AFTER = _words("as and or xor instanceof insteadof else elseif endif endforeach endwhile endfor endswitch while catch finally extends implements")
 _PHP_WRONG = re.compile(
-    rf"(?:{_LITERAL}|\$\w++)[ \t\r\n]*(?:{_LITERAL}|\$\w|(?!(?:{_PHP_AFTER})\b)[A-Za-z_]\w*)|\b\d+[ \t]+(?:\$\w|\d|{_LITERAL})"
+    rf"(?:{_LITERAL}|\$\w++)[ \t\r\n]*(?:{_LITERAL}|\$\w|(?!(?:{_PHP_AFTER})\b)[A-Za-z_]\w*)|\b\d+[ \t\r\n]+(?:\$\w|\d|{_LITERAL})|\b(?:extends|implements)\s*[{{;]"
     r"|(?<![=!<>])=[ \t\r\n]*[;)\]}]|[^\s;,:(\[{}]\s*=>\s*[;)\]}]|(?<![=!<>])=[ \t]+=|\b(?:class|interface|trait|enum|function)\s+\d|->\s*[;)\]}=]|,\s*;|\(\s*,|(?<!use )\bfunction\s+\w+\s*[^\s(\w]|\b(?:class|interface|trait)\s+\w+\s*[;(=]",
     re.S,
 )
 
 
+_PHP_STRING = re.compile(
+    r"(?P<skip>(?://|#(?!\[))[^\r\n]*?(?=\?>|[\r\n]|\Z)|/\*.*?\*/|\?>.*?(?:<\?(?:php\b|=|(?=\s))|\Z)|'(?:[^'\\]|\\.)*'"
+    r"|<<<[ \t]*(?P<q>[\"']?)(?P<id>[^\W\d]\w*)(?P=q)[ \t]*(?:\r\n|\r|\n)(?:.*?[\r\n])??[ \t]*(?P=id)\b)|(?P<quote>[\"`])",
+    re.S | re.I,
+)
+_PHP_FIELD = re.compile(r"[()\[\]{}\"'`]")
+
+
+def _php_string_end(text: str, at: int, quote: str) -> int:
+    """Position behind a string whose text begins at ``at``, expressions in it (``{$...}``) by a pushdown; -1 if it has no end."""
+    stop = re.compile(r"\\.|\{\$|\$\{|" + quote, re.S)
+    while m := stop.search(text, at):
+        at = m.end()
+        if m[0] == quote:
+            return at
+        if m[0][0] == "\\":
+            continue
+        stack = ["{"]
+        while stack:
+            f = _PHP_FIELD.search(text, at)
+            if not f:
+                return -1
+            at = f.end()
+            if f[0] in "([{":
+                stack.append(f[0])
+            elif f[0] in ")]}":
+                if stack.pop() != _PAIRS[f[0]]:
+                    return -1
+            elif f[0] == "'":
+                end = re.compile(r"(?:[^'\\]|\\.)*'", re.S).match(text, at)
+                at = end.end() if end else -1
+            else:
+                at = _php_string_end(text, at, f[0])
+            if at < 0:
+                return -1
+    return -1
+
+
+def _plain_interpolated(text: str) -> str:
+    """The text with interpolated strings turned into empty ones."""
+    out: list[str] = []
+    at = 0
+    while m := _PHP_STRING.search(text, at):
+        end = m.end() if m["skip"] else _php_string_end(text, m.end(), m["quote"])
+        out.append(text[at : m.end()] if m["skip"] or end < 0 else text[at : m.start()] + '""')
+        at = m.end() if end < 0 else end
+    return "".join(out) + text[at:]
+
+
+#: Words whose parentheses are no arguments of a call: another operand may follow them.
+_PHP_HEADS = frozenset("if elseif while for foreach switch match catch declare function fn use return echo print and or xor include include_once require require_once case throw new else do clone yield".split())
+_PHP_CALL = re.compile(r"([^\W\d]\w*)?[ \t]*\(|\)[ \t]*(?:[\r\n]\s*)?(?=([$\x02\w])?)")
+
+
+_PHP_NEXT = re.compile(r"\)\s*[$\x02\d]")
+
+
+def _missing_separator(code: str) -> bool:
+    """Whether a variable, number or literal follows the arguments of a call."""
+    if not _PHP_NEXT.search(code):
+        return False
+    calls: list[bool] = []
+    for m in _PHP_CALL.finditer(code):
+        if m[0][-1] == "(":
+            before = code[m.start() - 1 : m.start()]
+            calls.append(bool(m[1]) and m[1].lower() not in _PHP_HEADS and not (before and before in "$"))
+        elif calls and calls.pop() and m[2] and (m[2] in "$\x02" or m[2].isdigit()):
+            return True
+    return False
+
+
 def php_fault(text: str) -> str | None:
     tag = _PHP_TAG.search(text)
     if not tag:
         return "no opening tag"
-    code = _PHP_TOKEN.sub(_replace, text[tag.end() :])
+    text = text[tag.end() :]
+    if "{$" in text or "${" in text:
+        text = _plain_interpolated(text)
+    code = _PHP_TOKEN.sub(_replace, text)
     fault = _common(code) or unbalanced(code)
     if fault:
         return fault
+    if _missing_separator(code):
+        return "unexpected token"
     if code.rstrip()[-1:] not in ("", ";", "}", ":"):
         return "premature end"
     if _PHP_NAMES(code) or _PHP_WRONG.search(code):
@@ -132,11 +209,13 @@ def _common(code: str) -> str | None:
 
 # --- TypeScript
 
+#: Where a slash begins a regular expression.
+_TS_BEFORE = r"(?=[ \t/])(?:(?<=[(,=:\[!&|?{};+\n])|(?<==>)|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase)|(?<=\bof)|(?<=\bin)|(?<=\bvoid)|(?<=\bdelete)|(?<=\bthrow)|(?<=\bdo)|(?<=\belse)|(?<=\bawait)|(?<=\byield))"
 _TS_TOKEN = re.compile(
     r"(?P<comment>//[^\r\n]*|/\*.*?\*/)"
     r"|(?P<conflict>" + _MARKER + r")"
     r"|(?P<literal>'(?:[^'\\\r\n]|\\(?:\r\n|.))*'|\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\""
-    r"|(?<=[(,=:\[!&|?{};+\n])(?P<gap>[ \t]*)/(?![*/])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*)"
+    r"|" + _TS_BEFORE + r"(?P<gap>[ \t]*)/(?![*/])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*)"
     r"|(?P<template>`)"
     r"|(?P<open>['\"]|/\*)",
     re.S | re.M,
@@ -150,19 +229,84 @@ _TS_KEYWORDS = (
 _TS_NAMES = _neighbours(_TS_KEYWORDS, r"[\w$.@#-]")
 _TS_WRONG = re.compile(
     rf"(?:{_LITERAL})[ \t]*(?:{_LITERAL}|(?!(?:as|in|of|instanceof|satisfies|from|is|with|assert)\b)[A-Za-z_$]\w*)|\b\d+[ \t]+(?:[A-Za-z_]\w*|\d|{_LITERAL})(?<!\bin)(?<!\bas)(?<!\bof)"
-    r"|(?<![=!<>])=[ \t\r\n]*[;)\]}]|(?<![=!<>])=[ \t]+=|\b(?:class|interface|enum|function|const|let|var)\s+\d|\b(?:const|let|var)\s*[=;]|,\s*;|\(\s*,|<\?php|\bimport\s+\w+\s*[\r\n;]|^\s*def\s+\w+\s*\(|^\s*#(?!\w)|\$\w+\s*->|^\s*(?:use|namespace)\s+[\w\\]+;",
+    r"|(?<![=!<>])=[ \t\r\n]*[;)\]}]|(?<![=!<>])=[ \t]+=|\b(?:class|interface|enum|function|const|let|var)\s+\d|\b(?:const|let|var)\s*[=;]|,\s*;|\(\s*,|<\?php|\b(?:extends|implements)\s*[{;]|\bimport\s+\w+\s*[\r\n;]|^\s*def\s+\w+\s*\(|^\s*#(?!\w)|\$\w+\s*->|^\s*(?:use|namespace)\s+[\w\\]+;",
     re.S | re.M,
 )
 _TS_BROKEN = re.compile(r"\b(?:const|let|var|return|function|class|interface|export|import|from|new|extends|implements|if|for|while|throw|else|case|typeof|await|of|in)\s*\Z|[=+*/,.:?&|(\[{<-]\s*\Z")
 
 
-_TS_REGEX = r"(?<=[(,=:\[!&|?{};+\n])[ \t]*/(?![*/])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*|"
+_TS_REGEX = _TS_BEFORE + r"[ \t]*/(?![*/])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*|"
 _TS_SPLIT = re.compile(
     _TS_REGEX + r"//[^\r\n]*|/\*.*?\*/|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'|\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|`(?:[^`\\$]|\\.|\$(?!\{))*`|`", re.S
 )
 
 
+_TS_PLAIN = r"//[^\r\n]*|/\*.*?\*/|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'|\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|`(?:[^`\\]|\\.)*`"
+_JSX_BEGIN = r"(?:(?<=[(=?:,\[{&|])|(?<==>)|(?<=\breturn))(?P<gap>\s*)<(?=[A-Za-z>])"
+_JSX_STEP = re.compile(_TS_REGEX + _TS_PLAIN + "|(?P<jsx>" + _JSX_BEGIN + ")", re.S)
+_JSX_BRACE = re.compile(_TS_PLAIN + "|[{}]|(?P<jsx>" + _JSX_BEGIN + ")", re.S)
+_JSX_OPEN = re.compile(r"<([A-Za-z][\w.:-]*)?")
+_JSX_ATTRIBUTE = re.compile(r"\s*(?:[A-Za-z_$][\w$:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?P<value>\{)))?|(?P<spread>\{)|(?P<end>/?>))")
+_JSX_LEFT = re.compile(r"</[A-Za-z][\w.:-]*>")
+_JSX_CHILD = re.compile(r"</\s*(?P<close>[\w.:-]*)\s*>|[<{]")
+
+
+def _jsx_end(text: str, at: int) -> int:
+    """Position behind the element that begins at ``at``; -1 if there is none."""
+    m = _JSX_OPEN.match(text, at)
+    at = m.end()
+    while True:
+        a = _JSX_ATTRIBUTE.match(text, at)
+        if not a:
+            return -1
+        at = a.end()
+        if a["value"] or a["spread"]:
+            at = _jsx_brace(text, at)
+            if at < 0:
+                return -1
+        elif a["end"] == "/>":
+            return at
+        elif a["end"]:
+            break
+    while child := _JSX_CHILD.search(text, at):
+        if child[0].startswith("</"):
+            return child.end() if child["close"] == (m[1] or "") else -1
+        at = _jsx_brace(text, child.end()) if child[0] == "{" else _jsx_end(text, child.start())
+        if at < 0:
+            return -1
+    return -1
+
+
+def _jsx_brace(text: str, at: int) -> int:
+    """Position behind the brace that closes the one before ``at``."""
+    depth = 1
+    while m := _JSX_BRACE.search(text, at):
+        at = m.end()
+        if m["jsx"]:
+            end = _jsx_end(text, m.end("gap"))
+            at = end if end > 0 else at
+        elif m[0] in "{}":
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                return at
+    return -1
+
+
+def _plain_elements(text: str) -> str:
+    """The text with JSX elements, where an operand may stand, turned into empty strings."""
+    out: list[str] = []
+    at = 0
+    while m := _JSX_STEP.search(text, at):
+        end = _jsx_end(text, m.end("gap")) if m["jsx"] else -1
+        out.append(text[at : m.end()] if end < 0 else text[at : m.end("gap")] + '""')
+        at = m.end() if end < 0 else end
+    return "".join(out) + text[at:]
+
+
 def typescript_fault(text: str) -> str | None:
+    if "</" in text or "/>" in text:
+        text = _plain_elements(text)
+
     def literal(m: re.Match[str]) -> str:
         if m.lastgroup == "comment":
             return " "
@@ -189,7 +333,7 @@ def typescript_fault(text: str) -> str | None:
         plain = _TS_SPLIT.sub(flat, text)
         text = _flatten_templates(text) if nested else plain
     code = _TS_TOKEN.sub(literal, text)
-    fault = _common(code) or ("unterminated literal" if "`" in code else None) or unbalanced(code)
+    fault = _common(code) or ("unterminated literal" if "`" in code else None) or unbalanced(code) or ("closed wrongly" if _JSX_LEFT.search(code) else None)
     if fault:
         return fault
     if _TS_BROKEN.search(code):
@@ -240,27 +384,169 @@ def _flatten_templates(text: str) -> str:
 
 # --- Python
 
+_PY_PREFIX = r"(?<![\w.])(?:[rR]?[fFtT]|[fFtT][rR]|[rR]?[bB]|[bB][rR]|[rRuU])?"
 _PY_TOKEN = re.compile(
     r"(?P<comment>#[^\r\n]*)"
     r"|(?P<conflict>" + _MARKER + r")"
-    r"|(?P<literal>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'|\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\")"
+    rf"|(?P<literal>{_PY_PREFIX}(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'|\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"))"
+    r"|(?P<join>\\(?:\r\n|\r|\n))"
     r"|(?P<open>['\"])",
     re.S | re.M,
 )
+_PY_FORMATTED = re.compile(r"(?P<skip>#[^\r\n]*)|(?P<prefix>(?<![\w.])[rRbBuUfFtT]{0,2})(?P<quote>\"\"\"|'''|\"|')")
+_PY_KEYWORDS = (
+    "False None True and as assert async await break case class continue def del elif else except exec finally for from global if import in is lambda "
+    "match nonlocal not or pass raise return try type while with yield"
+)
+_PY_NAMES = _neighbours(_PY_KEYWORDS, r"[\w.@$]", frozenset(("def", "class")))
+_PY_BETWEEN = _words("and or not in is if else for async as from import")
+_PY_WRONG = re.compile(
+    rf"{_LITERAL}[ \t]*(?!(?:{_PY_BETWEEN})\b)[^\W\d]\w*|(?<![\w.])(?!(?:{_words(_PY_KEYWORDS)})\b)[^\W\d]\w*[ \t]*{_LITERAL}"
+    rf"|(?<![\w.])\d[\w.]*[ \t]+(?:\d|{_LITERAL}|(?!(?:{_PY_BETWEEN})\b)[^\W\d]\w*)|[\])}}][ \t]*(?:\d|{_LITERAL}|(?!(?:{_PY_BETWEEN})\b)[^\W\d]\w*)"
+    r"|[?$`]|!(?!=)|&&|\|\||=>|===|[=!<>]=[ \t]*=|=[ \t]+=|(?<![=!<>:])=[ \t]*(?:[,)\]}]|$)|[(\[{,][ \t]*,|[+\-/%|&^~<>=][ \t]*$|(?<!import)(?<!import[ \t])\*[ \t]*$|(?<![\d.])\.[ \t]*(?:$|[)\]},])|[+%|&^~<>-][ \t]*[)\]}]|,[ \t]*;"
+    rf"|\b(?:{_words('and or not in is if else for lambda import assert as del global nonlocal while elif class def from')})[ \t]*(?:$|[)\]}},=])"
+)
+_PY_LEAD = re.compile(r"[ \t\f]*")
+_PY_OPENS = re.compile(r"(async[ \t]+)?(if|elif|else|for|while|try|except|finally|with|def|class)\b")
+_PY_SOFT = re.compile(r"(match|case)[ \t]+(?![=.,)\]]|(?:and|or|in|is|if|else|for)\b).*:[ \t]*$|(match|case)[ \t]*[(\[{\x02-].*:[ \t]*$")
+_PY_STATEMENTS = [
+    (re.compile(p), re.compile(q))
+    for p, q in (
+        (r"import\b", r"import[ \t]+[\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*[ \t]*"),
+        (r"from\b", r"from[ \t]*(?:\.[ \t.]*)?(?:[\w.]+[ \t]*)?\bimport\b[ \t]*(?:\*|\(.*\)|\w+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*\w+(?:[ \t]+as[ \t]+\w+)?)*)[ \t]*"),
+        (r"(?:async[ \t]+)?def\b", r"(?:async[ \t]+)?def[ \t]+[^\W\d]\w*[ \t]*(?:\[.*\][ \t]*)?\(.*\)[ \t]*(?:->[ \t]*\S.*?)?:.*"),
+        (r"class\b", r"class[ \t]+[^\W\d]\w*[ \t]*(?:\[.*\][ \t]*)?(?:\(.*\)[ \t]*)?:.*"),
+        (r"(?:else|try|finally)\b", r"(?:else|try|finally)[ \t]*:.*"),
+        (r"(?:if|elif|while|with|except)\b|(?:async[ \t]+)?(?:for|with)\b", r"(?:except[ \t]*|(?:async[ \t]+)?(?:if|elif|while|with|except|for)\b[ \t]*[^\s:].*?):.*"),
+        (r"(?:async[ \t]+)?for\b", r".*\bin\b[ \t]*[^\s:].*:.*"),
+        (r"(?:pass|break|continue)\b", r"(?:pass|break|continue)[ \t]*(?:;.*)?"),
+    )
+]
+#: What a clause follows at its own depth.
+_PY_AFTER = {
+    "elif": ("if", "elif"), "else": ("if", "elif", "for", "while", "try", "except"), "except": ("try", "except"), "finally": ("try", "except", "else"),
+}
+
+
+def _plain_formatted(text: str) -> str:
+    """The text with formatted strings whose replacement fields hold quotes or strings turned into plain ones; a pushdown over fields."""
+    out: list[str] = []
+    at = 0
+    while m := _PY_FORMATTED.search(text, at):
+        if m["skip"]:
+            out.append(text[at : m.end()])
+            at = m.end()
+            continue
+        end = _string_end(text, m.end(), m["quote"], "f" in m["prefix"].lower() or "t" in m["prefix"].lower(), 0)
+        out.append(text[at : m.start()])
+        out.append(text[m.start() : m.end()] if end < 0 else '""')
+        at = m.end() if end < 0 else end
+    return "".join(out) + text[at:]
+
+
+def _string_end(text: str, at: int, quote: str, fields: bool, depth: int) -> int:
+    """Position behind a string whose text begins at ``at``; -1 if it has no end."""
+    stop = re.compile(r"\\(?:\r\n|.)|" + quote + (r"|\{\{|\{" if fields else "") + ("" if len(quote) == 3 else r"|[\r\n]"), re.S)
+    while m := stop.search(text, at):
+        at = m.end()
+        if m[0] == quote:
+            return at
+        if m[0] in ("\r", "\n"):
+            return -1
+        if m[0] == "{":
+            level = 1
+            while level:
+                f = re.compile(r"[{}]|[rRbBuUfFtT]{0,2}(\"\"\"|'''|\"|')", re.S).search(text, at)
+                if not f:
+                    return -1
+                at = f.end()
+                if f[0] == quote and level == 1 and not depth and not re.compile(r"[^\r\n]*[}]").match(text, at):
+                    return -1
+                if f[0] in "{}":
+                    level += 1 if f[0] == "{" else -1
+                else:
+                    at = _string_end(text, at, f[1], len(f[0]) > len(f[1]), depth + 1)
+                    if at < 0:
+                        return -1
+    return -1
+
+
+def _logical_lines(code: str) -> tuple[list[tuple[int, str]], str | None]:
+    """(indentation, text) of logical lines, brackets joined to one line; what the stack of brackets finds wrong."""
+    out: list[tuple[int, str]] = []
+    stack: list[str] = []
+    current: list[str] = []
+    for line in re.split(r"\r\n|\r|\n", code):
+        if not current and not line.strip():
+            continue
+        current.append(line)
+        for d in _DELIMITER.findall(line):
+            if d in "([{":
+                stack.append(d)
+            elif not stack:
+                return out, "closed too often"
+            elif stack.pop() != _PAIRS[d]:
+                return out, "closed wrongly"
+        if not stack:
+            whole = " ".join(current)
+            lead = _PY_LEAD.match(whole)[0]
+            out.append((len(lead.expandtabs(8)), whole.strip()))
+            current = []
+    return out, "premature end" if stack else None
 
 
 def python_fault(text: str) -> str | None:
-    code = _PY_TOKEN.sub(_replace, text)
-    fault = _common(code) or unbalanced(code)
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text.removeprefix("﻿"))
-    except (RecursionError, MemoryError):
+    """Literals by the lexer, brackets and blocks by stacks, statements by their forms."""
+    text = text.removeprefix("\ufeff")
+    if "{" in text:
+        text = _plain_formatted(text)
+    code = _PY_TOKEN.sub(lambda m: " " if m.lastgroup == "join" else _replace(m), text)
+    fault = _common(code)
+    if fault:
         return fault
-    except (SyntaxError, ValueError):
-        return fault or "unexpected token"
-    return None
+    lines, fault = _logical_lines(code)
+    return fault or _blocks(lines)
+
+
+def _blocks(lines: list[tuple[int, str]]) -> str | None:
+    """What is wrong with the indentation, the clauses or a statement."""
+    depths, last, opened = [0], [""], False  # last: the statement before at each depth, by its keyword
+    for depth, line in lines:
+        if opened:
+            if depth <= depths[-1]:
+                return "premature end"
+            depths.append(depth)
+            last.append("")
+            opened = False
+        elif depth > depths[-1]:
+            return "unexpected token"
+        head = _PY_OPENS.match(line)
+        word = head[2] if head else ""
+        while depth < depths[-1]:
+            if last[-1] == "try":
+                return "unexpected token"
+            depths.pop()
+            last.pop()
+        if depth != depths[-1] or (last[-1] == "try" and word not in ("except", "finally")) or (word in _PY_AFTER and last[-1] not in _PY_AFTER[word]):
+            return "unexpected token"
+        soft = bool(not head and _PY_SOFT.match(line))
+        if line[0] in "/%|&^=<>,:)]}!+" and line[:1] != "+" or (line[0] == "." and not line.startswith("...")):
+            return "unexpected token"
+        for part in _statements_of(line):
+            if _PY_NAMES(part) or _PY_WRONG.search(part):
+                return "unexpected token"
+        for start, form in _PY_STATEMENTS:
+            if start.match(line) and not form.fullmatch(line) and not (start.pattern.startswith(("import", "from")) and ";" in line):
+                return "unexpected token"
+        opened = (bool(head) or soft) and line.endswith(":")
+        last[-1] = word
+    if opened:
+        return "premature end"
+    return "premature end" if "try" in last else None
+
+
+def _statements_of(line: str) -> list[str]:
+    return [p.strip() for p in line.split(";")] if ";" in line else [line]
 
 
 # --- SQL
@@ -379,6 +665,30 @@ def _sql_statements(code: str) -> tuple[list[tuple[str, bool]], bool]:
     return out, False
 
 
+_SQL_LIST = re.compile(r"\s*select\b(.*?)(?:\b(?:from|into|where|union|group|order|having|limit|intersect|except|window|qualify|for)\b|\Z)", re.I | re.S)
+#: Words that join or follow operands in the list of a SELECT.
+_SQL_JOINERS = frozenset(
+    "distinct all top as case when then else end and or not is null in like ilike rlike regexp between exists any some over partition by rows range groups unbounded "
+    "preceding following current row within filter interval year month day hour minute second at time zone local collate escape cast using separator div mod xor "
+    "similar to both leading trailing percent with ties ignore respect nulls asc desc first last true false unknown date timestamp datetime binary prior "
+    "straight_join sql_no_cache sql_calc_found_rows high_priority distinctrow unique bulk collect offset fetch next only values array struct map precision varying "
+    "unsigned signed integer character double national".split()
+)
+
+
+def _wrong_list(s: str) -> bool:
+    """Whether an item of the list of a SELECT has more behind its operand than a name."""
+    while "(" in s and (flat := re.sub(r"\([^()]*\)", "\x02", s)) != s:
+        s = flat
+    m = _SQL_LIST.match(s)
+    for item in m[1].split(",") if m else ():
+        words = re.findall(r"[\w$@]+(?:\s*\.\s*[\w$@*]+)*|\S", item)
+        free = [bool(re.match(r"[\w$@\x02]", w)) and w.lower() not in _SQL_JOINERS for w in words]
+        if any(a and b and c and words[i + 1] != _LITERAL and words[i + 2] != _LITERAL for i, (a, b, c) in enumerate(zip(free, free[1:], free[2:], strict=False))):
+            return True
+    return False
+
+
 def _sql_fault(code: str) -> str | None:
     fault = _common(code) or unbalanced(code)
     if fault:
@@ -395,6 +705,8 @@ def _sql_fault(code: str) -> str | None:
             return "unexpected token"
         if _SQL_BROKEN.search(s):
             return "premature end"
+        if _wrong_list(s):
+            return "unexpected token"
         for head, form in _SQL_FORMS:
             if head.match(s) and not form.fullmatch(s):
                 return "premature end" if k + 1 == len(statements) and not code.rstrip().endswith(";") else "unexpected token"
@@ -422,7 +734,10 @@ CHECKERS: dict[str, Callable[[str], str | None]] = {
 def fault_of(language: str | None, content: str | None) -> str | None:
     """What is wrong with a file; null if nothing is."""
     check = CHECKERS.get((language or "").strip().lower())
-    return check(content) if check and content and content.strip() else None
+    try:
+        return check(content) if check and content and content.strip() else None
+    except RecursionError:
+        return "nested too deeply"
 
 
 def file_faults(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ GOOD = {
     "php": [
         "<?php\nclass A extends B implements C { use T; const X = 1; public function f(?int $a, string ...$b): ?self { return $a ?? fn($x) => $x['k']; } }\n",
         "<?php $a = <<<TXT\nIt's { not ( closed\n  TXT;\n$b = \"x {$a['k']} (\"; # it's\n#[Attr(1)]\nfunction f() { return match(true) { default => '}' }; }",
+        "<?php $a = \"x {$b[\"k\"]} y {$c->d(\"{$e['f']}\")}\"; if (f($a)) $b = (int) $c; foreach (g() as $x) print(1) . 2;",
         "<p>it's ( html</p><?= $x ?> more { html <?php if ($a): ?>x<?php endif; ?>",
         "<?php // ends ?>\n<b>don't</b>",
         "<?php f();\n__halt_compiler();\n{{ [ unused don't\n",
@@ -14,6 +15,7 @@ GOOD = {
         "﻿<?php\r\nnamespace A\\B;\r\nuse function X\\y;\r\nabstract class Z { abstract protected function q(array $a): void; }\r\n",
     ],
     "sql": [
+        "SELECT DISTINCT a b, count(*) OVER (PARTITION BY c ORDER BY d) AS n, CASE WHEN x THEN 1 ELSE 2 END y, 'a' 'b' z, CAST(q AS double precision) FROM t u; SELECT 1 one",
         "CREATE TABLE `a` (x INT DEFAULT 'it''s', [y] TEXT, \"z\" INT);\n-- don't\nINSERT INTO t (a) VALUES ('x;('), ('b');",
         "# it's a note\nUPDATE t SET a = 'it\\'s' WHERE b = 1; SELECT '\\' FROM t".replace("; SELECT '\\' FROM t", ""),
         "SELECT 'C:\\' AS p; DELETE FROM t WHERE x < 3",
@@ -26,22 +28,32 @@ GOOD = {
     "typescript": [
         "import { A } from './a';\nexport function f<T>(a: T[], b = 3): Record<string, number> { const r = /[/'\"]\\//g; return `x ${a.map((q) => `{${q}`)} (`; } // don't",
         "interface A { b?: string; readonly c: number }\ntype B = keyof A | 'x';\nabstract class D extends E { private f = async () => { await g(); }; }\n",
+        "const f = (s: string) => { return /x{/.test(s) || /[}]/.test(s); }; const g = () => typeof /(/;",
+        "export const A = () => (<ul className='a'>{items.map((i) => <li key={i} {...i}>don't {`${i}`} <B.C/></li>)}<></></ul>);\nconst b = a < c, d = <T>(x: T) => x;",
         "const a = b / c / d;\nlet s = \"it's\", t = 'a\\\nb';\nfor (const x of y) { label: while (true) break }\nexport default a as unknown;",
     ],
-    "python": ["def f(x):\n    '''it's ('''\n    return {'a': [1, (2)]} # don't\n", 'x = """\n<<<<<<< HEAD\n"""\n', "f'{a!r:>{w}}'\n"],
+    "python": [
+        "try:\n    a\nexcept (A, B) as e:\n    pass\nelse:\n    b\nfinally:\n    c\n", "match x:\n    case [1, *r] if r:\n        y = f\"{a[\"k\"]!r} {{\"\n    case _:\n        pass\nmatch = 3\n",
+        "x = (1,\n  2)\nif x: y = 4.\nelse: z = x[1:, ::2]\n@d(1)\nasync def f(a, /, b: int = 1, *, c) -> dict[str, int]:\n\treturn a if b else lambda: c\n", "from . import *\nfrom a import (b,\n c)\nimport d.e as f, g\n",
+        "s = 'a' 'b' \\\n  'c'\nclass A[T](B, metaclass=C): x: int = 3; y = ...\n",
+    ] + ["def f(x):\n    '''it's ('''\n    return {'a': [1, (2)]} # don't\n", 'x = """\n<<<<<<< HEAD\n"""\n', "f'{a!r:>{w}}'\n"],
 }
 BAD = {
     "php": [
         "UPDATE a SET b = 1;", "no tag", "<?php class A { function f() { }", "<?php $a = 'open;\n$b = 1;\n", "<?php f(]);", "<?php }", "<?php /* open",
         "<?php $a = <<<TXT\nnever closed\n", "<?php\nclass A {\n<<<<<<< HEAD\n$a;\n=======\n$b;\n>>>>>>> x\n}", "<?php $count = (7 + ;", "<?php function (asset { }",
         "<?php This is prose about the weather.", "<?php use A\\B;\nuse C", "<?php $x = ;", "<?php class 9lives {}", "<?php\r\n$a = 1;\r\n<<<<<<< HEAD\r\n$b = 2;\r\n", "<?php $a = = 3;",
+        "<?php\n$x = 1\n$y = 2;", "<?php class A extends { }", "<?php f($a)\n$y = 2;", "<?php $a = \"x {$b[\"k\"} y\";",
     ],
     "sql": [
         "# Title\n\nWhen the cat sleeps it dreams.\n", "CREATE TABLE t (a INT", "UPDATE p SET note = 'open WHERE id = 3;\n", "SELECT a,, b FROM t;", "DELETE FROM", "<?php echo 1;",
         "INSERT INTO t (a) VALUES", "CREATE TABLE t (a INT));", "import x from 'y';", "UPDATE t SET a", "CREATE TABEL t (id INT);", "DELETE FORM t WHERE a = 1;", "DROP TABEL t;", "ALTER TABEL t ADD c INT;",
+        "select 1 frm t", "SELECT a, b c d FROM t",
     ],
-    "typescript": ["function f() {", "const a = `x ${b", "const a = 'x\nconst b = 1;", "def f(x):\n    return x\n", "CREATE TABLE t (a INT);", "<?php echo 1;", "const a = (1];", "let total = = 3;", "const = 4;", "exprot function f() {}", "class 9a {}", "export function f(a: number"],
-    "python": ["def f(x):\n  return (x\n", "x = 'a\n", "def (x):\n    pass\n", "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\n", "const a = {};\n", "for x in y:\n", "'''open"],
+    "typescript": ["function f() {", "const a = `x ${b", "const a = 'x\nconst b = 1;", "def f(x):\n    return x\n", "CREATE TABLE t (a INT);", "<?php echo 1;", "const a = (1];", "let total = = 3;", "const = 4;", "exprot function f() {}", "class 9a {}", "export function f(a: number", "class A extends { }", "const a = <div>{x</div>;", "const a = <div><b></div>;"],
+    "python": ["def f(x):\n  return (x\n", "x = 'a\n", "def (x):\n    pass\n", "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\n", "const a = {};\n", "for x in y:\n", "'''open",
+        "if x:\npass\n", "x = 1\n  y = 2\n", "if x:\n    a\n  b\n", "try:\n    a\nb = 1\n", "else:\n    a\n", "print 'x'\n", "x = = 3\n", "import a from 'b'\n", "def f(a b):\n    pass\n", "x = f'{a\n",
+        "while True\n    pass\n", "class 9a:\n    pass\n", "x = [1, 2\ny = 3\n", "return (a +)\n", "try:\n    a\n", "function f() { return 1; }\n"],
 }
 
 
