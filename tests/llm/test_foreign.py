@@ -20,7 +20,11 @@ def test_kinds(spark):
         11: ("a.ts", "repo", "typescript", "/*\n * Part of the acme/http package, release 3.\n */\nexport const a = 1;\n"),
         12: ("build/stubs/x.pb.php", "repo", "php", HAND), 13: ("src/Generated/X.php", "repo", "php", HAND),
     }
+    escaped = "<?php\n$s = \"" + "\\x41\\x7f" * 60 + "\";\n"
+    signs = "<?php\n" + "$_=('['^')').(')'^']');$__='_'.(($_^'@')|'!');" * 12 + "\n"
+    yes |= {14: ("a.php", "repo", "php", escaped), 15: ("a.php", "repo", "php", signs), 16: ("a.xyz", "repo", None, numbers), 17: ("a.sql", "repo", "sql", "INSERT INTO t VALUES (1, 2);\n" * 16)}
     no = {
+        60: ("a.sql", "repo", "sql", "INSERT INTO t VALUES (1, 2);\n" * 4), 61: ("a.php", "repo", "php", "<?php return 86400;"), 62: ("a.php", "repo", "php", "<?php\n// 数据的说明文字，不是代码。\n" + HAND[6:]),
         50: ("app/Order.php", "repo", "php", HAND), 51: ("app/Writer.php", "repo", "php", BANNER), 52: ("src/vendor_portal/a.php", "repo", "php", HAND), 53: ("app/Vendor/Rating.php", "repo", "php", HAND),
         54: ("app/GeneratedReport.php", "repo", "php", "<?php\n// Not generated: edit freely, the builder only reads this file.\n" + HAND[6:]), 55: ("src/Cache/AStore.php", "repo", "php", HAND),
         56: (None, None, None, None), 57: ("a.php", "repo", "php", "<?php\n// Counts generated rows per order and vendor.\n" + HAND[6:]),
@@ -30,5 +34,6 @@ def test_kinds(spark):
     ext = spark.createDataFrame([(1, "Acme\\Http\\Client", "class", "acme/http"), (2, None, None, None)], EXTERNAL)
     got = {r.file_id: r.reasons for r in foreign_files(spark.createDataFrame(rows + rows[:3], FILES), ext).collect()}
     assert set(got) == set(yes), got
+    assert "encoded" in got[14] and "packed" in got[15] and got[17] == ["template"]
     assert got[1] == ["minified"] and got[9] == ["package namespace"] and got[11] == ["package comment"]
     assert foreign_files(spark.createDataFrame([], FILES), ext.limit(0)).count() == 0
