@@ -72,36 +72,36 @@ def sql_statements(files: DataFrame) -> DataFrame:
     return _each_file(files, "sql", "line_start int, text string", split_statements)
 
 
-def ddl_columns(files: DataFrame) -> DataFrame:
-    """Columns of CREATE TABLE statements."""
+def _created(text: str) -> Iterator[tuple[int, ddl.Change]]:
+    """(first line of the statement, change) of the statements of a script."""
+    for line, statement in split_statements(text):
+        for change in ddl.statement_changes(statement):
+            yield line, change
 
-    def rows(text: str) -> list[tuple]:
-        return [
-            (line, table, column, kind)
-            for line, statement in split_statements(text)
-            for level, op, table, column, _, kind in ddl.schema_events(statement)
-            if level == "column" and op == "set" and re.match(r"\s*create\b", ddl.without_comments(statement), re.I)
-        ]
 
-    return _each_file(files, "sql", "line_start int, table_name string, column_name string, data_type string", rows)
+def ddl_columns(files: DataFrame) -> DataFrame:
+    """Columns of CREATE TABLE statements, with type, nullability, default, position and line."""
 
+    def rows(text: str) -> list[tuple]:
+        out, at, n = [], None, 0
+        for line, c in _created(text):
+            if c.level == "table":
+                at, n = ((line, c.table_name) if c.op == "set" else None), 0
+            elif c.level == "column" and c.op == "set" and at == (line, c.table_name):
+                n += 1
+                out.append((line, c.table_name, c.column_name, c.data_type, c.is_nullable, c.default_value, n, line + c.line))
+        return out
 
-_KEY = re.compile(r"(?:constraint\s+(\S+)\s+)?foreign\s+key\s*\(([^)]*)\)\s*references\s+([^\s(]+)\s*\(([^)]*)\)", re.I)
-_OWNER = re.compile(r"\s*(?:create\s+table\s+(?:if\s+not\s+exists\s+)?|alter\s+table\s+)([^\s(]+)", re.I)
+    schema = "line_start int, table_name string, column_name string, data_type string, is_nullable boolean, default_value string, ordinal_position int, line_number int"
+    return _each_file(files, "sql", schema, rows)
 
 
 def ddl_keys(files: DataFrame) -> DataFrame:
-    """Table-level foreign keys of CREATE and ALTER TABLE statements."""
+    """Foreign keys of CREATE and ALTER TABLE statements, those of a column's definition among them."""
 
     def rows(text: str) -> list[tuple]:
-        out = []
-        for line, statement in split_statements(text):
-            s = ddl.without_comments(statement)
-            if owner := _OWNER.match(s):
-                for name, cols, target, targets in _KEY.findall(s):
-                    names = [[ddl.normalise(c) for c in x.split(",")] for x in (cols, targets)]
-                    out.append((line, ddl.normalise(owner[1]), ddl.normalise(name) if name else None, names[0], ddl.normalise(target), names[1]))
-        return out
+        found = ((line, c) for line, c in _created(text) if c.level == "key" and c.op == "set")
+        return [(line, c.table_name, c.field, c.source_columns, c.other, c.target_columns) for line, c in found]
 
     schema = "line_start int, table_name string, constraint_name string, source_columns array<string>, target_table string, target_columns array<string>"
     return _each_file(files, "sql", schema, rows)

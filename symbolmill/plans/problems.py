@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from symbolmill.catalog import read
-from symbolmill.operators.changefeed import current_schema
+from symbolmill.operators.changefeed import current_columns, current_keys, current_schema
 from symbolmill.operators.heavykeys import fresh_reference_counts, heavy_targets, target_statistics
 from symbolmill.operators.orphans import orphans_by_period, reference_orphans
 
@@ -21,6 +21,14 @@ def p2_found(spark, d):
     return current_schema(read(spark, d, "sql_statements"))
 
 
+def p2_columns(spark, d):
+    return current_columns(read(spark, d, "sql_statements"))
+
+
+def p2_keys(spark, d):
+    return current_keys(read(spark, d, "sql_statements"))
+
+
 def p3_found(spark, d):
     return heavy_targets(target_statistics(read(spark, d, "symbol_references"))).select("target_qualified_name")
 
@@ -34,7 +42,7 @@ def p3_reference_counts(spark, d):
     return fresh_reference_counts(read(spark, d, "module_symbols"), target_statistics(read(spark, d, "symbol_references")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p3_found, p3_targets, p3_reference_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_columns, p2_keys, p3_found, p3_targets, p3_reference_counts)}
 
 _KEY = r"lower(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '^\\', ''))"
 _NAME = "array_to_string(list_filter(list_transform(string_split(regexp_replace(trim({0}), '^[`\"\\[\\]]+|[`\"\\[\\]]+$', '', 'g'), '.'), lambda p: lower(trim(regexp_replace(trim(p), '^[`\"\\[\\]]+|[`\"\\[\\]]+$', '', 'g')))), lambda p: p <> ''), '.')"

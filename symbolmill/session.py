@@ -7,11 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "symbolmill", cpus: str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the library expects (UTC, AQE, Arrow)."""
+def build_session(app: str = "symbolmill", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the library expects (UTC, AQE); the master is what the cluster sets unless it is named."""
+    builder = SparkSession.builder if master is None else SparkSession.builder.master(master)
     builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -27,10 +27,14 @@ def build_session(app: str = "symbolmill", cpus: str = "*", **conf: str) -> Spar
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` through the shared checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset (tests, one machine) a temporary folder is taken.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is
+    unset a temporary folder is taken if all executors run on this machine; a cluster
+    without a shared folder is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=eager)

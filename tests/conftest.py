@@ -5,6 +5,6 @@ from symbolmill.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "8", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    s = build_session("tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
     yield s
     s.stop()

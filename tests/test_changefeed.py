@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from symbolmill.functions.ddl import schema_events, split_top
-from symbolmill.operators.changefeed import current_schema, latest_state
+from symbolmill.functions.ddl import schema_events, split_top, statement_changes
+from symbolmill.operators.changefeed import current_columns, current_keys, current_schema, latest_before, latest_state
 
 SCHEMA = "repo_id long, path string, delivery_no int, delivered_at timestamp, line_start int, text string, extra string"
 
@@ -118,3 +119,102 @@ def test_latest_state(spark):
     )
     got = latest_state(log, ["k"], F.col("seq"), F.col("op"), F.col("v"), base)
     assert {(r.k, r.payload) for r in got.collect()} == {(2, "base"), (3, "b")}
+
+
+def whole_replay(rows):
+    """Sequential truth of columns with their attributes and of keys, statement by statement."""
+    last, lines = {}, {}
+    for repo, path, no, *_ in rows:
+        last[repo, path] = max(no, last.get((repo, path), no))
+    for repo, path, no, line, text in rows:
+        if no == last[repo, path] and text is not None and line is not None:
+            lines[repo, path, line] = min(text, lines.get((repo, path, line), text))
+    state = {}
+    for repo, path, line in sorted(lines, key=lambda k: (k[0], rank(k[1]), k[1], k[2])):
+        tables = state.setdefault(repo, {})
+        for c in statement_changes(lines[repo, path, line]):
+            if c.level == "table":
+                if c.op == "set":
+                    tables[c.table_name] = ({}, {})
+                elif c.op == "clear":
+                    tables.pop(c.table_name, None)
+                elif c.other in tables:
+                    tables[c.table_name] = tables[c.other]
+                continue
+            if c.table_name not in tables:
+                continue
+            columns, keys = tables[c.table_name]
+            if c.level == "key":
+                if c.op == "set":
+                    keys[c.column_name] = [c.field, list(c.source_columns), c.other, list(c.target_columns)]
+                else:
+                    keys.pop(c.column_name, None)
+            elif c.op == "set":
+                columns[c.column_name] = [c.data_type, c.is_nullable, c.default_value]
+            elif c.op == "clear":
+                columns.pop(c.column_name, None)
+                if c.field == "drop":
+                    for k in [k for k, v in keys.items() if c.column_name in v[1]]:
+                        del keys[k]
+            elif c.op == "touch" and c.column_name in columns:
+                i = ("type", "nullable", "default").index(c.field)
+                columns[c.column_name][i] = (c.data_type, c.is_nullable, c.default_value)[i]
+            elif c.op == "move":
+                if c.other in columns:
+                    columns[c.column_name] = columns[c.other]
+                for v in keys.values():
+                    v[1] = [c.column_name if x == c.other else x for x in v[1]]
+    columns = {(r, t, n, *v) for r, ts in state.items() for t, (cs, _) in ts.items() for n, v in cs.items()}
+    keys = sorted((r, t, v[0] or "", v[1], v[2], v[3]) for r, ts in state.items() for t, (_, ks) in ts.items() for v in ks.values())
+    return columns, keys
+
+
+def whole_run(spark, rows):
+    df = spark.createDataFrame([(r, p, n, None, li, t, "x") for r, p, n, li, t in rows], SCHEMA)
+    columns = {tuple(x) for x in current_columns(df).collect()}
+    keys = sorted((r.repo_id, r.table_name, r.constraint_name or "", r.source_columns, r.target_table, r.target_columns) for r in current_keys(df).collect())
+    return columns, keys
+
+
+def test_chains_of_renames_at_random(spark):
+    rnd = random.Random(4)
+    rows = []
+    for repo in range(40):
+        for i in range(rnd.randrange(1, 60)):
+            a, b, c, d = rnd.choice("abcd"), rnd.choice("abcd"), rnd.choice("xyz"), rnd.choice("xyz")
+            text = rnd.choice([
+                f"create table {a} ({c} int, q text default 'q' not null, constraint f foreign key ({c}, q) references {b} (i, j))", f"rename table {a} to {b}", f"rename table {a} to {b}",
+                f"alter table {a} rename to {b}", f"drop table {a}", f"alter table {a} rename column {c} to {d}", f"alter table {a} rename column {c} to {d}", f"alter table {a} add {c} int not null",
+                f"alter table {a} drop column {c}", f"alter table {a} alter column {c} type text", f"alter table {a} change {c} {d} date", f"alter table {a} alter {c} set default {i}",
+                f"alter table {a} alter {c} drop not null", f"alter table {a} alter {c} set not null, alter {c} drop default", f"alter table {a} add foreign key ({c}) references {b} (k)",
+                f"alter table {a} drop foreign key f", f"alter table {a} add constraint f foreign key ({c}) references {b}", f"alter table {a} modify {c} bigint null default 3, drop constraint g",
+            ])
+            rows.append((repo, f"{i // 3:03}.sql", 1, i % 3, text))
+    rnd.shuffle(rows)
+    assert run(spark, rows) == replay(rows)
+    assert whole_run(spark, rows) == whole_replay(rows)
+
+
+def test_attributes_and_keys_of_the_given_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/sql_statements.parquet").select("repo_id", "path", "delivery_no", "line_start", "text")
+    rows = [tuple(r) for r in df.collect()]
+    assert whole_run(spark, rows) == whole_replay(rows)
+
+
+def test_definitions():
+    made = statement_changes("create table t (a int[] null default -1, b timestamp with time zone default now()::date not null references u (v), interval_no interval year to month, primary key (a))")
+    assert [(c.column_name, c.data_type, c.is_nullable, c.default_value) for c in made if c.level == "column"] == [
+        ("a", "int[]", True, "-1"), ("b", "timestampwithtimezone", False, "now()::date"), ("interval_no", "intervalyeartomonth", True, None),
+    ]
+    assert [(c.field, c.source_columns, c.other, c.target_columns) for c in made if c.level == "key"] == [(None, ["b"], "u", ["v"])]
+    assert statement_changes("alter table t drop column c cascade, add index i (a)") == []
+
+
+def test_latest_before(spark):
+    rnd = random.Random(7)
+    log = [(rnd.choice("ab"), rnd.randrange(400), i) for i in range(300)]
+    log = list({(k, s): (k, s, v) for k, s, v in log}.values())
+    probes = [(rnd.choice("abc"), rnd.randrange(-5, 400), i) for i in range(80)]
+    got = latest_before(spark.createDataFrame(log, "k string, seq long, v long").withColumn("at", F.col("seq")), spark.createDataFrame(probes, "k string, seq long, id long"), ["k"])
+    expected = {i: max(((s, v) for key, s, v in log if key == k and s < at), default=None) for k, at, i in probes}
+    assert {r.id: (r.found["at"], r.found["v"]) if r.found else None for r in got.collect()} == expected
