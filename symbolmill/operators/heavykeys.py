@@ -1,10 +1,13 @@
 """A few keys holding most records (problem 3): results per key without a long last task.
 
-``tree_aggregate`` is a multi-level tree: rows are divided into chunks of a fixed size
-(by a hash of what a row is, never of its key), every chunk is combined locally, and
-the states of ``fan_in`` neighbouring chunks are merged in each further round until one
-chunk is left. A key that holds half of all rows therefore reaches a reducer as at most
-``fan_in`` states in every round, and rounds grow as the logarithm of the input.
+The input is combined in chunks of a fixed number of rows where they lie (``combined_chunks``),
+so a key leaves a chunk as one state per source, however many rows it has there. Keys that
+hold more than 1/``HOT_SHARE`` of all rows - at most ``HOT_SHARE`` of them, whatever the
+input - go through ``tree_aggregate``: their states are spread over chunks by what a state is,
+never by the key, combined there, and the states of ``fan_in`` neighbouring chunks are merged
+in each further round until one is left. A key that holds half of all rows therefore reaches
+a reducer as at most ``fan_in`` states in every round, and rounds grow as the logarithm of the
+input. The states of all other keys meet once, by key, and do not enter the tree.
 
 Edge cases: rows with a null key form a group of their own (the callers below drop it
 after counting it); null measures count for nothing; an empty table gives an empty
@@ -14,8 +17,10 @@ result; repeated deliveries of a reference count once; other columns are ignored
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +29,8 @@ from symbolmill.session import checkpointed
 
 #: Rows a chunk holds at the lowest level, and states merged at once above it.
 CHUNK_ROWS, FAN_IN = 50_000, 8
+#: A key is hot if it holds at least one in HOT_SHARE of all rows.
+HOT_SHARE = 1000
 
 
 def tree_aggregate(
@@ -56,37 +63,64 @@ def tree_aggregate(
     return state.drop("_chunk")
 
 
+def combined_chunks(unique: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(target, source_symbol_id, n, kinds, first_id): rows combined per target and source, ``chunk_rows`` of them at a time, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            groups = pa.Table.from_batches(parts).group_by(["target", "source_symbol_id"]).aggregate(
+                [("reference_id", "count", pc.CountOptions(mode="all")), ("reference_kind", "distinct", pc.CountOptions(mode="only_valid")), ("reference_id", "min")]
+            )
+            names = {"reference_id_count": "n", "reference_kind_distinct": "kinds", "reference_id_min": "first_id"}
+            groups = groups.rename_columns([names.get(c, c) for c in groups.column_names]).select(["target", "source_symbol_id", "n", "kinds", "first_id"])
+            yield from groups.combine_chunks().to_batches()
+
+        for b in batches:
+            parts.append(b)
+            if sum(map(len, parts)) >= chunk_rows:
+                yield from combined()
+                parts = []
+        if parts:
+            yield from combined()
+
+    return unique.mapInArrow(run, "target string, source_symbol_id long, n long, kinds array<string>, first_id long")
+
+
 def target_statistics(references: DataFrame) -> DataFrame:
     """(target, n_references, n_sources, n_kinds) per normalised target, null target included.
 
     Deliveries are first made unique (a shuffle by reference_id, which has no hot value),
-    then counted per (target, source, kind) so that a chunk sees a source only once.
+    then combined in chunks per (target, source), so that no later step sees single rows.
     """
     unique = references.select(
-        "reference_id", symbol_key("target_qualified_name").alias("target"), "source_symbol_id", "reference_kind"
+        F.col("reference_id").cast("long"), symbol_key("target_qualified_name").alias("target"), F.col("source_symbol_id").cast("long"), "reference_kind"
     ).dropDuplicates(["reference_id"])
     n_rows = references.count()  # a count over Parquet footers
-    pairs = unique.groupBy("target", "source_symbol_id").agg(F.count("*").alias("n"), F.collect_set("reference_kind").alias("kinds"))
-    tree = tree_aggregate(
-        pairs, ["target"], {"n_references": F.col("n"), "n_sources": F.when(F.col("source_symbol_id").isNotNull(), 1).otherwise(0)},
-        ["target", "source_symbol_id"], n_rows, sets=["kinds"],
-    )
-    return tree.select(
-        "target", "n_references", F.col("n_sources").cast("long").alias("n_sources"),
-        F.size("kinds").cast("long").alias("n_kinds"),
-    )
+    states = checkpointed(combined_chunks(unique))
+    sizes = states.groupBy("target").agg(F.sum("n").alias("size"))
+    hot = sizes.filter(F.col("size") * HOT_SHARE >= n_rows).select(F.col("target").alias("hot_target"), F.lit(True).alias("hot"))  # at most HOT_SHARE rows
+    marked = states.join(F.broadcast(hot), F.col("target").eqNullSafe(F.col("hot_target")), "left")
+    per_source = lambda rows, *keys: rows.groupBy(*keys, "target", "source_symbol_id").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"))
+    source = F.when(F.col("source_symbol_id").isNotNull(), 1).otherwise(0)
+    calm = per_source(marked.filter("hot is null").repartition("target")).groupBy("target").agg(
+        F.sum("n").alias("n_references"), F.sum(source).alias("n_sources"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds")
+    )
+    # sources of a hot target are spread; rows without a source by their first reference
+    spread = F.pmod(F.xxhash64(F.coalesce("source_symbol_id", "first_id")), F.lit(1 + n_rows // CHUNK_ROWS)).alias("_spread")
+    pairs = per_source(marked.filter("hot").select("target", "source_symbol_id", "n", "kinds", spread), "_spread")
+    tree = tree_aggregate(pairs, ["target"], {"n_references": F.col("n"), "n_sources": source}, ["_spread"], n_rows, sets=["kinds"])
+    columns = ("target", "n_references", F.col("n_sources").cast("long").alias("n_sources"), F.size("kinds").cast("long").alias("n_kinds"))
+    return calm.select(*columns).unionByName(tree.select(*columns))
 
 
 def heavy_targets(statistics: DataFrame, share: float = 0.01) -> DataFrame:
     """Targets that hold at least ``share`` of all distinct references."""
     statistics = checkpointed(statistics)
-    total = statistics.agg(F.sum("n_references").alias("total"))
-    return (
-        statistics.filter(F.col("target").isNotNull())
-        .crossJoin(F.broadcast(total))
-        .filter(F.col("n_references") >= F.col("total") * F.lit(share))
-        .select(F.col("target").alias("target_qualified_name"), "n_references", "n_sources", "n_kinds")
-    )
+    total = statistics.agg(F.sum("n_references").alias("total")).first()["total"] or 0
+    heavy = statistics.filter(F.col("target").isNotNull() & (F.col("n_references") >= F.lit(total) * F.lit(share)))
+    return heavy.select(F.col("target").alias("target_qualified_name"), "n_references", "n_sources", "n_kinds")
 
 
 def fresh_reference_counts(module_symbols: DataFrame, statistics: DataFrame) -> DataFrame:
