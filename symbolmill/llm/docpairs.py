@@ -54,6 +54,8 @@ class Island:
 _STRINGS = r"'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\""
 _C_COMMENT = r"//[^\r\n]*+|/\*(?!\*(?!/)).*?(?:\*/|\Z)"
 _DOC = r"(?P<doc>/\*\*(?!/).*?(?:\*/|\Z))"
+#: A regular expression where no operand stands before the slash.
+_TS_REGEX = r"(?=[ \t/])(?:(?<=[(,=:\[!&|?{};\n])|(?<=\breturn)|(?<==>))[ \t]*/(?![*/\s])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/"
 _GRAMMARS = {
     "php": re.compile(
         rf"{_DOC}|(?P<note>\#\[)|(?P<water>{_C_COMMENT}|\#[^\r\n]*+|{_STRINGS}"
@@ -62,9 +64,12 @@ _GRAMMARS = {
         re.S | re.I,
     ),
     "typescript": re.compile(
-        rf"{_DOC}|(?P<note>(?<![\w$])@(?=[A-Za-z_$]))|(?P<water>{_C_COMMENT}|'(?:[^'\\\r\n]|\\.)*+'|\"(?:[^\"\\\r\n]|\\.)*+\"|`(?:[^`\\]|\\.)*+`)"
-        r"|(?P<head>(?<![\w$.])(?:(?:export|default|declare|async)\s+)*function\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^(){}]*>)?\("
-        r"|(?<=[;{}\n/])[ \t]*(?:(?:public|protected|private|static|abstract|override|readonly|async|get|set)\s+)*(?!(?:if|for|while|switch|catch|return|function|new|await|typeof|super|constructor)\b)(?P<name2>[\w$]+)\s*(?:<[^(){}]*>)?\((?=[^()]*\)\s*(?::[^;{=]*)?\{))",
+        rf"{_DOC}|(?P<note>(?<![\w$])@(?=[A-Za-z_$]))|(?P<water>{_C_COMMENT}|{_TS_REGEX}|'(?:[^'\\\r\n]|\\.)*+'|\"(?:[^\"\\\r\n]|\\.)*+\"|`(?:[^`\\]|\\.)*+`)"
+        r"|(?P<head>(?<![\w$.])(?:(?:export|default|declare|async)\s+)*function\b\s*\*?\s*(?P<name>[\w$]+)(?=\s*[<(])"
+        r"|(?<![\w$.])(?:(?:export|declare)\s+)*(?:const|let|var)\s+(?P<name3>[\w$]+)(?=\s*[:=])"
+        r"|(?:(?<=[;{},\n/)])|\A)[ \t]*(?:(?:public|protected|private|static|abstract|override|readonly|async|get|set|declare|accessor)\s+)*\*?\s*"
+        r"(?!(?:if|for|while|switch|catch|return|function|new|await|typeof|super|throw|do|else|case|delete|void|yield|in|of|instanceof|import|export|const|let|var|class|interface|type|enum|namespace|default)\b)"
+        r"(?P<name2>\#?[\w$]+)[ \t]*[?!]?(?=\s*[<(:=]))",
         re.S,
     ),
     "python": re.compile(
@@ -79,6 +84,10 @@ _GRAMMARS = {
     ),
 }
 _SKIP = re.compile(rf"<<<[ \t]*(?P<q>[\"']?)(?P<id>[^\W\d]\w*)(?P=q)[ \t]*(?:\r\n|\r|\n)(?:.*?[\r\n])??[ \t]*(?P=id)\b|/\*.*?\*/|//[^\r\n]*|\#(?!\[)[^\r\n]*|{_STRINGS}|`(?:[^`\\]|\\.)*`|[()\[\]{{}};]", re.S)
+_TS_SKIP = re.compile(rf"/\*.*?\*/|//[^\r\n]*|{_TS_REGEX}|{_STRINGS}|`(?:[^`\\]|\\.)*`|[()\[\]{{}};]", re.S)
+_TS_BLANK = re.compile(r"(?:\s|//[^\r\n]*|/\*.*?\*/)*", re.S)
+_TS_TYPE = re.compile(rf"(?P<line>[\r\n]\s*)|[ \t]+|//[^\r\n]*|/\*.*?\*/|(?P<text>{_STRINGS}|`[^`]*`|-?\d[\w.]*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<arrow>=>)|(?P<sign>.)", re.S)
+_TS_PREFIXES = frozenset(("keyof", "typeof", "readonly", "infer", "extends", "is", "asserts", "unique", "new", "in", "abstract"))
 _PY_SKIP = re.compile(r"\#[^\r\n]*|\"\"\".*?\"\"\"|'''.*?'''|'(?:[^'\\\r\n]|\\.)*'|\"(?:[^\"\\\r\n]|\\.)*\"|[()\[\]{}:]", re.S)
 _PY_DOC = re.compile(r"\s*(?:\#[^\r\n]*\s*)*[rRuU]{0,2}(?:\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"((?:[^\"\\\r\n]|\\.)*)\"|'((?:[^'\\\r\n]|\\.)*)')", re.S)
 
@@ -107,6 +116,129 @@ def _body(text: str, at: int) -> tuple[int, int]:
     return len(text), len(text)
 
 
+def _angle(text: str, at: int) -> int:
+    """Position behind the partner of the ``<`` at ``at``; -1 if there is none."""
+    depth = 0
+    for m in re.compile(rf"=>|[<>;]|[({{\[]|{_STRINGS}").finditer(text, at):
+        if m.start() < at:
+            continue
+        if m[0] in "({[":
+            at = _closing(text, m.end(), _TS_SKIP)
+        elif m[0] in "<>":
+            depth += 1 if m[0] == "<" else -1
+            if not depth:
+                return m.end()
+        elif m[0] == ";":
+            return -1
+    return -1
+
+
+def _type_end(text: str, at: int) -> int:
+    """Position behind the type that begins at ``at``."""
+    operand, grouped = False, False
+    while m := _TS_TYPE.match(text, at):
+        if m["line"]:
+            if operand and text[m.end() : m.end() + 1] not in ("|", "&", "?", ":", "=") and not text.startswith("extends", m.end()):
+                return at
+        elif m["text"]:
+            if operand:
+                return at
+            operand, grouped = True, False
+        elif m["word"]:
+            prefix = m["word"] in _TS_PREFIXES
+            if operand and not prefix:
+                return at
+            operand, grouped = not prefix, False
+        elif m["arrow"]:
+            if not grouped:
+                return at
+            operand, grouped = False, False
+        elif sign := m["sign"]:
+            if sign in "([{":
+                if operand and sign != "[":
+                    return at
+                at, operand, grouped = _closing(text, m.end(), _TS_SKIP), True, sign == "("
+                continue
+            if sign == "<":
+                end = _angle(text, at)
+                if end < 0:
+                    return at
+                at = end
+                continue
+            if sign not in "|&?:.":
+                return at
+            operand = False
+        at = m.end()
+    return at
+
+
+def _value_end(text: str, at: int) -> int:
+    """Position behind an expression: up to a line end, comma or semicolon outside delimiters."""
+    for m in re.compile(rf"{_TS_SKIP.pattern}|,|[\r\n](?!\s*[.?:&|+*])", re.S).finditer(text, at):
+        if m.start() < at:
+            continue
+        if m[0] in ("(", "[", "{"):
+            at = _closing(text, m.end(), _TS_SKIP)
+        elif m[0] in (")", "]", "}", ";", ",", "\r", "\n"):
+            return m.start()
+    return len(text)
+
+
+def _typescript_tail(text: str, at: int, declared: bool) -> tuple[int, int] | None:
+    """(end of the signature, end of the body) behind the parameters; only a ``declared`` function may lack both type and body."""
+    at = _TS_BLANK.match(text, at).end()
+    if text.startswith(":", at):
+        typed = _type_end(text, at + 1)
+        at = _TS_BLANK.match(text, typed).end()
+        if text.startswith("{", at):
+            return at, _closing(text, at + 1, _TS_SKIP)
+        return (typed, typed) if text[typed : typed + 1] in ("", ";", ",", "}", "\r", "\n") else None
+    if text.startswith("{", at):
+        return at, _closing(text, at + 1, _TS_SKIP)
+    return (at, at) if declared and text[at : at + 1] in ("", ";") else None
+
+
+def _typescript_value(text: str, at: int) -> tuple[int, int] | None:
+    """The same for a value, if it is an arrow function or a function."""
+    at = _TS_BLANK.match(text, at).end()
+    lead = re.compile(r"(?:async\b\s*)?(function\b\s*\*?\s*[\w$]*\s*)?").match(text, at)
+    at = lead.end()
+    short = re.compile(r"[A-Za-z_$][\w$]*\s*=>").match(text, at)
+    if short and not lead[1]:
+        at = short.end()
+    else:
+        if text.startswith("<", at):
+            at = _TS_BLANK.match(text, max(at, _angle(text, at))).end()
+        if not text.startswith("(", at):
+            return None
+        at = _closing(text, at + 1, _TS_SKIP)
+        if lead[1]:
+            return _typescript_tail(text, at, False)
+        at = _TS_BLANK.match(text, at).end()
+        if text.startswith(":", at):
+            at = _TS_BLANK.match(text, _type_end(text, at + 1)).end()
+        if not text.startswith("=>", at):
+            return None
+        at += 2
+    head, body = at, _TS_BLANK.match(text, at).end()
+    return head, _closing(text, body + 1, _TS_SKIP) if text.startswith("{", body) else _value_end(text, body)
+
+
+def _typescript_function(text: str, m: re.Match[str]) -> tuple[int, int] | None:
+    """(end of the signature, end of the body) of what a name begins; null if that is no function."""
+    at = _TS_BLANK.match(text, m.end()).end()
+    if not m["name3"]:
+        opened = _TS_BLANK.match(text, max(at, _angle(text, at))).end() if text.startswith("<", at) else at
+        if text.startswith("(", opened):
+            return _typescript_tail(text, _closing(text, opened + 1, _TS_SKIP), bool(m["name"]))
+    if text.startswith(":", at):
+        found = None if m["name3"] else _typescript_value(text, at + 1)
+        if found:
+            return found
+        at = _TS_BLANK.match(text, _type_end(text, at + 1)).end()
+    return _typescript_value(text, at + 1) if text.startswith("=", at) and text[at + 1 : at + 2] not in ("=", ">") else None
+
+
 def _python_body(text: str, at: int, indent: int) -> tuple[int, int]:
     for m in _PY_SKIP.finditer(text, at):
         if m[0] == ":":
@@ -139,8 +271,18 @@ def islands(text: str, language: str) -> list[Island]:
         elif kind == "water":
             doc, edge = None, -1
         else:
-            name = m["name"] or (m["name2"] if "name2" in grammar.groupindex else None) or ""
+            name = next((m[g] for g in ("name", "name2", "name3") if g in grammar.groupindex and m[g]), "")
             first = m.start() + len(m[0]) - len(m[0].lstrip())
+            if language == "typescript":
+                ends = _typescript_function(text, m)
+                if not ends:
+                    doc, edge = None, -1
+                    continue
+                head_end, end = ends
+                found = doc if touching else None
+                out.append(Island(name, bisect_right(starts, first), " ".join(text[first:head_end].split()), found, first, end))
+                doc, edge = None, -1
+                continue
             after = _closing(text, m.end())
             if language == "python":
                 indent = len(m[0]) - len(m[0].lstrip(" \t"))

@@ -94,3 +94,69 @@ def test_tables(spark):
     assert (one.signature, one.code, one.description) == ("function first(): int", "function first(): int { return 1; }", SAID)
     assert documented_functions(files).filter("file_id = 5").count() == 3000
     assert documented_symbols(symbols.limit(0), files.limit(0)).count() == 0
+
+
+TYPESCRIPT = """
+import { a } from './b';
+/** D1 */
+export class A<T extends { x: string }> extends B {
+  /** D2 */
+  private readonly re = /['"{]/g;
+  /** D3 */
+  constructor(private a: string, cb: (e: Error) => void) { super(); foo(a); }
+  /** D4 */
+  handler = async (e: Event): Promise<{ a: string }> => { await go(e); };
+  /** D5 */
+  public find<K extends { id: number }>(key: K, f: (x: K) => boolean = (x) => true): { ok: boolean } | null { if (x) { return null; } }
+  /** D6 */
+  abstract run(a: string): void;
+  /** D7 */
+  @Input() get value(): string { return this.v; }
+  /** D8 */
+  other: (a: number) => string = (a) => `${a}`;
+}
+/** D9 */
+export interface I {
+  /** D10 */
+  load(id: string, opts?: { deep: boolean }): Promise<void>;
+  /** D11 */
+  name: string;
+}
+/** D12 */
+export const add = (a: number, b: number): number => a + b;
+/** D13 */
+const f2 = async function* named(x) { yield x; };
+/** D14 */
+export default async function go<T>(x: T, { y, z }: { y: number; z: () => void }) { return y; }
+/** D15 */
+const obj = {
+  /** D16 */
+  key: (v) => { return v; },
+  /** D17 */
+  meth(v) { return v; },
+  /** D18 */
+  num: 3,
+};
+/** D19 */
+declare function decl(a: string): number;
+/** D20 */
+foo(a);
+/** D21 */
+const notf = a < b, c = (d);
+/** D22 */
+const one = x => x * 2;
+if (x) { bar(); }
+/** D23 */
+export const useIt: Handler<{ a: string }> = (e) => { e(); };
+"""
+
+
+def test_typescript_islands():
+    documented = {i.name: i.doc.strip("/* ") for i in islands(TYPESCRIPT, "typescript") if i.doc}
+    assert documented == {
+        "constructor": "D3", "handler": "D4", "find": "D5", "run": "D6", "value": "D7", "other": "D8", "load": "D10", "add": "D12", "f2": "D13", "go": "D14",
+        "key": "D16", "meth": "D17", "decl": "D19", "one": "D22", "useIt": "D23",
+    }
+    at = {i.name: (i.signature, TYPESCRIPT[i.start : i.end]) for i in islands(TYPESCRIPT, "typescript")}
+    assert at["find"][1].endswith("if (x) { return null; } }") and at["find"][0].endswith("{ ok: boolean } | null")
+    assert at["add"][1].endswith("=> a + b") and at["load"][1].endswith("Promise<void>") and at["handler"][0].endswith("Promise<{ a: string }> =>")
