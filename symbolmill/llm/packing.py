@@ -5,7 +5,9 @@ instance is its histogram: at most ``capacity`` rows whatever the corpus. A task
 each capacity on its histogram, in multiplicities: first the dominance reduction of
 Martello and Toth fixes sets that dominate every other set with their largest item
 (an item nothing fits beside; a pair that fills the container exactly; an item beside
-which only one more fits, with the largest that does), again until nothing changes;
+which only one more fits, with the largest that does; an item beside which two more fit,
+with the largest one, or with the two that fill it best, where these dominate), again
+until nothing changes;
 then the rest goes best-fit in decreasing order, whole groups of equal containers at a
 time. The plan says which ranks of a size go to which containers, and every text gets
 its place by its rank among texts of its size. Ranks are counted in salted buckets
@@ -15,13 +17,16 @@ nowhere numbered in one task.
 Edge cases: a text above the capacity is cut into full pieces and one remainder, no
 other text is cut; texts without tokens (null or empty) take no room and are listed in
 container 0 with no tokens; repeated rows are placed each; a null or non-positive
-capacity has no containers; repeated capacities count once; empty tables give an empty
-result; other columns are ignored.
+capacity has no containers; repeated capacities count once, a capacity with several names
+(null among them) is planned once and listed under each; more than ``MOST_CAPACITIES``
+of them are an error; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,12 +36,14 @@ from pyspark.sql import Window as W
 from symbolmill.llm.tokens import TOKENIZERS, VOCABULARY, count_tokens
 from symbolmill.session import checkpointed
 
+#: Capacities are a parameter of the job, not data: every text is placed once for each of them.
+MOST_CAPACITIES = 1_000
 #: Texts of one size that are numbered in one task, about.
 BUCKET_ROWS = 200_000
 #: Ranks of one size that meet the plan together.
 PLAN_BLOCK = 256
 
-_PLAN = "size_name string, capacity int, size long, rank_from long, rank_to long, container_from long, token_offset long"
+_PLAN = "capacity int, size long, rank_from long, rank_to long, container_from long, token_offset long"
 
 
 class Plan:
@@ -76,41 +83,59 @@ class Plan:
             changed = False
             ordered = sorted(self.left)
             for s in reversed(ordered):
-                while n := self.left.get(s, 0):
-                    rest = self.capacity - s
-                    partner = self._partner(ordered, s, n, rest)
-                    if partner is None:
-                        break
+                while s in self.left and (others := self._partners(ordered, s)) is not None:
                     changed = True
-                    if partner == 0:
-                        self.fix([s], n)
-                    elif partner == s:
-                        self.fix([s, s], n // 2)
-                    else:
-                        self.fix([s, partner], min(n, self.left[partner]))
-
-    def _partner(self, ordered: list[int], s: int, n: int, rest: int) -> int | None:
-        """0: s stands alone; a size: s and it dominate all sets with s; None: neither is known."""
+                    each = {x: [s, *others].count(x) for x in (s, *others)}
+                    self.fix([s, *others], min(self.left[x] // n for x, n in each.items()))
+
+    def _partners(self, ordered: list[int], s: int) -> list[int] | None:
+        """The sizes that, with s, dominate all sets with s; null if none are known to."""
         has = lambda x: self.left.get(x, 0) - (x == s)
+        rest = self.capacity - s
         if rest == 0:
-            return 0
+            return []
         if has(rest) > 0:
-            return rest
-        two: list[int] = []
+            return [rest]
+        small: list[int] = []
         for x in ordered:
-            two += [x] * min(2, max(0, has(x)))
-            if len(two) >= 2:
+            small += [x] * min(3, max(0, has(x)))
+            if len(small) >= 3:
                 break
-        if not two or two[0] > rest:
-            return 0
-        if len(two) > 1 and two[0] + two[1] <= rest:
+        if not small or small[0] > rest:
+            return []
+        best = next(x for i in range(bisect_left(ordered, rest + 1) - 1, -1, -1) if has(x := ordered[i]) > 0)
+        if len(small) < 2 or small[0] + small[1] > rest:
+            return [best]
+        if len(small) > 2 and sum(small[:3]) <= rest:
+            return None
+        a, b = self._best_pair(ordered, has, rest)
+        if best >= a + b:
+            return [best]
+        if best != a:
             return None
-        i = bisect_left(ordered, rest + 1)
-        while i:
-            i -= 1
-            if has(ordered[i]) > 0:
-                return ordered[i]
-        return 0
+        # pairs of items between the two would have to be ruled out: the two smallest above b, a itself left out
+        between: list[int] = []
+        for x in ordered[bisect_left(ordered, b + 1) : bisect_left(ordered, a + 1)]:
+            between += [x] * min(2, max(0, has(x) - (x == a)))
+            if len(between) >= 2:
+                break
+        return [a, b] if len(between) < 2 or sum(between[:2]) > rest else None
+
+    def _best_pair(self, ordered: list[int], has: Callable[[int], int], rest: int) -> tuple[int, int]:
+        """The two items (greater first) that fill ``rest`` best; of equal sums the one with the greatest item."""
+        low, high, found = 0, bisect_left(ordered, rest + 1) - 1, (0, 0)
+        while low <= high:
+            x, y = ordered[low], ordered[high]
+            if has(y) < 1 or (low == high and has(y) < 2):
+                high -= 1
+            elif has(x) < 1:
+                low += 1
+            elif x + y > rest:
+                high -= 1
+            else:
+                found = max(found, (y, x), key=lambda p: (p[0] + p[1], p[0]))
+                low += 1
+        return found
 
     def best_fit(self) -> None:
         """Best-fit decreasing of what is left, on groups of containers with equal room."""
@@ -152,18 +177,16 @@ class Plan:
 
 
 def plan_containers(histogram: DataFrame) -> DataFrame:
-    """Plan of (size_name, capacity, size, n): which ranks of a size go where."""
+    """Plan of (capacity, size, n): which ranks of a size go where."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         plan = Plan(int(pdf.capacity.iloc[0]), dict(zip(pdf["size"].tolist(), pdf.n.tolist(), strict=True)))
         plan.reduce()
         plan.best_fit()
         out = pd.DataFrame(plan.rows, columns=["size", "rank_from", "rank_to", "container_from", "token_offset"])
-        return out.assign(size_name=pdf.size_name.iloc[0], capacity=pdf.capacity.iloc[0])[
-            ["size_name", "capacity", "size", "rank_from", "rank_to", "container_from", "token_offset"]
-        ]
+        return out.assign(capacity=pdf.capacity.iloc[0])[["capacity", "size", "rank_from", "rank_to", "container_from", "token_offset"]]
 
-    return histogram.groupBy("size_name", "capacity").applyInPandas(run, _PLAN)
+    return histogram.groupBy("capacity").applyInPandas(run, _PLAN)
 
 
 def fill_containers(
@@ -175,22 +198,27 @@ def fill_containers(
     ``token_offset`` of its container.
     """
     sizes = checkpointed(count_tokens(documents, folder, vocabulary))
-    capacities = container_sizes.select("size_name", F.col("capacity_tokens").alias("capacity")).filter("capacity > 0").distinct()
-    wanted = sizes.crossJoin(F.broadcast(capacities))  # a handful of capacities: every text is placed once for each
+    capacities = container_sizes.select("size_name", F.col("capacity_tokens").alias("capacity")).filter("capacity > 0").distinct().limit(MOST_CAPACITIES + 1).collect()
+    if len(capacities) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
+    names: dict[int, list[str | None]] = {}
+    for c in sorted(capacities, key=str):
+        names.setdefault(int(c.capacity), []).append(c.size_name)
+    wanted = sizes.select("*", F.explode(F.lit(list(names)).cast("array<int>")).alias("capacity"))
     empty = wanted.filter("n_tokens = 0").select(
-        "size_name", "capacity", F.lit(0).cast("long").alias("container_id"), F.lit(0).cast("long").alias("token_offset"), "doc_id",
+        "capacity", F.lit(0).cast("long").alias("container_id"), F.lit(0).cast("long").alias("token_offset"), "doc_id",
         F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("first_token"), F.lit(0).cast("long").alias("n_tokens"),
     )
     last = F.floor((F.col("n_tokens") - 1) / F.col("capacity")).cast("int")
     pieces = (
         wanted.filter("n_tokens > 0")
-        .select("size_name", "capacity", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece_no"))
+        .select("capacity", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece_no"))
         .withColumn("first_token", F.col("piece_no").cast("long") * F.col("capacity"))
         .withColumn("size", F.least(F.col("capacity").cast("long"), F.col("n_tokens") - F.col("first_token")))
     )
     buckets = 16 + sizes.count() // BUCKET_ROWS
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)))
-    key = ["size_name", "capacity", "size"]
+    key = ["capacity", "size"]
     filled = pieces.groupBy(*key, "bucket").agg(F.count("*").alias("n"))
     filled = checkpointed(filled)
     starts = filled.withColumn("start", F.sum("n").over(W.partitionBy(*key).orderBy("bucket")) - F.col("n")).drop("n")
@@ -209,10 +237,12 @@ def fill_containers(
         .join(plan, [*key, "block"])
         .filter((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     )
-    return placed.select(
-        "size_name", "capacity", (F.col("container_from") + F.col("rank") - F.col("rank_from")).alias("container_id"), "token_offset",
+    rows = placed.select(
+        "capacity", (F.col("container_from") + F.col("rank") - F.col("rank_from")).alias("container_id"), "token_offset",
         "doc_id", "piece_no", "first_token", F.col("size").alias("n_tokens"),
     ).unionByName(empty)
+    named = F.element_at(F.from_json(F.lit(json.dumps(names)), F.lit("map<string,array<string>>")), F.col("capacity").cast("string"))
+    return rows.select(F.explode(named).alias("size_name"), *rows.columns)
 
 
 def fill_report(filled: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@ import math
 import random
 from collections import defaultdict
 
+import pytest
+
 from symbolmill.llm.packing import Plan, fill_containers, fill_report
 
 DOCS = "doc_id long, text string, n_tokens string, size_name string"
@@ -62,6 +64,47 @@ def test_dominance():
     assert sets == [[3, 5], [3, 6], [3, 7], [5, 5], [9], [9]]
 
 
+def optimum(capacity, items):
+    """Least number of containers, by trying all (sets of items as bits)."""
+    best = {0: (0, capacity)}
+    for bits in range(1, 1 << len(items)):
+        options = []
+        for i, s in enumerate(items):
+            if bits >> i & 1:
+                n, used = best[bits ^ 1 << i]
+                options.append((n, used + s) if used + s <= capacity else (n + 1, s))
+        best[bits] = min(options)
+    return best[(1 << len(items)) - 1][0]
+
+
+def test_reduction_keeps_an_optimum():
+    rnd = random.Random(11)
+    triples = 0
+    for _ in range(400):
+        capacity = rnd.choice([10, 17, 30, 100])
+        items = [rnd.randrange(max(1, capacity // 5), capacity * 2 // 3) for _ in range(rnd.randrange(1, 10))]
+        counts = defaultdict(int)
+        for x in items:
+            counts[x] += 1
+        p = Plan(capacity, dict(counts))
+        p.reduce()
+        rest = [s for s, n in p.left.items() for _ in range(n)]
+        assert p.containers + optimum(capacity, rest) == optimum(capacity, items)
+        room = defaultdict(int)
+        for _, a, b, c, _ in p.rows:
+            for k in range(b - a):
+                room[c + k] += 1
+        triples += sum(n == 3 for n in room.values())
+    assert triples > 50
+
+
+def test_too_many_capacities_are_an_error(spark):
+    sizes = [(f"s{i}", i + 1, "x") for i in range(1001)]
+    with pytest.raises(ValueError):
+        filled(spark, [(1, "a", "x", "y")], sizes)
+    assert filled(spark, [(1, "a", "x", "y")], [("a", None, "x"), (None, 5, "x"), ("b", 0, "x")]).count() == 1
+
+
 def filled(spark, docs, sizes):
     return fill_containers(spark.createDataFrame(docs, DOCS), spark.createDataFrame(sizes, SIZES))
 
