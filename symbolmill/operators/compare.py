@@ -6,6 +6,8 @@ member's name; nothing is compared pair by pair outside of a shared key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,18 +56,26 @@ def name_tokens(name: Column | str) -> Column:
     return F.array_distinct(F.concat(F.array(F.array_join(words, "")), words))
 
 
-#: What each way of matching is worth in a suggestion.
-SCORES = {"name": 120, "qualified": 110, "suffix": 70, "name_part": 50, "qualified_part": 40, "name_word": 12, "qualified_word": 8}
+def merged(name: Column) -> Column:
+    """A name's letters and digits in lower case, signs taken out."""
+    return F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "")
 
 
 def suggestion_score(wanted: str, name: Column | str, qualified: Column | str) -> Column:
-    """C4 without its fixed pre-limit: weights of equal, ending and containing names, and of shared words."""
-    name, qualified, low = F.lower(as_column(name)), F.lower(as_column(qualified)), wanted.lower()
-    words = F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(F.lit(wanted), r"\\", " "), r"([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+"), lambda w: w != "")
-    score = F.when(name == low, SCORES["name"]).otherwise(0) + F.when(qualified == low, SCORES["qualified"]).otherwise(0) + F.when(F.endswith(qualified, F.lit(low)), SCORES["suffix"]).otherwise(0)
-    score = score + F.when(F.contains(name, F.lit(low)), SCORES["name_part"]).otherwise(0) + F.when(F.contains(qualified, F.lit(low)), SCORES["qualified_part"]).otherwise(0)
-    per_word = F.aggregate(words, F.lit(0), lambda acc, w: acc + F.when(F.contains(name, w), SCORES["name_word"]).otherwise(0) + F.when(F.contains(qualified, w), SCORES["qualified_word"]).otherwise(0))
-    return score + per_word
+    """C4: the sum of the weights of all tests that hold; words of ``wanted`` (its merged form among them) count each.
+
+    Fixed values: the weights. Every symbol is scored; there is no limit before.
+    """
+    name, qualified = as_column(name), F.coalesce(as_column(qualified), as_column(name))
+    query, low, whole = merged(F.lit(wanted)), F.lower(name), F.lower(qualified)
+    tests = [
+        (merged(name) == query, 120), (merged(qualified) == query, 110), (low == query, 100),
+        (F.endswith(whole, F.concat(F.lit("\\"), query)) | F.endswith(whole, F.concat(F.lit("::"), query)), 70),
+        (F.contains(merged(name), query), 50), (F.contains(merged(qualified), query), 40),
+    ]
+    per_word = [(low, 12), (whole, 8)]
+    words = F.aggregate(name_tokens(F.lit(wanted)), F.lit(0), lambda acc, w: reduce(lambda x, t: x + F.when(F.contains(t[0], w), t[1]).otherwise(0), per_word, acc))
+    return reduce(lambda x, t: x + F.when(t[0], t[1]).otherwise(0), tests, words)
 
 
 def suggest_symbols(symbols: DataFrame, wanted: str, limit: int = 5) -> DataFrame:

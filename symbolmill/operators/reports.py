@@ -9,9 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolmill.functions.names import first_namespace, symbol_key
-
-LAYERS = ("Http", "Command", "Listener", "Service", "Builder", "Report", "Repository", "Model")
+from symbolmill.functions.names import as_column, class_part, first_namespace, symbol_key
+
+#: Layers by the order in which they are tried, with the folder (and symbol) names that mean them.
+ARCHITECTURE = (
+    ("Route", "routes?"), ("Controller", "controllers?"), ("Builder", "builders?"), ("Model", "models?"), ("Repository", "repositories|repository"),
+    ("DataObject", "dataobjects?"), ("Handler", "handlers?"), ("Report", "reports?"),
+)
+STAFF_PAGE, LEGACY_PAGE = ("Staff Page", "staff"), ("Legacy Page", "pages?|legacy")
+#: Layers through which frameworks reach code that touches tables.
+BRIDGES = ("Route", "Controller", "Builder", "Model", "Repository", "DataObject", "Handler")
+#: Layers of planned symbols, by the end of a name or a folder.
+PLANNED = ("Route", "Controller", "Builder", "Model", "Repository", "Service", "Handler", "DataObject", "Entity", "Report", "Page", "Test")
+#: Layers of modules, the highest first; a lower one should not depend on a higher one.
+MODULE_LAYERS = ("controllers", "http", "services", "repositories", "models", "traits")
 
 
 def rate(n: Column, d: Column) -> Column:
@@ -30,12 +41,31 @@ def is_test_path(path: Column | str) -> Column:
     return F.regexp_like(F.col(path) if isinstance(path, str) else path, F.lit(r"(?i)(?:^|/)(?:tests?|spec)/|test\.php$|spec\.\w+$"))
 
 
-def layer_of(path: Column | str) -> Column:
-    """the first layer in order that is a segment of the path or ends its file name."""
-    path = F.col(path) if isinstance(path, str) else path
+def layer_of(path: Column | str, symbol: Column | str | None = None) -> Column:
+    """the first layer whose name is a folder of the path, or a part of the symbol's name, in any case; null symbols have none."""
+    low = F.lower(as_column(path))
+    name = F.lower(F.coalesce(as_column(symbol), F.lit(""))) if symbol is not None else F.lit("")
+    folder = lambda names: F.regexp_like(low, F.lit(rf"(^|[\\/])(?:{names})([\\/]|$)"))
+    part = lambda names: F.regexp_like(name, F.lit(rf"(^|\\|::|\$)(?:{names})s?($|\\|::)"))
+    out = F.when(folder(STAFF_PAGE[1]), STAFF_PAGE[0]).when(folder(LEGACY_PAGE[1]), LEGACY_PAGE[0]).otherwise("Other")
+    for layer, names in reversed(ARCHITECTURE):
+        out = F.when(folder(names) | part(names), layer).otherwise(out)
+    return out
+
+
+def planned_layer(name: Column | str, path: Column | str) -> Column:
+    """the first layer that ends the name (as written) or is a folder inside the path."""
     out = F.lit("Other")
-    for layer in reversed(LAYERS):
-        out = F.when(F.regexp_like(path, F.lit(rf"(?:/{layer}/|{layer}\.\w+$)")), layer).otherwise(out)
+    for layer in reversed(PLANNED):
+        out = F.when(F.endswith(as_column(name), F.lit(layer)) | F.contains(F.lower(as_column(path)), F.lit(f"/{layer.lower()}/")), layer).otherwise(out)
+    return out
+
+
+def module_layer(module: Column | str) -> Column:
+    """Position of the first module layer that occurs in the module's path, null without one."""
+    out = F.lit(None).cast("int")
+    for i, layer in reversed(list(enumerate(MODULE_LAYERS))):
+        out = F.when(F.contains(F.lower(as_column(module)), F.lit(layer)), i).otherwise(out)
     return out
 
 
@@ -52,20 +82,53 @@ def status(files: DataFrame, symbols: DataFrame, references: DataFrame) -> DataF
     return out.withColumn("resolved_rate", rate(F.col("n_resolved"), F.col("n_references")))
 
 
-def unresolved_categories(references: DataFrame, external: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Histogram of unresolved references over ordered categories.
-
-    Names are classified once each and then weighed, so hot targets are one row.
+#: Names of test tools, pseudo-types, and the classes PHP and its usual extensions define without a namespace.
+TEST_TOOLS = r"^phake(?:::|\\|$)|^phpunit(?:::|\\|$)|^mockery(?:::|\\|$)|^m::"
+PSEUDO_TYPES = ("parent", "self", "static")
+PHP_CLASSES = (
+    "arithmeticerror arrayaccess arrayiterator arrayobject backedenum badmethodcallexception callbackfilteriterator cachingiterator closure countable dateinterval "
+    "datetime datetimeimmutable datetimeinterface datetimezone dateperiod directory directoryiterator divisionbyzeroerror domainexception domattr domcdatasection "
+    "domcharacterdata domcomment domdocument domelement domentity domentityreference domexception domimplementation domnamednodemap domnode domnodelist domnotation "
+    "domprocessinginstruction domtext domxpath emptyiterator error errorexception exception filteriterator filesystemiterator globiterator generator imagick imagickdraw "
+    "imagickexception imagickpixel invalidargumentexception iterator iteratoraggregate iteratoriterator jsonexception jsonserializable lengthexception limititerator "
+    "logicexception multipleiterator norewinditerator outofboundsexception outofrangeexception oauthexception outeriterator overflowexception pdo pdostatement redis "
+    "redisarray rediscluster redissentinel recursivearrayiterator recursivedirectoryiterator recursivefilteriterator recursiveiterator recursiveiteratoriterator "
+    "reflection reflectionclass reflectionexception reflectionfunction reflectionmethod reflectionobject reflectionparameter reflectionproperty regexiterator "
+    "runtimeexception seekableiterator serializable soapclient soapfault soapheader soapparam soapserver soapvar simplexmlelement splfileinfo splfileobject "
+    "splobjectstorage spltempfileobject stdclass stringable throwable tidy traversable typeerror underflowexception unexpectedvalueexception unitenum valueerror "
+    "xmlreader xmlwriter xsltprocessor ziparchive"
+).split()
+
+
+def unresolved_categories(references: DataFrame, sources: DataFrame, external: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(category, n_references, n_potential_internal, n_production_internal) of unresolved references, by eight rules in order.
+
+    ``sources`` is (source_symbol_id, path). Third parties are the symbols and namespaces of
+    ``external``, not a list of names. Names are classified once per kind of source and then
+    weighed, so hot targets are a few rows.
     """
-    names = references.filter("target_symbol_id is null and target_qualified_name is not null").groupBy(symbol_key("target_qualified_name").alias("t")).agg(F.count("*").alias("n"))
-    ext = external.select(symbol_key("qualified_name").alias("t")).distinct().withColumn("external", F.lit(True))
+    place = F.when(F.startswith("path", F.lit("cache/")), "cache").when(F.startswith("path", F.lit("tests/")), "tests").otherwise("code")
+    rows = references.filter("target_symbol_id is null and target_qualified_name is not null").select("source_symbol_id", symbol_key("target_qualified_name").alias("t"))
+    rows = rows.groupBy("source_symbol_id", "t").agg(F.count("*").alias("n")).join(sources.select("source_symbol_id", place.alias("place")), "source_symbol_id", "left")
+    names = rows.groupBy("t", F.coalesce("place", F.lit("code")).alias("place")).agg(F.sum("n").alias("n"))
+    vendors = external.filter("qualified_name is not null").select(symbol_key("qualified_name").alias("q"))
+    spaces = vendors.filter(F.instr("q", "\\") > 1).select(first_namespace("q").alias("p")).distinct().withColumn("vendor", F.lit(True))
+    globals_ = vendors.filter(F.instr("q", "\\") == 0).select(F.col("q").alias("c")).distinct().withColumn("global", F.lit(True))
     own = prefixes.select(F.col("prefix").alias("p")).distinct().withColumn("own", F.lit(True))
-    rows = names.join(ext, "t", "left").withColumn("p", first_namespace("t")).join(own, "p", "left")
+    rows = names.withColumn("c", class_part("t")).withColumn("p", F.when(F.instr("t", "\\") > 1, first_namespace("t")))
+    rows = rows.join(spaces, "p", "left").join(own, "p", "left").join(globals_, "c", "left")
+    bare, leaf = F.col("p").isNull(), F.substring_index("c", "\\", -1)
     category = (
-        F.when(F.col("external"), "external_symbol").when(F.instr("t", "::") > 0, F.when(F.col("own"), "internal_member").otherwise("external_member"))
-        .when(F.col("own"), "internal_missing").when(F.instr("t", "\\") == 0, "global_name").otherwise("external_namespace")
+        F.when(F.col("place") == "cache", "generated_cache").when(F.regexp_like("t", F.lit(TEST_TOOLS)), "test_framework").when(leaf.isin(*PSEUDO_TYPES), "static_self")
+        .when(bare & (leaf.isin(*PHP_CLASSES) | F.startswith("t", F.lit("pdo::"))), "php_builtin").when(F.col("place") == "tests", "test_only")
+        .when(F.col("vendor") | (bare & F.col("global")) | (~bare & F.col("own").isNull()), "external_vendor")
+        .when(~bare | (F.col("c") != ""), "potential_internal_miss").otherwise("unknown")
     )
-    return rows.groupBy(category.alias("category")).agg(F.sum("n").alias("n_references"), F.count("*").alias("n_targets"))
+    inner = F.col("category").isin("potential_internal_miss", "unknown")
+    zero = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return rows.withColumn("category", category).groupBy("category").agg(
+        F.sum("n").alias("n_references"), zero(inner).alias("n_potential_internal"), zero(inner & (F.col("place") == "code")).alias("n_production_internal")
+    )
 
 
 def source_labels(files: DataFrame) -> DataFrame:
@@ -115,12 +178,9 @@ def module_dependencies(files: DataFrame, symbols: DataFrame, references: DataFr
 
 
 def layer_violations(files: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
-    """References from an inner layer to an outer one."""
-    rows = _ends(files, symbols, references, layer_of("path"))
-    order = F.array(*[F.lit(x) for x in LAYERS])
-    rows = rows.groupBy("src", "dst").agg(F.count("*").alias("n_references")).filter("src <> 'Other' and dst <> 'Other'")
-    wrong = rows.filter(F.array_position(order, F.col("src")) > F.array_position(order, F.col("dst")))
-    return wrong.select(F.col("src").alias("source_layer"), F.col("dst").alias("target_layer"), "n_references")
+    """Dependencies between modules (A12) that lead from a lower layer to a higher one."""
+    rows = module_dependencies(files, symbols, references)
+    return rows.filter(module_layer("source_module") > module_layer("target_module"))
 
 
 def external_namespaces(references: DataFrame) -> DataFrame:

@@ -67,14 +67,49 @@ def key_neighbourhood(tables: DataFrame, keys: DataFrame, seeds: DataFrame, dept
     return found.select(F.substring_index("node", ":", 1).cast("long").alias("repo_id"), F.expr("substring(node, instr(node, ':') + 1)").alias("table_name"), "depth")
 
 
-def backed_joins(predicates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Predicates (a_table, a_column, b_table, b_column) that a single-column key (same shape) backs in either direction.
+def full_edges(tables: DataFrame, keys: DataFrame) -> DataFrame:
+    """(repo_id, source_table, source_columns, target_table, target_columns, foreign_key_id, constraint_name)."""
+    more = keys.select("foreign_key_id", "constraint_name", *[F.transform(c, F.lower).alias(c) for c in ("source_columns", "target_columns")])
+    return key_edges(tables, keys).join(more, "foreign_key_id").select("repo_id", "source_table", "source_columns", "target_table", "target_columns", "foreign_key_id", "constraint_name")
 
-    The union of both orientations is an equi-join; an OR of two would not be.
+
+def graph_edges(edges: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """(repo_id, depth, direction, source_table, source_columns, target_table, target_columns): keys of the nodes (repo_id, table_name, depth) above ``depth``.
+
+    A key seen from both ends is one row outbound and one inbound, each at its least depth; keys to tables the index lacks are listed as well.
+    """
+    near = nodes.filter(F.col("depth") < depth).select("repo_id", F.col("table_name").alias("node"), "depth")
+    columns = ["source_table", "source_columns", "target_table", "target_columns"]
+    sides = [
+        edges.withColumn("node", F.col(end)).join(near, ["repo_id", "node"]).select("repo_id", "depth", F.lit(direction).alias("direction"), *columns)
+        for end, direction in (("source_table", "outbound"), ("target_table", "inbound"))
+    ]
+    return sides[0].unionByName(sides[1]).groupBy("repo_id", "direction", *columns).agg(F.min("depth").alias("depth"))
+
+
+def table_cards(tables: DataFrame, columns: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """R11/J8/C19 of every table: (repo_id, table_name, section, name, detail).
+
+    Sections: ``file`` (path and first line of each definition), ``column`` (with its type), ``references`` and ``referenced_by`` (columns and the other end).
     """
-    ways = edges.select("a_table", "a_column", "b_table", "b_column")
-    turned = ways.select(F.col("b_table").alias("a_table"), F.col("b_column").alias("a_column"), F.col("a_table").alias("b_table"), F.col("a_column").alias("b_column"))
-    return predicates.join(ways.unionByName(turned).distinct(), ["a_table", "a_column", "b_table", "b_column"], "left_semi")
+    known = tables.filter("normalized_name is not null").select("repo_id", F.col("normalized_name").alias("table_name"), "file_id", "line_start")
+    names = known.select("repo_id", "table_name").distinct()
+    at = known.join(files.select("file_id", "path"), "file_id", "left").select("repo_id", "table_name", F.lit("file").alias("section"), F.coalesce("path", F.lit("?")).alias("name"), F.col("line_start").cast("string").alias("detail"))
+    cols = columns.join(names, ["repo_id", "table_name"], "left_semi").select("repo_id", "table_name", F.lit("column").alias("section"), F.col("column_name").alias("name"), F.col("data_type").alias("detail"))
+    way = F.concat(F.concat_ws(",", "source_columns"), F.lit(" -> "), F.col("target_table"), F.lit("("), F.concat_ws(",", "target_columns"), F.lit(")"))
+    back = F.concat(F.col("source_table"), F.lit("("), F.concat_ws(",", "source_columns"), F.lit(") -> "), F.concat_ws(",", "target_columns"))
+    out = edges.select("repo_id", F.col("source_table").alias("table_name"), F.lit("references").alias("section"), F.coalesce("constraint_name", F.lit("")).alias("name"), way.alias("detail"))
+    into = edges.select("repo_id", F.col("target_table").alias("table_name"), F.lit("referenced_by").alias("section"), F.coalesce("constraint_name", F.lit("")).alias("name"), back.alias("detail"))
+    into = into.join(names, ["repo_id", "table_name"], "left_semi")
+    return at.unionByName(cols).unionByName(out).unionByName(into).distinct()
+
+
+def find_table(tables: DataFrame, query: str) -> DataFrame:
+    """Resolve table: (repo_id, table_name, match): the exact one per repository, else the sole one it ends, else all it ends as ``ambiguous``."""
+    rows = search_tables(tables, query).filter("match_rank < 2")
+    per = rows.groupBy("repo_id").agg(F.min("match_rank").alias("best"), F.count("*").alias("n"))
+    kept = rows.join(per, "repo_id").filter("match_rank = best")
+    return kept.select("repo_id", "table_name", F.when(F.col("best") == 0, "exact").when(F.col("n") == 1, "suffix").otherwise("ambiguous").alias("match"))
 
 
 def catalog_tables(columns: DataFrame, keys: DataFrame) -> DataFrame:

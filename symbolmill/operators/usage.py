@@ -13,17 +13,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symbolmill.operators.lines import comment_only, enclosing
+from symbolmill.operators.reports import layer_of
 from symbolmill.operators.traverse import outermost, reach, reverse
 
 
-def body_previews(lines: DataFrame, symbols: DataFrame, most_lines: int = 40, shown: int = 8) -> DataFrame:
+#: Lines of a method that is previewed at most, lines shown.
+MOST_LINES, SHOWN = 40, 8
+
+
+def body_previews(files: DataFrame, symbols: DataFrame, most_lines: int = MOST_LINES, shown: int = SHOWN) -> DataFrame:
     """(symbol_id, preview) of methods up to ``most_lines``: the first lines after the declaration, trimmed, without blanks and lone braces."""
     spans = symbols.filter("kind = 'method' and line_start is not null and line_end - line_start <= " + str(most_lines)).select("symbol_id", "file_id", "line_start", "line_end")
-    text = F.trim("line")
-    rows = spans.join(lines.select("file_id", "line_number", text.alias("t")), "file_id")
-    rows = rows.filter((F.col("line_number") > F.col("line_start")) & (F.col("line_number") <= F.col("line_end")) & ~F.col("t").isin("", "{", "}", "};"))
-    body = rows.groupBy("symbol_id").agg(F.sort_array(F.collect_list(F.struct("line_number", "t"))).alias("b"))
-    kept = F.transform(F.slice("b", 1, shown), lambda x: x["t"])
+    # a method's own lines are cut out of its file, so a file's lines never meet all its methods
+    lines = files.select("file_id", F.split("content", "\r\n|\r|\n", -1).alias("lines")).filter("lines is not null")
+    own = F.transform(F.slice("lines", F.greatest(F.col("line_start"), F.lit(0)) + 1, F.greatest(F.col("line_end") - F.greatest(F.col("line_start"), F.lit(0)), F.lit(0))), lambda t: F.trim(t))
+    body = spans.join(lines, "file_id").select("symbol_id", F.filter(own, lambda t: ~t.isin("", "{", "}")).alias("b")).filter("size(b) > 0")
+    kept = F.slice("b", 1, shown)
     return body.select("symbol_id", F.array_join(F.when(F.size("b") > shown, F.concat(kept, F.array(F.lit("...")))).otherwise(kept), "\n").alias("preview"))
 
 
@@ -45,10 +50,15 @@ def symbol_card(symbols: DataFrame, references: DataFrame, chosen: DataFrame) ->
     return every.groupBy(*every.columns).agg(F.count("*").alias("n"))
 
 
-def table_usage(refs: DataFrame, files: DataFrame, layer: Column, is_test: Column) -> DataFrame:
-    """(table_name, kind, layer, is_test, n_lines, n_files) of direct table references (file_id, line_number, table_name, kind)."""
-    at = files.select("file_id", layer.alias("layer"), is_test.alias("is_test"))
-    return refs.join(at, "file_id").groupBy("table_name", "kind", "layer", "is_test").agg(F.count("*").alias("n_lines"), F.countDistinct("file_id").alias("n_files"))
+def table_usage(refs: DataFrame, files: DataFrame, symbols: DataFrame, is_test: Column) -> DataFrame:
+    """(table_name, layer, is_test, owner, path, kind, line_number): the first direct reference of each table in each symbol, or file outside symbols.
+
+    ``refs`` are ``direct_table_references``; ``owner`` is the symbol's name, null outside symbols.
+    """
+    at = files.select("file_id", "path", is_test.alias("is_test"))
+    rows = refs.join(at, "file_id").join(symbols.select("symbol_id", F.col("qualified_name").alias("owner")), "symbol_id", "left")
+    first = rows.groupBy("table_name", "is_test", "owner", "path").agg(F.min(F.struct("line_number", "kind")).alias("f"))
+    return first.select("table_name", layer_of("path", "owner").alias("layer"), "is_test", "owner", "path", "f.kind", "f.line_number")
 
 
 def column_mentions(lines: DataFrame, columns: DataFrame) -> DataFrame:

@@ -13,8 +13,11 @@ from symbolmill.operators import extract as X
 from symbolmill.operators import lines as L
 from symbolmill.operators import reports as R
 from symbolmill.operators import schema as S
+from symbolmill.operators import sqlcheck as Q
+from symbolmill.operators import testing as T
 from symbolmill.operators import traverse as G
 from symbolmill.operators import usage as U
+from symbolmill.operators.changefeed import current_columns, current_keys
 from symbolmill.operators.resolve import current, resolve_references
 from symbolmill.plans.index_sql import SQL
 
@@ -120,13 +123,78 @@ def table_search(spark, d):
 
 
 def fk_join_check(spark, d):
-    tables, keys = tables_of(spark, d), keys_of(spark, d)
-    edges = S.key_edges(tables, keys).join(keys.select("foreign_key_id", "source_columns", "target_columns"), "foreign_key_id")
-    single = edges.filter("size(source_columns) = 1 and size(target_columns) = 1").select(
-        F.col("source_table").alias("a_table"), F.lower(F.col("source_columns")[0]).alias("a_column"), F.col("target_table").alias("b_table"), F.lower(F.col("target_columns")[0]).alias("b_column")
+    """Join predicates of code lines, and whether a key backs them."""
+    return sql_validate(spark, d).filter(F.col("kind").isin("verified_join", "missing_fk")).groupBy("kind", "subject").agg(F.count("*").alias("n_lines"))
+
+
+def _code_lines(spark, d):
+    return L.file_lines(read_spread(spark, d, "files").filter("language <> 'sql'"))
+
+
+def _key_columns(spark, d):
+    """Columns the index knows of: those its foreign keys name on either side."""
+    edges = S.full_edges(tables_of(spark, d), keys_of(spark, d))
+    sides = [edges.select("repo_id", F.col(f"{end}_table").alias("table_name"), F.explode(f"{end}_columns").alias("column_name")) for end in ("source", "target")]
+    return sides[0].unionByName(sides[1]).filter("column_name is not null").distinct()
+
+
+def sql_validate(spark, d):
+    """SQL in code against the tables and keys of the index, and the columns these keys name."""
+    tables = tables_of(spark, d).select("repo_id", F.col("normalized_name").alias("table_name"))
+    return Q.validate(_code_lines(spark, d), tables, _key_columns(spark, d), S.full_edges(tables_of(spark, d), keys_of(spark, d)), symbols_of(spark, d))
+
+
+def sql_validate_replayed(spark, d):
+    """SQL in code against the schema that the migration scripts lead to."""
+    statements = read(spark, d, "sql_statements")
+    columns = current_columns(statements)
+    keys = current_keys(statements).withColumnRenamed("table_name", "source_table")
+    return Q.validate(_code_lines(spark, d), columns.select("repo_id", "table_name").distinct(), columns, keys, symbols_of(spark, d))
+
+
+def table_cards(spark, d):
+    edges = S.full_edges(tables_of(spark, d), keys_of(spark, d))
+    columns = _key_columns(spark, d).withColumn("data_type", F.lit(None).cast("string"))
+    return S.table_cards(tables_of(spark, d), columns, edges, files_of(spark, d))
+
+
+def table_cards_replayed(spark, d):
+    """Cards of the tables in the index, with the columns that the migration scripts lead to."""
+    edges = S.full_edges(tables_of(spark, d), keys_of(spark, d))
+    return S.table_cards(tables_of(spark, d), current_columns(read(spark, d, "sql_statements")), edges, files_of(spark, d))
+
+
+def table_graph_edges(spark, d):
+    edges = S.full_edges(tables_of(spark, d), keys_of(spark, d))
+    return S.graph_edges(edges, fk_graph_bfs(spark, d), 5)
+
+
+def find_table(spark, d):
+    return S.find_table(tables_of(spark, d), "tariff")
+
+
+def test_targets(spark, d):
+    """Tests likely to cover the symbol that most references name."""
+    files, symbols, edges = files_of(spark, d), symbols_of(spark, d), _edges(spark, d)
+    known = edges.join(symbols.select(F.col("symbol_id").alias("dst")), "dst", "left_semi")
+    hub = _hub(known)
+    own = hub.join(symbols.withColumnRenamed("symbol_id", "node"), "node").join(files.select("file_id", "path"), "file_id").select("node", "name", "qualified_name", "path").first()
+    if own is None:
+        return spark.createDataFrame([], "path string, score long, reasons string")
+    reached = G.reach(G.reverse(edges), hub, 2, seed_seen=False)
+    at = reached.join(symbols.select(F.col("symbol_id").alias("node"), "file_id", "qualified_name"), "node").join(files.select("file_id", "path"), "file_id").select("path", "qualified_name", "depth")
+    tests = files.filter(R.is_test_path("path"))
+    name = own.name or ""
+    lines = L.file_lines(tests.filter("lower(content) like " + repr("%" + name.lower().replace("'", "") + "%")))
+    hints = T.content_hints(lines, name, own.qualified_name).unionByName(
+        at.filter(R.is_test_path("path") & (F.col("depth") <= 1)).select("path", F.lit("references").alias("reason"), F.lit(T.REFERENCES).alias("score")).distinct()
     )
-    turned = single.select(F.col("b_table").alias("a_table"), F.col("b_column").alias("a_column"), F.col("a_table").alias("b_table"), F.col("a_column").alias("b_column"))
-    return S.backed_joins(turned.distinct(), single)
+    return T.rank_tests(tests, T.seeds_of(at.filter(~R.is_test_path("path")), own.path, name), hints)
+
+
+def planned_layers(spark, d):
+    rows = symbols_of(spark, d).filter("parent_symbol_id is null and name is not null").join(files_of(spark, d).select("file_id", "path"), "file_id")
+    return rows.groupBy(R.planned_layer("name", "path").alias("layer")).agg(F.count("*").alias("n_symbols"))
 
 
 def line_counts(spark, d):
@@ -150,7 +218,7 @@ def line_write_context(spark, d):
 
 
 def block_segments(spark, d):
-    return L.sql_blocks(L.file_lines(read_spread(spark, d, "files").filter("language = 'sql'")))
+    return L.sql_blocks(L.file_lines(read_spread(spark, d, "files")))
 
 
 def comment_lines(spark, d):
@@ -159,7 +227,15 @@ def comment_lines(spark, d):
 
 
 def table_refs(spark, d):
-    return L.table_tokens(L.file_lines(read_spread(spark, d, "files"), unique=False), read(spark, d, "db_tables"))
+    """Direct references to tables in code: a repository's lines against its tables."""
+    code = L.file_lines(read_spread(spark, d, "files").filter("language <> 'sql'"), unique=False)
+    return L.direct_table_references(code, tables_of(spark, d), symbols_of(spark, d), R.is_test_path("path"))
+
+
+def table_refs_sql(spark, d):
+    """The same references in SQL files, which direct references of code leave out."""
+    scripts = L.file_lines(read_spread(spark, d, "files").filter("language = 'sql'"), unique=False)
+    return L.direct_table_references(scripts, tables_of(spark, d), symbols_of(spark, d), R.is_test_path("path"))
 
 
 def status(spark, d):
@@ -167,7 +243,9 @@ def status(spark, d):
 
 
 def unresolved_categories(spark, d):
-    return R.unresolved_categories(references_of(spark, d), read(spark, d, "external_symbols"), R.namespace_prefixes(symbols_of(spark, d)))
+    symbols = symbols_of(spark, d)
+    sources = symbols.select(F.col("symbol_id").alias("source_symbol_id"), "file_id").join(files_of(spark, d).select("file_id", "path"), "file_id").select("source_symbol_id", "path")
+    return R.unresolved_categories(references_of(spark, d), sources, read(spark, d, "external_symbols"), R.namespace_prefixes(symbols))
 
 
 def source_labels(spark, d):
@@ -309,7 +387,7 @@ def sql_file_statements(spark, d):
 
 
 def body_previews(spark, d):
-    return U.body_previews(L.file_lines(read_spread(spark, d, "files")), symbols_of(spark, d))
+    return U.body_previews(files_of(spark, d), symbols_of(spark, d))
 
 
 def symbol_card(spark, d):
@@ -318,8 +396,7 @@ def symbol_card(spark, d):
 
 
 def table_usage(spark, d):
-    refs = L.table_tokens(L.file_lines(read_spread(spark, d, "files"), unique=False), read(spark, d, "db_tables"))
-    return U.table_usage(refs, files_of(spark, d), R.layer_of("path"), R.is_test_path("path"))
+    return U.table_usage(table_refs(spark, d), files_of(spark, d), symbols_of(spark, d), R.is_test_path("path"))
 
 
 def column_mentions(spark, d):
@@ -341,23 +418,24 @@ def seed_dedup(spark, d):
 
 
 def context_requirements(spark, d):
-    """Exceptions that can be thrown within four steps of the busiest symbol, at their least depth."""
-    symbols, edges = symbols_of(spark, d), _edges(spark, d)
-    thrown = symbols.select(F.col("symbol_id").alias("node"), F.explode("metadata.thrown_exceptions").alias("context_key"))
-    return U.requirements(G.reach(edges, G.busiest(edges, "src"), 4), thrown.filter("context_key is not null").distinct())
+    """Context keys that code within four steps of the busiest symbol reads, at their least depth."""
+    edges = _edges(spark, d, ("class_reference", "inheritance"))
+    read_keys = X.context_keys(read_spread(spark, d, "files"))
+    keys = symbols_of(spark, d).select(F.col("symbol_id").alias("node"), "file_id").join(read_keys, "file_id").select("node", "context_key").distinct()
+    return U.requirements(G.reach(edges, G.busiest(edges, "src"), 4), keys)
 
 
 def upstream_touchpoints(spark, d):
     """Symbols that reach lines with literal SQL through the outer layers."""
     code = L.file_lines(read_spread(spark, d, "files").filter("language <> 'sql'"), unique=False)
     points = U.literal_sql_tables(code, read(spark, d, "db_tables"))
-    return U.upstream_touchpoints(points, symbols_of(spark, d), files_of(spark, d), _edges(spark, d), R.layer_of("path"), ("Http", "Command", "Listener"))
+    return U.upstream_touchpoints(points, symbols_of(spark, d), files_of(spark, d), _edges(spark, d), R.layer_of("path"), R.BRIDGES)
 
 
 _ALL = (
-    upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols_all, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables_all, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
+    sql_validate, sql_validate_replayed, table_cards, table_cards_replayed, table_graph_edges, find_table, test_targets, planned_layers, upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols_all, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables_all, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
     exception_summary, fk_graph_bfs, schema_counts, table_summary, table_search, fk_join_check, line_counts, enclosing_symbol, search_content,
-    line_write_context, block_segments, comment_lines, table_refs, status, unresolved_categories, source_labels, namespace_prefixes, module_stats,
+    line_write_context, block_segments, comment_lines, table_refs, table_refs_sql, status, unresolved_categories, source_labels, namespace_prefixes, module_stats,
     module_table, module_dependencies, layer_violations, external_namespaces, kind_counts, interface_adoption, naming_ratios, freshness,
     compare_members, missing_everywhere, find_symbols, suggest_symbols, name_tokens, tested_areas, route_pairs, changeset,
 )

@@ -228,7 +228,7 @@ def test_usage(spark):
     text = "a();\n\n{\n  b();\n}\n" + "".join(f"x{i}();\n" for i in range(20))
     files = spark.createDataFrame([(1, "p", text)], "file_id long, path string, content string")
     symbols = spark.createDataFrame([(1, 1, "method", 1, 5), (2, 1, "method", 5, 25), (3, 1, "class", 1, 25), (4, 1, "method", 1, 99)], "symbol_id long, file_id long, kind string, line_start int, line_end int")
-    got = dict(rows(usage.body_previews(lines.file_lines(files), symbols)))
+    got = dict(rows(usage.body_previews(files, symbols)))
     assert got[1] == "b();" and got[2].endswith("x7();\n...") and set(got) == {1, 2}
     code = spark.createDataFrame([(1, "p", "$q = 'SELECT id FROM users u JOIN gone g';\n// SELECT x FROM users\n$from = users();"), (2, "q", None)], "file_id long, path string, content string")
     tables = spark.createDataFrame([("users",), (None,)], "normalized_name string")
