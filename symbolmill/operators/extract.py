@@ -121,3 +121,76 @@ def orm_mappings(files: DataFrame) -> DataFrame:
     return rows.select("file_id", kind.alias("kind"), F.regexp_extract("m", r"name\s*[:=]\s*['\"]([^'\"]+)", 1).alias("name")).filter("name <> ''")
 
 
+_ORM = re.compile(r"(?P<name>[\w\\]+)\s*\((?P<args>[^()]*(?:\([^()]*\)[^()]*)*)\)", re.S)
+_ORM_ARGUMENT = re.compile(r"(?:(\w+)\s*[:=]\s*)?['\"]([^'\"]*)['\"]")
+_ORM_ANNOTATION = re.compile(r"@(?:[\w\\]+\\)?(?P<name>table|joincolumn|column)\s*\((?P<args>[^)]*)\)", re.I)
+
+
+def _orm_parts(marks: str, docblock: str | None) -> dict[str, dict[str, str]]:
+    """Arguments of the table, column and joincolumn marks before a declaration: those of attributes first, else of the docblock."""
+    found: dict[str, dict[str, str]] = {}
+    for pattern, text, positional in ((_ORM, marks, True), (_ORM_ANNOTATION, docblock or "", False)):
+        for m in pattern.finditer(text):
+            leaf = m["name"].rsplit("\\", 1)[-1].lower()
+            if leaf in ("table", "column", "joincolumn") and leaf not in found:
+                args = {(k or "").lower(): v for k, v in _ORM_ARGUMENT.findall(m["args"])}
+                name = args.get("name") or (args.get("") if positional else None)
+                if name:
+                    found[leaf] = args | {"name": name}
+        if found:
+            return found
+    return found
+
+
+def orm_links(files: DataFrame) -> DataFrame:
+    """(file_id, owner, link_kind, table_name, column_name, referenced_column_name) of mapped classes and their properties.
+
+    ``owner`` is the qualified name of the entity or of its property; a property counts only in a class with a table. Promoted
+    parameters take attributes only. Edge cases: marks without a name and classes without a table give nothing.
+    """
+
+    def rows(text: str) -> list[tuple]:
+        source, out, tables = Source(text), [], {}
+        lines = text.splitlines(keepends=True)
+        starts = source.starts
+        for s in source.symbols:
+            begin = starts[s.line_start - 1] if s.line_start <= len(starts) else len(text)
+            promoted = bool(s.metadata.get("promoted"))
+            if s.kind == "property" and promoted:
+                line = lines[s.line_start - 1] if s.line_start <= len(lines) else ""
+                at = line.find("$" + s.name)
+                marks = line[line.rfind("#[", 0, at) : at] if "#[" in line[:at] else _marks_before(text, begin)
+                found = _orm_parts(marks, None)
+            else:
+                found = _orm_parts(_marks_before(text, begin), s.docblock)
+            if s.kind == "class" and "table" in found:
+                tables[s.qualified_name] = ddl.normalise(found["table"]["name"])
+                out.append((s.qualified_name, "entity_table", tables[s.qualified_name], None, None))
+            elif s.kind == "property" and s.parent in tables:
+                order = ("column", "joincolumn") if "column" in found else ("joincolumn",)
+                for leaf in order[:1]:
+                    if leaf in found:
+                        kind = "entity_column" if leaf == "column" else "entity_join_column"
+                        other = found[leaf].get("referencedcolumnname") if leaf == "joincolumn" else None
+                        out.append((s.qualified_name, kind, tables[s.parent], ddl.normalise(found[leaf]["name"]), ddl.normalise(other) if other else None))
+        return out
+
+    return _each_file(files, "php", "owner string, link_kind string, table_name string, column_name string, referenced_column_name string", rows)
+
+
+def _marks_before(text: str, at: int) -> str:
+    """The attributes right before a declaration."""
+    head = text[:at].rstrip()
+    marks = ""
+    while head.endswith("]"):
+        depth, i = 0, len(head)
+        while i:
+            i -= 1
+            depth += {"]": 1, "[": -1}.get(head[i], 0)
+            if not depth:
+                break
+        if head[i - 1 : i] != "#":
+            break
+        marks = head[i:] + marks
+        head = head[: i - 1].rstrip()
+    return marks

@@ -37,15 +37,17 @@ def symbol_edges(references: DataFrame, kinds: Sequence[str] | None = None) -> D
     return rows.select(F.col("source_symbol_id").alias("src"), F.col("target_symbol_id").alias("dst"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, seed_seen: bool = True, lift: DataFrame | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, seed_seen: bool = True, lift: DataFrame | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(node, depth): nodes within ``depth`` steps of the seeds (node) along src -> dst, at their least depth.
 
     ``lift`` (node, parent) adds a node's container to the frontier at the same depth.
-    Without ``seed_seen`` the seeds themselves may be reached again.
+    Without ``seed_seen`` the seeds themselves may be reached again. Nodes of ``stop`` (node) are never entered.
     """
     frontier = checkpointed(seeds.select("node").distinct())
     visited = frontier.withColumn("depth", F.lit(0))
     seen = visited if seed_seen else visited.limit(0)
+    if stop is not None:
+        edges = edges.join(stop.select(F.col("node").alias("dst")), "dst", "left_anti")
     for step in range(1, depth + 1):
         nxt = frontier.join(edges.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node")).distinct()
         if lift is not None:
@@ -122,8 +124,75 @@ def busiest(rows: DataFrame, key: str, where: Column | None = None, n: int = 1)
     return counted.orderBy(F.desc("n"), "node").limit(n).select("node")
 
 
+def owned_references(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(src, dst, name, reference_kind, line_number, via): references of a symbol and of its direct children.
+
+    ``dst`` is null where the target is unknown to ``symbols``, ``name`` is the target's own name or the written one,
+    ``via`` the child that refers. Owners are exploded, so that both cases are one equi-join.
+    """
+    own = symbols.select(F.col("symbol_id").alias("source_symbol_id"), "parent_symbol_id", F.col("name").alias("source_name"))
+    known = symbols.select(F.col("symbol_id").alias("target_symbol_id"), F.col("qualified_name").alias("target_name"))
+    rows = references.dropDuplicates(["reference_id"]).select("source_symbol_id", "target_symbol_id", "target_qualified_name", "reference_kind", "line_number").join(own, "source_symbol_id")
+    rows = rows.join(known.withColumn("dst", F.col("target_symbol_id")), "target_symbol_id", "left").filter(F.col("dst").isNotNull() | F.col("target_symbol_id").isNull())
+    owners = F.array_compact(F.array(F.struct(F.col("source_symbol_id").alias("src"), F.lit(None).cast("string").alias("via")), F.when(F.col("parent_symbol_id").isNotNull(), F.struct(F.col("parent_symbol_id").alias("src"), F.col("source_name").alias("via")))))
+    return rows.withColumn("o", F.explode(owners)).select("o.src", "dst", F.coalesce("target_name", "target_qualified_name").alias("name"), "reference_kind", "line_number", "o.via")
+
+
+def flow_references(owned: DataFrame, symbols: DataFrame, overrides_any_case: bool = False) -> DataFrame:
+    """``owned`` cut to calls, with what a symbol inherits and overrides.
+
+    A symbol also has the self calls of the classes it extends. A self call of a method that the symbol itself has as
+    a child becomes the calls of that child. As in the reference a child counts only if its name is written in lower
+    case; ``overrides_any_case`` compares without case.
+    """
+    calls = owned.filter(F.col("reference_kind").isin(*CALL_KINDS))
+    bases = owned.filter("reference_kind = 'inheritance' and dst is not null").select(F.col("src").alias("heir"), F.col("dst").alias("src")).distinct()
+    inherited = owned.filter("reference_kind = 'self_call'").join(bases, "src").select(F.col("heir").alias("src"), "dst", "name", "reference_kind", "line_number", "via")
+    rows = calls.unionByName(inherited).withColumn("method", F.when((F.col("reference_kind") == "self_call") & (F.instr("name", "::") > 0), F.lower(F.substring_index("name", "::", -1))))
+    children = symbols.filter("parent_symbol_id is not null and name is not null").select(F.col("parent_symbol_id").alias("src"), F.lower("name").alias("method"), F.col("symbol_id").alias("child"), "name")
+    children = children if overrides_any_case else children.filter("name = method")
+    children = children.groupBy("src", "method").agg(F.min("child").alias("child"))
+    own = rows.join(children.select("src", "method"), ["src", "method"], "left_anti").drop("method")
+    through = rows.filter("method is not null").select("src", "method").distinct().join(children, ["src", "method"])
+    led = through.select("src", F.col("child").alias("owner")).join(calls.filter("dst is not null").withColumnRenamed("src", "owner"), "owner").select(*owned.columns)
+    return own.select(*owned.columns).unionByName(led)
+
+
+def tree(owned: DataFrame, seeds: DataFrame, depth: int, deeper_kinds: Sequence[str] = CALL_KINDS, first_kinds: Sequence[str] | None = None) -> DataFrame:
+    """(node, depth, name, is_resolved, n): symbols reached from the seeds (node) and unknown targets as leaves.
+
+    The seeds follow ``first_kinds`` (null: all), deeper symbols ``deeper_kinds``; symbols at ``depth`` still show their leaves.
+    A leaf is one row per name and the least depth it hangs at, with the number of references.
+    """
+    resolved = owned.filter("dst is not null")
+    deeper = resolved.filter(F.col("reference_kind").isin(*deeper_kinds)).select("src", "dst").distinct()
+    first = (resolved if first_kinds is None else resolved.filter(F.col("reference_kind").isin(*first_kinds))).select("src", "dst").distinct()
+    seeds = checkpointed(seeds.select("node").distinct())
+    next_ = seeds.join(first.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node")).distinct().join(seeds, "node", "left_anti")
+    rest = reach(deeper, next_, depth - 1, stop=seeds).select("node", (F.col("depth") + 1).alias("depth"))
+    nodes = checkpointed(seeds.withColumn("depth", F.lit(0)).unionByName(rest))
+    leaves = owned.filter("dst is null and name is not null").join(nodes.withColumnRenamed("node", "src"), "src")
+    kinds = F.col("reference_kind").isin(*deeper_kinds)
+    leaves = leaves.filter(kinds | ((F.col("depth") == 0) & (F.lit(True) if first_kinds is None else F.col("reference_kind").isin(*first_kinds))))
+    leaves = leaves.groupBy("name", (F.col("depth") + 1).alias("depth")).agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("long")
+    return nodes.select("node", "depth", F.lit(None).cast("string").alias("name"), F.lit(True).alias("is_resolved"), F.lit(1).cast("long").alias("n")).unionByName(
+        leaves.select(none.alias("node"), "depth", "name", F.lit(False).alias("is_resolved"), "n")
+    )
+
+
 def exception_summary(symbols: DataFrame) -> DataFrame:
-    """(owner_symbol_id, exception, method) of each container's methods; functions own themselves."""
+    """(owner_symbol_id, source, exception, method) of each container's methods; functions own themselves.
+
+    ``source`` is throw, docblock or catch, as far as the metadata hold them.
+    """
     rows = symbols.filter(F.col("kind").isin("method", "function"))
-    rows = rows.select(F.coalesce("parent_symbol_id", "symbol_id").alias("owner_symbol_id"), F.col("name").alias("method"), F.explode("metadata.thrown_exceptions").alias("exception"))
-    return rows.filter(F.col("exception").isNotNull()).distinct()
+    held = rows.schema["metadata"].dataType.fieldNames()
+    fields = {"throw": ("thrown_exceptions", "thrownExceptions"), "docblock": ("documented_throws", "documentedThrows"), "catch": ("caught_exceptions", "caughtExceptions")}
+    lists = [_entries(f, s) for s, names in fields.items() for f in names if f in held]
+    rows = rows.select(F.coalesce("parent_symbol_id", "symbol_id").alias("owner_symbol_id"), F.col("name").alias("method"), F.explode(F.concat(*lists)).alias("x"))
+    return rows.select("owner_symbol_id", "x.source", "x.exception", "method").filter(F.col("exception").isNotNull()).distinct()
+
+
+def _entries(field: str, source: str) -> Column:
+    return F.coalesce(F.transform(F.col(f"metadata.{field}"), lambda x: F.struct(F.lit(source).alias("source"), x.alias("exception"))), F.array().cast("array<struct<source:string,exception:string>>"))

@@ -83,6 +83,20 @@ def flow_calls(spark, d):
     return G.reach(edges, G.busiest(edges, "src"), 10).select(F.col("node").alias("symbol_id"), "depth")
 
 
+def deps_tree(spark, d):
+    """All dependencies of the busiest symbol, three steps deep, unknown targets as leaves."""
+    owned = G.owned_references(read(spark, d, "symbol_references"), symbols_of(spark, d))
+    return G.tree(owned, G.busiest(owned, "src"), 3)
+
+
+def flow_tree(spark, d):
+    """The calls of the busiest symbol, five steps deep, through inherited and overridden methods."""
+    symbols = symbols_of(spark, d)
+    owned = G.owned_references(read(spark, d, "symbol_references"), symbols)
+    calls = G.flow_references(owned, symbols)
+    return G.tree(calls, G.busiest(calls, "src"), 5, first_kinds=G.CALL_KINDS)
+
+
 def blast_radius(spark, d):
     files, symbols, edges = files_of(spark, d), symbols_of(spark, d), _edges(spark, d)
     seeds = symbols.join(G.busiest(symbols, "file_id").withColumnRenamed("node", "file_id"), "file_id").select(F.col("symbol_id").alias("node"))
@@ -433,7 +447,7 @@ def upstream_touchpoints(spark, d):
 
 
 _ALL = (
-    sql_validate, sql_validate_replayed, table_cards, table_cards_replayed, table_graph_edges, find_table, test_targets, planned_layers, upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols_all, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables_all, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, flow_calls, blast_radius, climb_usage, top_level_container,
+    sql_validate, sql_validate_replayed, table_cards, table_cards_replayed, table_graph_edges, find_table, test_targets, planned_layers, upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols_all, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables_all, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, deps_tree, flow_tree, flow_calls, blast_radius, climb_usage, top_level_container,
     exception_summary, fk_graph_bfs, schema_counts, table_summary, table_search, fk_join_check, line_counts, enclosing_symbol, search_content,
     line_write_context, block_segments, comment_lines, table_refs, table_refs_sql, status, unresolved_categories, source_labels, namespace_prefixes, module_stats,
     module_table, module_dependencies, layer_violations, external_namespaces, kind_counts, interface_adoption, naming_ratios, freshness,

@@ -102,7 +102,7 @@ SELECT node AS symbol_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY n
     + """, w(node, top, height) AS (SELECT symbol_id, symbol_id, 0 FROM s UNION ALL SELECT w.node, p.symbol_id, w.height + 1 FROM w JOIN s c ON c.symbol_id = w.top JOIN s p ON p.symbol_id = c.parent_symbol_id WHERE w.height < 32)
 SELECT node AS symbol_id, arg_max(top, height) AS top_symbol_id, CAST(max(height) AS INTEGER) AS height FROM w GROUP BY node""",
     "exception_summary": _BASE
-    + "SELECT DISTINCT owner_symbol_id, method, exception FROM (SELECT coalesce(parent_symbol_id, symbol_id) AS owner_symbol_id, name AS method, unnest(metadata.thrown_exceptions) AS exception FROM s WHERE kind IN ('method', 'function')) WHERE exception IS NOT NULL",
+    + "SELECT DISTINCT owner_symbol_id, 'throw' AS source, method, exception FROM (SELECT coalesce(parent_symbol_id, symbol_id) AS owner_symbol_id, name AS method, unnest(metadata.thrown_exceptions) AS exception FROM s WHERE kind IN ('method', 'function')) WHERE exception IS NOT NULL",
     "fk_graph_bfs": _BASE
     + """, known AS (SELECT DISTINCT repo_id, normalized_name AS n FROM t WHERE normalized_name IS NOT NULL),
 d AS (SELECT DISTINCT ke.repo_id, source_table AS a, target_table AS b FROM ke JOIN known ON known.repo_id = ke.repo_id AND known.n = ke.target_table),
@@ -411,3 +411,32 @@ terms AS (SELECT path, score, reason FROM hints UNION ALL SELECT path, weight +
   UNION ALL SELECT path, 2, 'name tokens' FROM tt JOIN st USING (token) UNION ALL SELECT path, least(weight, 2), NULL FROM (SELECT DISTINCT path, seed, weight FROM tt JOIN st USING (token)) UNION ALL SELECT path, 1, 'same area' FROM td JOIN sd USING (d))
 SELECT path, CAST(sum(score) AS BIGINT) AS score, coalesce(array_to_string(list_sort(list(DISTINCT reason) FILTER (WHERE reason IS NOT NULL)), ', '), '') AS reasons FROM terms JOIN tests USING (path) GROUP BY 1 HAVING sum(score) >= 8"""
 )
+
+_OWNED = """, rr AS (SELECT r.*, s.parent_symbol_id AS parent, s.name AS source_name, k.symbol_id AS dst, coalesce(k.qualified_name, r.target_qualified_name) AS tname
+  FROM r JOIN s ON s.symbol_id = r.source_symbol_id LEFT JOIN s k ON k.symbol_id = r.target_symbol_id WHERE r.target_symbol_id IS NULL OR k.symbol_id IS NOT NULL),
+ow AS (SELECT source_symbol_id AS src, dst, tname AS name, reference_kind, line_number FROM rr UNION ALL SELECT parent, dst, tname, reference_kind, line_number FROM rr WHERE parent IS NOT NULL)
+"""
+_CALLS = "reference_kind IN (" + _list(CALL_KINDS) + ")"
+
+
+def _tree(edges: str, depth: int, first: str) -> str:
+    return f""", top1 AS (SELECT src AS node FROM {edges} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+w(node, depth) AS (SELECT node, 0 FROM top1 UNION SELECT x.dst, w.depth + 1 FROM w JOIN {edges} x ON x.src = w.node WHERE x.dst IS NOT NULL AND w.depth < {depth} AND (x.{_CALLS} OR (w.depth = 0 AND {first}))),
+m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)
+SELECT node, CAST(depth AS INTEGER) AS depth, NULL::VARCHAR AS name, true AS is_resolved, 1::BIGINT AS n FROM m
+UNION ALL SELECT NULL, CAST(m.depth + 1 AS INTEGER), x.name, false, count(*) FROM m JOIN {edges} x ON x.src = m.node WHERE x.dst IS NULL AND x.name IS NOT NULL AND (x.{_CALLS} OR (m.depth = 0 AND {first})) GROUP BY m.depth, x.name"""
+
+
+SQL["deps_tree"] = _BASE + _OWNED + _tree("ow", 3, "true")
+SQL["flow_tree"] = (
+    _BASE
+    + _OWNED
+    + f""", fc AS (SELECT * FROM ow WHERE {_CALLS}), bases AS (SELECT DISTINCT src, dst FROM ow WHERE reference_kind = 'inheritance' AND dst IS NOT NULL),
+al AS (SELECT *, CASE WHEN reference_kind = 'self_call' AND instr(name, '::') > 0 THEN lower(split_part(name, '::', -1)) END AS method FROM (
+  SELECT * FROM fc UNION ALL SELECT b.src, x.dst, x.name, x.reference_kind, x.line_number FROM ow x JOIN bases b ON b.dst = x.src WHERE x.reference_kind = 'self_call')),
+ch AS (SELECT parent_symbol_id AS src, name AS method, min(symbol_id) AS child FROM s WHERE parent_symbol_id IS NOT NULL AND name = lower(name) GROUP BY 1, 2),
+fl AS (SELECT src, dst, name, reference_kind, line_number FROM al WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.src = al.src AND ch.method = al.method)
+  UNION ALL SELECT t.src, fc.dst, fc.name, fc.reference_kind, fc.line_number FROM (SELECT DISTINCT al.src, ch.child FROM al JOIN ch ON ch.src = al.src AND ch.method = al.method) t JOIN fc ON fc.src = t.child WHERE fc.dst IS NOT NULL)
+"""
+    + _tree("fl", 5, "false")
+)

@@ -48,21 +48,24 @@ def discover(
         base = folder.rstrip("/")
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
         inner = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(base) + "/", "")
-        parts.append(raw.select(F.concat(F.lit(f"@{label}/" if label else ""), inner).alias("path"), F.col("content").cast("string").alias("content")))
+        parts.append(raw.select(F.concat(F.lit(f"@{label}/" if label else ""), inner).alias("path"), F.col("content").cast("string").alias("content"), F.lit(len(parts)).alias("root")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     rows = rows.withColumn("language", language_of(F.col("path"))).filter(F.col("language").isin(*languages))
     for pattern in exclude:
         rows = rows.filter(~F.regexp_like("path", F.lit(pattern)))
+    # of one path under several roots the last one counts; contents meet only where a path occurs twice
+    last = rows.groupBy("path").agg(F.max("root").alias("root"))
+    rows = rows.join(last, ["path", "root"], "left_semi") if len(parts) > 1 else rows
     return rows.select("path", "language", F.sha2("content", 256).alias("hash"), F.size(F.split("content", "\n", -1)).alias("lines_of_code"), "content")
 
 
-def upsert_files(stored: DataFrame, found: DataFrame) -> DataFrame:
-    """By (repo_id, path) the found row replaces the stored one, whose id and language stay."""
-    keep = stored.select("repo_id", "path", F.col("id").alias("old_id"), F.col("language").alias("old_language"))
+def upsert_files(stored: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
+    """By (repo_id, path) the found row replaces the stored one, whose id (``key``) and language stay."""
+    keep = stored.select("repo_id", "path", F.col(key).alias("old_id"), F.col("language").alias("old_language"))
     fresh = found.join(keep, ["repo_id", "path"], "left")
-    fresh = fresh.withColumn("id", F.coalesce("old_id", "id")).withColumn("language", F.coalesce("old_language", "language")).select(*stored.columns)
+    fresh = fresh.withColumn(key, F.coalesce("old_id", key)).withColumn("language", F.coalesce("old_language", "language")).select(*stored.columns)
     return stored.join(found.select("repo_id", "path"), ["repo_id", "path"], "left_anti").select(*stored.columns).unionByName(fresh)
 
 
@@ -71,21 +74,23 @@ def replace_by(stored: DataFrame, fresh: DataFrame, keys: DataFrame, on: str) ->
     return stored.join(keys.select(on).distinct(), on, "left_anti").select(*stored.columns).unionByName(fresh)
 
 
-def delete_files(tables: Mapping[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """Drop files (id), their symbols and links; references to them lose their target, those from them go."""
-    ids = gone.select(F.col("id").alias("file_id")).distinct()
-    dead = tables["symbols"].join(ids, "file_id", "left_semi").select(F.col("id").alias("dead_id"))
+def delete_files(tables: Mapping[str, DataFrame], gone: DataFrame, file_key: str = "id", symbol_key: str = "id") -> dict[str, DataFrame]:
+    """Drop files, their symbols, links and direct table references; references to them lose their target, those from them go."""
+    ids = gone.select(F.col(file_key).alias("file_id")).distinct()
+    dead = tables["symbols"].join(ids, "file_id", "left_semi").select(F.col(symbol_key).alias("dead_id"))
     refs = tables["symbol_references"].join(dead, F.col("source_symbol_id") == F.col("dead_id"), "left_anti")
     refs = refs.join(dead, F.col("target_symbol_id") == F.col("dead_id"), "left")
     refs = refs.withColumn("target_symbol_id", F.when(F.col("dead_id").isNull(), F.col("target_symbol_id"))).drop("dead_id")
     out = {
-        "files": tables["files"].join(gone.select("id").distinct(), "id", "left_anti"),
+        "files": tables["files"].join(gone.select(file_key).distinct(), file_key, "left_anti"),
         "symbols": tables["symbols"].join(ids, "file_id", "left_anti"),
         "symbol_references": refs,
     }
     for name in ("symbol_table_links", "symbol_column_links"):
         if name in tables:
             out[name] = tables[name].join(dead, F.col("source_symbol_id") == F.col("dead_id"), "left_anti")
+    if "direct_table_references" in tables:
+        out["direct_table_references"] = tables["direct_table_references"].join(ids.withColumnRenamed("file_id", "source_file_id"), "source_file_id", "left_anti")
     return out
 
 

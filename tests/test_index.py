@@ -136,7 +136,7 @@ def test_extractors_on_tables(spark):
         "file_id long, language string, content string",
     )
     assert extract.php_symbols(files).count() == 8
-    assert rows(extract.ddl_columns(files)) == {(2, 1, "a", "x", "int")}
+    assert rows(extract.ddl_columns(files)) == {(2, 1, "a", "x", "int", True, None, 1, 3)}
     key = extract.ddl_keys(files).first()
     assert (key.table_name, key.constraint_name, key.source_columns, key.target_table, key.target_columns) == ("a", "fk", ["x"], "b", ["y"])
     assert [(r.line_start, r.text[:4]) for r in extract.sql_statements(files).collect()] == [(1, "-- x"), (7, "DROP")]

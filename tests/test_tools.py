@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from symbolmill.operators import compare, lines, reports, schema, sqlcheck, testing, usage
+from symbolmill.operators import compare, lines, reports, schema, sqlcheck, testing, traverse, usage
 
 FILES = "file_id long, repo_id long, path string, content string"
 SYMBOLS = "symbol_id long, file_id long, kind string, qualified_name string, line_start int, line_end int"
@@ -135,3 +135,25 @@ def test_tables_found_and_drawn(spark):
     columns = spark.createDataFrame([(1, "a.users", "u", "int"), (9, "a.users", "q", "int")], "repo_id long, table_name string, column_name string, data_type string")
     cards = {(r.section, r["name"], r.detail) for r in schema.table_cards(tables, columns, edges, files).filter("table_name = 'a.users'").collect()}
     assert cards == {("file", "db/a.sql", "3"), ("column", "u", "int"), ("references", "k", "u -> b.users(id)")}
+
+
+REFS = "reference_id long, source_symbol_id long, target_symbol_id long, target_qualified_name string, reference_kind string, line_number int"
+GRAPH = "symbol_id long, parent_symbol_id long, name string, qualified_name string"
+
+
+def test_flow_and_dependencies(spark):
+    symbols = spark.createDataFrame([(i, None, n, f"Ns\\{n}") for i, n in enumerate(["A", "B", "C", "Base", "E"], 1)] + [(11, 1, "make", "Ns\\A::make"), (12, 4, "run", "Ns\\Base::run"), (13, 3, "Own", "Ns\\C::Own")], GRAPH)
+    refs = [(1, 1, 2, "ns\\b", "instantiation", 5), (2, 1, 4, "ns\\base", "inheritance", 1), (3, 1, 5, "ns\\e", "class_reference", 6), (4, 2, 3, "ns\\c", "static_call", 5), (4, 2, 3, "ns\\c", "static_call", 5)]
+    more = [(5, 12, 11, "ns\\base::make", "self_call", 9), (6, 11, 5, "ns\\e", "instantiation", 3), (7, 5, None, "gone\\x", "static_call", 2), (8, 5, None, "gone\\y", "type_hint", 2), (9, 3, 99, "removed", "static_call", 1)]
+    owned = traverse.owned_references(spark.createDataFrame(refs + more, REFS), symbols)
+    start = spark.createDataFrame([(1,)], "node long")
+    reached = lambda df: {(r.node, r.depth) for r in df.collect() if r.is_resolved}
+    leaves = lambda df: {(r["name"], r.depth, r.n) for r in df.collect() if not r.is_resolved}
+    calls = traverse.flow_references(owned, symbols)
+    # Base::run calls $this->make(), which A overrides: what A::make makes is followed instead
+    assert reached(traverse.tree(calls, start, 5, first_kinds=traverse.CALL_KINDS)) == {(1, 0), (2, 1), (5, 1), (3, 2)}
+    assert reached(traverse.tree(calls, start, 1, first_kinds=traverse.CALL_KINDS)) == {(1, 0), (2, 1), (5, 1)}
+    forward = traverse.tree(owned, start, 2)
+    assert reached(forward) == {(1, 0), (2, 1), (4, 1), (5, 1), (3, 2), (11, 2)} and leaves(forward) == {("gone\\x", 2, 1)}
+    assert leaves(traverse.tree(owned, spark.createDataFrame([(5,)], "node long"), 1)) == {("gone\\x", 1, 1), ("gone\\y", 1, 1)}
+    assert traverse.tree(owned, start.limit(0), 3).count() == 0
