@@ -22,7 +22,7 @@ import re
 from typing import NamedTuple
 
 _TOKEN = re.compile(
-    r"(?P<skip>\s+|--[^\r\n]*|/\*.*?(?:\*/|\Z))|(?P<text>'(?:[^'\\]|''|\\.)*')|(?P<quoted>`[^`]+`|\"[^\"]+\"|\[[^\]]+\])|(?P<word>[\w$]+)|(?P<sign>::|.)", re.S
+    r"(?:\s+|--[^\r\n]*|/\*.*?(?:\*/|\Z))*+(?:(?P<word>[\w$]+)|(?P<sign>::|[^\w\s`\"'\[])|(?P<text>'(?:[^'\\]|''|\\.)*')|(?P<quoted>`[^`]+`|\"[^\"]+\"|\[[^\]]+\])|(?P<other>\S)|(?P<end>\Z))", re.S
 )
 _SCHEMA = re.compile(r"(?:\s|--[^\r\n]*|/\*.*?\*/)*(?:create|alter|drop|rename)\b", re.I | re.S)
 _OUTER = re.compile(r"^[`\"\[\]]+|[`\"\[\]]+$")
@@ -53,10 +53,10 @@ class Tokens:
 
     def __init__(self, text: str):
         self.source = text
-        self.parts = [m for m in _TOKEN.finditer(text) if m.lastgroup != "skip"]
+        self.parts = [(m[m.lastgroup], m.lastgroup, m.start(m.lastgroup), m.end()) for m in _TOKEN.finditer(text) if m.lastgroup != "end"]
         while self.parts and self.parts[-1][0] == ";":
             self.parts.pop()
-        self.lows = [m[0].lower() if m.lastgroup in ("word", "sign") else "" for m in self.parts]
+        self.lows = [t.lower() if kind == "word" else t if kind in ("sign", "other") else "" for t, kind, _, _ in self.parts]
         self.at, self.end = 0, len(self.parts)
 
     def low(self, ahead: int = 0) -> str:
@@ -83,7 +83,7 @@ class Tokens:
     def name(self) -> str | None:
         """A normalised name with its dots, null if none comes next."""
         start, parts = self.at, []
-        while self.at < self.end and self.parts[self.at].lastgroup in ("word", "quoted"):
+        while self.at < self.end and self.parts[self.at][1] in ("word", "quoted"):
             parts.append(self.parts[self.at][0])
             self.at += 1
             if self.low() != ".":
@@ -126,11 +126,11 @@ class Tokens:
 
     def text(self, start: int, stop: int) -> str:
         """What is written from one token to before another."""
-        return self.source[self.parts[start].start() : self.parts[stop - 1].end()] if stop > start else ""
+        return self.source[self.parts[start][2] : self.parts[stop - 1][3]] if stop > start else ""
 
     def line(self) -> int:
         """Line of the next token in the statement, from 0."""
-        return len(re.findall(r"\r\n|\r|\n", self.source[: self.parts[self.at].start()])) if self.at < self.end else 0
+        return len(re.findall(r"\r\n|\r|\n", self.source[: self.parts[self.at][2]])) if self.at < self.end else 0
 
 
 # --- columns and keys
@@ -144,7 +144,7 @@ def _type(t: Tokens) -> str | None:
     """The type that comes next, in lower case without white space: its name, arguments, array signs."""
     parts: list[str] = []
     while not t.done:
-        low, kind = t.low(), t.parts[t.at].lastgroup
+        low, kind = t.low(), t.parts[t.at][1]
         if low == "(" and parts:
             stop = min(t.end, t.closing() + 1)
             parts.append(t.text(t.at, stop))

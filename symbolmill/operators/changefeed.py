@@ -123,7 +123,9 @@ def change_events(statements: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [() for _ in fields]
             yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
-    cols = statements.select(F.col("repo_id").cast("long"), script_rank(F.col("path")).alias("rank"), "path", F.col("line_start").cast("int"), "text")
+    # other statements (data, indexes, views) stay in the JVM
+    schema = statements.filter(F.regexp_like("text", F.lit(r"(?is)^(?:\s|--[^\r\n]*|/\*.*?\*/)*+(?:create|alter|drop|rename)\b")))
+    cols = schema.select(F.col("repo_id").cast("long"), script_rank(F.col("path")).alias("rank"), "path", F.col("line_start").cast("int"), "text")
     events = cols.mapInArrow(read, _EVENTS)
     return events.select("repo_id", F.struct("rank", "path", "line", "idx").alias("seq"), "level", "op", "table_name", "column_name", "other", F.struct(*_FIELDS).alias("payload"))
 
@@ -143,7 +145,7 @@ def settle(events: DataFrame, scope: Sequence[str]) -> DataFrame:
     kind = events.schema["payload"].dataType.simpleString()
     way = _WAY.format(seq=_SEQ, payload=kind)
     steps = f"array<struct<name:string,since:{_SEQ}>>"
-    last = checkpointed(latest_state(events, [*scope, "name"], F.col("seq"), F.col("op"), F.struct("other", "payload"), delete="clear"))
+    last = latest_state(events, [*scope, "name"], F.col("seq"), F.col("op"), F.struct("other", "payload"), delete="clear")
     plain = last.filter("operation = 'set'").select(*scope, "name", F.col("payload.payload").alias("payload"), F.array(F.struct("name", F.col("sequence").alias("since"))).cast(steps).alias("trail"))
     moves = _resolved_moves(events, scope, way, steps)
     if moves is not None:
@@ -183,11 +185,12 @@ def _resolved_moves(events: DataFrame, scope: list[str], way: str, steps: str) -
         source_gone = F.col("a.state") == "gone"
         pairs = pairs.select(*scope, "ref", F.when(source_gone, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(source_gone | (F.col("a.state") == "alive"), gone).otherwise(F.col("b")).alias("b"))
         pairs = checkpointed(pairs)
-        if pairs.filter("a.state = 'wait'").isEmpty():
+        waiting = pairs.agg(*[F.count_if(F.col(f"{side}.state") == "wait").alias(side) for side in ("a", "b")]).first()
+        if not waiting["a"]:
             return pairs.select(*scope, "ref", F.col("a").alias("way"))
         single = (F.col("a.state") != "wait") | (F.col("b.state") == "gone")
         known = pairs.filter(single).select(*scope, "ref", F.col("a").alias("w"))
-        for side in ("a", "b"):
+        for side in (side for side in ("a", "b") if waiting[side]):
             to = known.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("ref").alias("_ref"), F.col("w").alias("_w"))
             on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in scope] + [F.col(f"{side}.ref") == F.col("_ref")]
             joined = pairs.join(to, on, "left")
@@ -197,10 +200,10 @@ def _resolved_moves(events: DataFrame, scope: list[str], way: str, steps: str) -
             pairs = joined.withColumn(side, moved).select(*scope, "ref", "a", "b")
 
 
-def _surviving(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The changes to columns and keys of the tables that survive, and those tables (repo_id, table)."""
+def _surviving(statements: DataFrame) -> DataFrame:
+    """The changes to columns and keys of the tables that survive (repo_id, table)."""
     events = checkpointed(change_events(current_statements(statements)))
-    tables = checkpointed(settle(events.filter("level = 'table'").select("repo_id", F.col("table_name").alias("name"), "seq", "op", "other", "payload"), ["repo_id"]))
+    tables = settle(events.filter("level = 'table'").select("repo_id", F.col("table_name").alias("name"), "seq", "op", "other", "payload"), ["repo_id"])
     lives = tables.select("repo_id", F.col("name").alias("table"), F.explode("trail").alias("t")).select("repo_id", "table", F.col("t.name").alias("table_name"), "t.since", "t.until")
     mine = (
         events.filter("level <> 'table'")
@@ -208,7 +211,7 @@ def _surviving(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
         .filter((F.col("seq") > F.col("since")) & (F.col("until").isNull() | (F.col("seq") < F.col("until"))))
         .select("repo_id", "table", "level", F.col("column_name").alias("name"), "seq", "op", "other", "payload")
     )
-    return checkpointed(mine), tables.select("repo_id", F.col("name").alias("table"))
+    return checkpointed(mine)
 
 
 _SCOPE = ["repo_id", "table"]
@@ -236,7 +239,7 @@ def _columns(mine: DataFrame) -> DataFrame:
 
 def current_columns(statements: DataFrame) -> DataFrame:
     """(repo_id, table_name, column_name, data_type, is_nullable, default_value) of the state after all statements."""
-    return _columns(_surviving(statements)[0])
+    return _columns(_surviving(statements))
 
 
 def current_schema(statements: DataFrame) -> DataFrame:
@@ -250,7 +253,7 @@ def current_keys(statements: DataFrame) -> DataFrame:
     Keys are folded by their identity; a key goes with any of its columns that is dropped
     later, and follows renames of its columns. Target names stay as they were written.
     """
-    mine, _ = _surviving(statements)
+    mine = _surviving(statements)
     keys = latest_state(mine.filter("level = 'key'"), [*_SCOPE, "name"], F.col("seq"), F.col("op"), F.struct("other", "payload"), delete="clear")
     columns = mine.filter("level = 'column'")
     fates = columns.filter("op = 'clear' and payload.field = 'drop'").select(*_SCOPE, F.col("name").alias("at"), "seq", F.lit(None).cast("string").alias("to"))
