@@ -101,4 +101,13 @@ FROM l""",
   SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), i + 200) AS n FROM (SELECT DISTINCT doc_id, i FROM shared)) GROUP BY 1)
 SELECT d.doc_id, d.n AS n_chars, coalesce(c.c, 0) AS shared_chars, CASE WHEN d.n > 0 THEN round(coalesce(c.c, 0) / d.n, 6) ELSE 0.0 END AS shared_share
 FROM (SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents) d LEFT JOIN c USING (doc_id)""",
+    "p9_passages": _GRAMS
+    + """, n AS (SELECT s, count(DISTINCT doc_id) AS n FROM shared GROUP BY s),
+w AS (SELECT shared.doc_id, shared.i, n.n FROM shared JOIN n USING (s)), u AS (SELECT doc_id, i, max(n) AS n FROM w GROUP BY ALL),
+longer AS (SELECT doc_id, i, substring(text, i, 201) AS t FROM g WHERE i + 200 <= length(text)), ln AS (SELECT t, count(DISTINCT doc_id) AS n FROM longer GROUP BY t),
+pairs AS (SELECT longer.doc_id, longer.i, ln.n FROM longer JOIN ln USING (t)), together AS (SELECT doc_id, i, max(n) AS n FROM pairs GROUP BY ALL),
+b AS (SELECT u.doc_id, u.i, CASE WHEN p.i IS NULL OR t.n < u.n OR t.n < p.n THEN 1 ELSE 0 END AS fresh
+  FROM u LEFT JOIN u p ON p.doc_id = u.doc_id AND p.i = u.i - 1 LEFT JOIN together t ON t.doc_id = u.doc_id AND t.i = u.i - 1),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b), r AS (SELECT doc_id, min(i) AS s, max(i) AS e FROM k GROUP BY doc_id, k)
+SELECT DISTINCT sha256(substring(text, s, e - s + 200)) AS passage_id, r.doc_id, CAST(s - 1 AS INTEGER) AS span_start, CAST(e + 199 AS INTEGER) AS span_end FROM r JOIN documents USING (doc_id)""",
 }
