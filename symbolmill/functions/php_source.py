@@ -27,7 +27,7 @@ _PROPERTY = re.compile(rf"\b(?<![$>:\\(,])(?P<mods>(?:(?:public|protected|privat
 _CONSTANT = re.compile(rf"\b(?<![$>:\\]){_MODS}const\s+(?:{_TYPE}\s+)?(?P<name>[^\W\d]\w*)\s*=", re.I)
 _PROMOTED = re.compile(rf"(?P<mods>(?:(?:public|protected|private|readonly)\s+)+)(?P<type>{_TYPE})?\s*(?:\.\.\.)?&?\$(?P<name>\w+)", re.I)
 _NAMESPACE = re.compile(r"\b(?<![$>:\\])namespace\s+([\w\\]+)\s*;", re.I)
-_USE = re.compile(r"\b(?<![$>:\\])use\s+(?!function\b|const\b)\\?([\w\\]+?)(?:\\\{([^}]*)\}|\s+as\s+(\w+))?\s*;", re.I)
+_USE = re.compile(r"\b(?<![$>:\\])use\s+(?!function\b|const\b)([\w\\][\w\\\s,]*(?:\{[^}]*\})?)\s*;", re.I)
 _TRAITS = re.compile(r"\b(?<![$>:\\)])use\s+([\w\\\s,]+)[;{]", re.I)
 _BUILTIN = frozenset("array bool callable false float int iterable mixed never null object parent self static string true void resource".split())
 _NEW = re.compile(r"\bnew\s+(\\?[^\W\d][\w\\]*)")
@@ -119,9 +119,15 @@ class Source:
         for m in _USE.finditer(self.code):
             if top[m.start()].isspace():
                 continue  # inside a body: a trait
-            for part in m[2].split(",") if m[2] else [None]:
-                name = f"{m[1]}\\{part.strip()}" if part else m[1]
-                self.imports[(m[3] or name.rsplit("\\", 1)[-1]).lower()] = name
+            base, brace, inner = m[1].partition("{")
+            for part in (inner.rstrip("} \t\r\n") if brace else base).split(","):
+                words = part.split()
+                if not words or words[0].lower() in ("function", "const"):
+                    continue
+                name = (base.strip() if brace else "") + words[0]
+                # a group import keeps its last segment as alias
+                alias = words[2] if len(words) == 3 and not brace else name.rsplit("\\", 1)[-1]
+                self.imports[alias.lower()] = name.lstrip("\\")
         bodies = []
         for m in _CLASS.finditer(top):
             if re.search(r"\bnew\s*$", top[: m.start()]):

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolmill.functions.names import as_column
+from symbolmill.functions.names import as_column, resource_key
 
 
 def member_names(symbols: DataFrame) -> DataFrame:
@@ -49,6 +49,22 @@ def find_symbols(symbols: DataFrame, pattern: str, limit: int = 50) -> DataFrame
     return rows.select("symbol_id", "qualified_name", "kind").orderBy("qualified_name", "symbol_id").limit(limit)
 
 
+def find(symbols: DataFrame, files: DataFrame, query: str, kind: str | None = None, path: str | None = None, limit: int = 20) -> DataFrame:
+    """(qualified_name, kind, path, line_start, line_end) of symbols whose name or qualified name matches, optionally of a kind and in a path.
+
+    ``*`` and ``%`` stand for any text and ``_`` for one character; without them the text may stand anywhere. ASCII case does not
+    matter, backslashes are literal.
+    """
+    pattern = query.lower().replace("*", "%")
+    pattern = (pattern if "%" in pattern else f"%{pattern}%").replace("\\", "\\\\")
+    hit = F.lower("name").like(pattern) | F.lower("qualified_name").like(pattern)
+    rows = symbols.filter(hit & F.col("qualified_name").isNotNull())
+    rows = rows if kind is None else rows.filter(F.col("kind") == kind)
+    rows = rows.join(files.select("file_id", "path"), "file_id")
+    rows = rows if path is None else rows.filter(F.contains(F.lower("path"), F.lit(path.lower())))
+    return rows.orderBy("qualified_name", "symbol_id").limit(max(1, min(limit, 50))).select("qualified_name", "kind", "path", "line_start", "line_end")
+
+
 def name_tokens(name: Column | str) -> Column:
     """Lower-case words of a camel-case or namespaced name, the merged form first, distinct."""
     split = F.lower(F.regexp_replace(F.regexp_replace(as_column(name), r"\\", " "), r"([a-z0-9])([A-Z])", "$1 $2"))
@@ -135,6 +151,38 @@ def route_pairs(routes: DataFrame, flat_size: int = 4) -> DataFrame:
     return nested.join(flat, "key").select("nested", "flat").distinct()
 
 
+#: Leading folders of a route that say nothing of its resource.
+SCAFFOLDING = ("root", "companies", "company")
+
+
+def route_families(symbols: DataFrame, files: DataFrame, folder: str = "routes?") -> DataFrame:
+    """(family, display_path, qualified_name, path, segments) of classes below a ``folder``, one per family: interface files before others, then the smaller path."""
+    rows = symbols.filter("kind = 'class'").join(files.select("file_id", "path"), "file_id").select("path", F.coalesce("qualified_name", "name").alias("qualified_name"))
+    parts = F.split(F.regexp_replace("path", r"\.[^.]+$", ""), "/")
+    rows = rows.withColumn("parts", parts).withColumn("at", F.array_position(F.transform("parts", lambda p: F.regexp_like(p, F.lit(rf"(?i)^(?:{folder})$"))), F.lit(True)))
+    rows = rows.filter((F.col("at") > 0) & (F.col("at") < F.size("parts"))).withColumn("tail", F.slice("parts", F.col("at") + 1, F.size("parts")))
+    stem = F.regexp_replace(F.element_at("tail", -1), "Interface$", "")
+    above = F.slice("tail", 1, F.size("tail") - 1)
+    # leading scaffolding is cut: what follows the first folder that is none
+    free = F.array_position(F.transform(above, lambda p: ~F.lower(p).isin(*SCAFFOLDING)), F.lit(True))
+    kept = F.when(free > 0, F.slice(above, F.greatest(free, F.lit(1)), F.size(above))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("path", "qualified_name", F.array_join(F.concat(above, F.array(stem)), "/").alias("family"), F.concat(kept, F.array(stem)).alias("segments"))
+    best = rows.groupBy("family").agg(F.min(F.struct((~F.endswith("path", F.lit("Interface.php"))).alias("other"), "path", "qualified_name", "segments")).alias("b"))
+    return best.select("family", F.array_join("b.segments", "/").alias("display_path"), "b.qualified_name", "b.path", "b.segments")
+
+
+def family_pairs(families: DataFrame) -> DataFrame:
+    """(nested, flat) display paths: a nested family with the flat ones that one of its aliases names, null without any.
+
+    Aliases are the keys of all endings of at least two segments; they meet the keys of flat families in an equi-join.
+    """
+    flat = families.filter("size(segments) = 1").select(resource_key(F.col("segments")).alias("key"), F.col("display_path").alias("flat"))
+    nested = families.filter("size(segments) > 1").select("family", F.col("display_path").alias("nested"), F.explode(suffix_slices(F.col("segments"))).alias("ending"))
+    named = nested.select("family", "nested", resource_key(F.col("ending")).alias("key")).distinct()
+    found = named.join(flat, "key").select("family", "nested", "flat").distinct()
+    return named.select("family", "nested").distinct().join(found, ["family", "nested"], "left").select("nested", "flat")
+
+
 def changeset(stored: DataFrame, found: DataFrame) -> DataFrame:
     """(repo_id, path, change) between stored and found (repo_id, path, hash); equal hashes are no change."""
     s = stored.groupBy("repo_id", "path").agg(F.max("hash").alias("old"))

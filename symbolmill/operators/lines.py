@@ -29,6 +29,11 @@ def file_lines(files: DataFrame, unique: bool = True) -> DataFrame:
     return rows.select(*kept, F.posexplode(parts).alias("i", "line")).select(*kept, (F.col("i") + 1).alias("line_number"), "line")
 
 
+def files_with(files: DataFrame, text: str) -> DataFrame:
+    """Files that hold ``text`` in any case: only their lines are worth exploding when lines with it are asked for."""
+    return files.filter(F.contains(F.lower("content"), F.lit(text.lower())))
+
+
 def line_count(content: Column | str) -> Column:
     """Pieces between newlines; a closing newline counts one more."""
     return F.size(F.split(content, "\n", -1))

@@ -220,7 +220,21 @@ def blast_radius(files: DataFrame, symbols: DataFrame, reached: DataFrame) -> Da
     return rows.groupBy("path").agg(F.count("*").alias("n_symbols"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
 
 
+def blast_top(blast: DataFrame, shown: int = 10) -> DataFrame:
+    """The ``shown`` files with most symbols reached, and one row (path null) with the number of other files and of their symbols."""
+    top = blast.orderBy(F.desc("n_symbols"), "path").limit(shown).select("path", F.lit(1).cast("long").alias("n_files"), "n_symbols")
+    rest = blast.join(top.select("path"), "path", "left_anti").agg(F.count("*").alias("n_files"), F.sum("n_symbols").alias("n_symbols"))
+    return top.unionByName(rest.filter("n_files > 0").select(F.lit(None).cast("string").alias("path"), "n_files", "n_symbols"))
+
+
+def age_text(seconds: Column) -> Column:
+    """An age in whole seconds, minutes, hours or days."""
+    unit = lambda size, sign: F.concat(F.floor(seconds / size).cast("string"), F.lit(sign))
+    return F.when(seconds < 60, unit(1, "s")).when(seconds < 3600, unit(60, "m")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
 def freshness(repos: DataFrame, now: Column, stale_hours: int = 24) -> DataFrame:
     """Age of each repository's index in whole hours, and whether it is stale; unknown times have neither."""
-    hours = F.floor((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("last_indexed_at").cast("timestamp"))) / 3600)
-    return repos.select("repo_id", hours.alias("age_hours"), (hours > stale_hours).alias("is_stale"))
+    seconds = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("last_indexed_at").cast("timestamp"))
+    hours = F.floor(seconds / 3600)
+    return repos.select("repo_id", hours.alias("age_hours"), age_text(seconds).alias("age"), (hours > stale_hours).alias("is_stale"))

@@ -48,6 +48,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, seed_seen: bool = True
     seen = visited if seed_seen else visited.limit(0)
     if stop is not None:
         edges = edges.join(stop.select(F.col("node").alias("dst")), "dst", "left_anti")
+    edges = checkpointed(edges.select("src", "dst").distinct())  # made once, met by every round
     for step in range(1, depth + 1):
         nxt = frontier.join(edges.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node")).distinct()
         if lift is not None:
@@ -70,7 +71,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     A walk of least length visits every node at that node's least depth, so counts add up
     over the pruned frontier just as rows multiply in a recursive UNION ALL.
     """
-    weighted = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
+    weighted = checkpointed(edges.groupBy("src", "dst").agg(F.count("*").alias("w")))
     frontier = checkpointed(seeds.select("node").distinct().withColumn("n_paths", F.lit(1).cast("long")))
     out = frontier.withColumn("depth", F.lit(0)).limit(0)
     for step in range(1, depth + 1):

@@ -103,6 +103,14 @@ def blast_radius(spark, d):
     return R.blast_radius(files, symbols, G.reach(G.reverse(edges), seeds, 3, seed_seen=False))
 
 
+def blast_radius_top(spark, d):
+    return R.blast_top(blast_radius(spark, d))
+
+
+def find_in_path(spark, d):
+    return C.find(symbols_of(spark, d), files_of(spark, d), "find*", kind="method", path="app/", limit=50)
+
+
 def climb_usage(spark, d):
     edges = _edges(spark, d)
     lift = symbols_of(spark, d).filter("parent_symbol_id is not null").select(F.col("symbol_id").alias("node"), F.col("parent_symbol_id").alias("parent"))
@@ -224,11 +232,11 @@ def enclosing_symbol(spark, d):
 
 
 def search_content(spark, d):
-    return L.search_content(L.file_lines(read_spread(spark, d, "files"), unique=False), "snapshot")
+    return L.search_content(L.file_lines(L.files_with(read_spread(spark, d, "files"), "snapshot"), unique=False), "snapshot")
 
 
 def line_write_context(spark, d):
-    return L.write_context(L.file_lines(read_spread(spark, d, "files")), "payload")
+    return L.write_context(L.file_lines(L.files_with(read_spread(spark, d, "files"), "payload")), "payload")
 
 
 def block_segments(spark, d):
@@ -346,6 +354,11 @@ def route_pairs(spark, d):
     return C.route_pairs(folders, 3)
 
 
+def route_families(spark, d):
+    """Pairs of nested and flat classes below the folder ``app``."""
+    return C.family_pairs(C.route_families(symbols_of(spark, d), files_of(spark, d), "app"))
+
+
 def changeset(spark, d):
     files = files_of(spark, d)
     cut = F.lit("2025-07-01").cast("timestamp_ntz")
@@ -447,10 +460,10 @@ def upstream_touchpoints(spark, d):
 
 
 _ALL = (
-    sql_validate, sql_validate_replayed, table_cards, table_cards_replayed, table_graph_edges, find_table, test_targets, planned_layers, upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols_all, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables_all, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, deps_tree, flow_tree, flow_calls, blast_radius, climb_usage, top_level_container,
+    sql_validate, sql_validate_replayed, table_cards, table_cards_replayed, table_graph_edges, find_table, test_targets, planned_layers, upstream_touchpoints, body_previews, symbol_card, table_usage, column_mentions, literal_sql_tables, seed_dedup, context_requirements, php_symbols_all, php_symbols, php_references, ddl_columns, ddl_keys, ddl_tables_all, ddl_tables, sql_file_statements, resolve, dependents_direct, dependents_min_depth, dependents_paths, deps_forward, deps_tree, flow_tree, flow_calls, blast_radius, blast_radius_top, find_in_path, climb_usage, top_level_container,
     exception_summary, fk_graph_bfs, schema_counts, table_summary, table_search, fk_join_check, line_counts, enclosing_symbol, search_content,
     line_write_context, block_segments, comment_lines, table_refs, table_refs_sql, status, unresolved_categories, source_labels, namespace_prefixes, module_stats,
     module_table, module_dependencies, layer_violations, external_namespaces, kind_counts, interface_adoption, naming_ratios, freshness,
-    compare_members, missing_everywhere, find_symbols, suggest_symbols, name_tokens, tested_areas, route_pairs, changeset,
+    compare_members, missing_everywhere, find_symbols, suggest_symbols, name_tokens, tested_areas, route_pairs, route_families, changeset,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -68,6 +68,8 @@ def _rate(n: str, d: str) -> str:
     return f"CASE WHEN {d} <= 0 THEN 0.0 WHEN {n} >= {d} THEN 100.0 ELSE least(99.9, floor(CAST({n} AS DOUBLE) / {d} * 1000 + 0.5) / 10) END"
 
 
+_SECONDS = "(epoch(TIMESTAMP '2026-01-01') - floor(epoch(last_indexed_at)))"
+_AGE = "CASE " + " ".join(f"WHEN {_SECONDS} < {most} THEN CAST(floor({_SECONDS} / {size}) AS BIGINT) || '{sign}'" for most, size, sign in ((60, 1, "s"), (3600, 60, "m"), (86400, 3600, "h"))) + f" ELSE CAST(floor({_SECONDS} / 86400) AS BIGINT) || 'd' END"
 _FORWARD = "SELECT DISTINCT src, dst FROM e"
 _BACK = "SELECT DISTINCT dst AS src, src AS dst FROM e"
 
@@ -159,7 +161,7 @@ FROM s JOIN f USING (file_id) WHERE kind = 'class' GROUP BY 1""",
     "naming_ratios": _BASE
     + f"""SELECT kind, count(*) AS n_symbols, {', '.join(f"round(avg(CASE WHEN regexp_matches(name, '{p}') THEN 1.0 ELSE 0.0 END), 6) AS {n}" for p, n in (('^[A-Z][A-Za-z0-9]*$', 'pascal_case'), ('^[a-z][A-Za-z0-9]*$', 'camel_case'), ('^[a-z][a-z0-9]*(?:_[a-z0-9]+)+$', 'snake_case')))}
 FROM s WHERE name IS NOT NULL GROUP BY 1""",
-    "freshness": "SELECT repo_id, CAST(floor((epoch(TIMESTAMP '2026-01-01') - floor(epoch(last_indexed_at))) / 3600) AS BIGINT) AS age_hours, floor((epoch(TIMESTAMP '2026-01-01') - floor(epoch(last_indexed_at))) / 3600) > 24 AS is_stale FROM repos",
+    "freshness": "SELECT repo_id, CAST(floor((epoch(TIMESTAMP '2026-01-01') - floor(epoch(last_indexed_at))) / 3600) AS BIGINT) AS age_hours, AGE AS age, floor((epoch(TIMESTAMP '2026-01-01') - floor(epoch(last_indexed_at))) / 3600) > 24 AS is_stale FROM repos".replace("AGE", _AGE),
     "find_symbols": _BASE + "SELECT symbol_id, qualified_name, kind FROM s WHERE lower(name) LIKE 'find%ledger' AND qualified_name IS NOT NULL ORDER BY qualified_name, symbol_id LIMIT 50",
     "name_tokens": _BASE
     + f", w AS (SELECT {_WORDS.format('name')} AS w FROM s WHERE name IS NOT NULL) SELECT token, count(*) AS n_symbols FROM (SELECT unnest(list_distinct(list_concat([array_to_string(w, '')], w))) AS token FROM w) GROUP BY 1",
@@ -440,3 +442,11 @@ fl AS (SELECT src, dst, name, reference_kind, line_number FROM al WHERE NOT EXIS
 """
     + _tree("fl", 5, "false")
 )
+
+SQL["blast_radius_top"] = (
+    f"WITH q AS ({SQL['blast_radius']}), t AS (SELECT path, n_symbols, row_number() OVER (ORDER BY n_symbols DESC, path) AS i FROM q)"
+    + "SELECT path, 1::BIGINT AS n_files, n_symbols FROM t WHERE i <= 10 UNION ALL SELECT NULL, count(*), CAST(sum(n_symbols) AS BIGINT) FROM t WHERE i > 10 HAVING count(*) > 0"
+)
+SQL["find_in_path"] = (
+    _BASE + "SELECT qualified_name, kind, path, line_start, line_end FROM s JOIN f USING (file_id) WHERE (lower(name) LIKE 'find%' OR lower(qualified_name) LIKE 'find%') AND qualified_name IS NOT NULL AND kind = 'method' AND contains(lower(path), 'app/') ORDER BY qualified_name, symbol_id LIMIT 50"
+)

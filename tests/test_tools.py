@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from symbolmill.functions import names
 from symbolmill.operators import compare, lines, reports, schema, sqlcheck, testing, traverse, usage
 
 FILES = "file_id long, repo_id long, path string, content string"
@@ -157,3 +158,24 @@ def test_flow_and_dependencies(spark):
     assert reached(forward) == {(1, 0), (2, 1), (4, 1), (5, 1), (3, 2), (11, 2)} and leaves(forward) == {("gone\\x", 2, 1)}
     assert leaves(traverse.tree(owned, spark.createDataFrame([(5,)], "node long"), 1)) == {("gone\\x", 1, 1), ("gone\\y", 1, 1)}
     assert traverse.tree(owned, start.limit(0), 3).count() == 0
+
+
+def test_routes_names_and_reports(spark):
+    paths = ["app/Routes/Root/Companies/CostCenters/Assets.php", "app/Routes/CostCenterAssetsInterface.php", "app/Routes/CostCenterAssets.php", "app/Routes/Jobs/Labors.php", "app/Routes/Labels.php", "app/Other/X.php", "app/Routes/Classes/Entries/Foo_bar.php", "app/Routes/ClassEntryFooBar.php"]
+    files = spark.createDataFrame(list(enumerate(paths)), "file_id long, path string")
+    symbols = spark.createDataFrame([(i, "class", p, None) for i, p in enumerate(paths)] + [(0, "method", "q", "q")], "file_id long, kind string, name string, qualified_name string")
+    families = compare.route_families(symbols, files)
+    assert {r.path for r in families.collect() if r.display_path == "CostCenterAssets"} == {"app/Routes/CostCenterAssetsInterface.php"}
+    assert rows(compare.family_pairs(families)) == {("CostCenters/Assets", "CostCenterAssets"), ("Jobs/Labors", None), ("Classes/Entries/Foo_bar", None)}
+    assert [r[0] for r in spark.createDataFrame([("entries",), ("classes",), ("class",), ("jobs",), ("s",), ("ies",)], "w string").select(names.singular(F.col("w"))).collect()] == ["entry", "classe", "class", "job", "s", "ie"]
+    df = spark.createDataFrame([(["A", '"a"', "b", "B.c", "b.C"], "a.b*(c)")], "n array<string>, t string")
+    assert df.select(names.distinct_names("n")).first()[0] == ["A", "b", "B.c"] and df.select(names.regex_quoted("t")).first()[0] == r"a\.b\*\(c\)"
+    ages = spark.createDataFrame([(5,), (61,), (7200,), (200_000,)], "s long")
+    assert [r[0] for r in ages.select(reports.age_text(F.col("s"))).collect()] == ["5s", "1m", "2h", "2d"]
+    blast = spark.createDataFrame([(f"f{i:02}", 20 - i) for i in range(13)], "path string, n_symbols long")
+    top = reports.blast_top(blast)
+    assert top.count() == 11 and top.filter("path is null").select("n_files", "n_symbols").first() == (3, 10 + 9 + 8)
+    symbols = spark.createDataFrame([(1, 0, "method", "runAll", "A\\B::runAll", 1, 2), (2, 5, "class", "Run", "A\\Run", 1, 9), (3, 0, "method", None, None, 1, 1)], "symbol_id long, file_id long, kind string, name string, qualified_name string, line_start int, line_end int")
+    look = lambda *a, **k: [r.qualified_name for r in compare.find(symbols, files, *a, **k).collect()]
+    assert look("a\\b") == ["A\\B::runAll"] and look("run*") == ["A\\B::runAll", "A\\Run"] and look("run", kind="class") == ["A\\Run"] and look("run", path="OTHER") == ["A\\Run"]
+    assert look("run", limit=0) == ["A\\B::runAll"] and look("nothing") == []
