@@ -1,7 +1,7 @@
 """Structured Streaming forms: change feeds, fresh references, late orphans (S16, problem 2 as a stream).
 
-State is bounded: change feeds keep one row per key (the last change, tombstones for a
-retention), windowed counts and de-duplication are bounded by watermarks.
+Change feeds keep one row per key for good, deleted keys included (a tombstone that was dropped would let a
+late, older change bring its row back); windowed counts and de-duplication are bounded by watermarks.
 """
 
 from __future__ import annotations
@@ -33,18 +33,14 @@ def references_per_window(references: DataFrame, delay: str = "30 days", window:
     )
 
 
-def latest_changes(changes: DataFrame, retention_ms: int = 30 * 86_400_000) -> DataFrame:
+def latest_changes(changes: DataFrame) -> DataFrame:
     """The fold of ``latest_state`` as a stream over (key string, seq long, op string, payload string).
 
     Emits a row whenever the state of a key changes; a change older than the one in
-    state has no effect. A delete stays in state as a tombstone for ``retention_ms`` after it
-    was met; a change older than the delete that arrives later still would set the row again.
+    state has no effect, and a delete stays in state as a tombstone.
     """
 
     def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         best = before = state.get if state.exists else None
         for pdf in frames:
             for row in zip(pdf.seq, pdf.op, pdf.payload, strict=True):
@@ -53,12 +49,10 @@ def latest_changes(changes: DataFrame, retention_ms: int = 30 * 86_400_000) -> D
                     best = new
         if best is not None and best != before:
             state.update(best)
-            if best[1] == "delete":
-                state.setTimeoutDuration(retention_ms)
             yield pd.DataFrame({"key": [key[0]], "seq": [best[0]], "op": [best[1]], "payload": [best[2]]})
 
     schema = "key string, seq long, op string, payload string"
-    return changes.groupBy("key").applyInPandasWithState(fold, schema, "seq long, op string, payload string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return changes.groupBy("key").applyInPandasWithState(fold, schema, "seq long, op string, payload string", "update", GroupStateTimeout.NoTimeout)
 
 
 def merge_into(folder: str, keys: list[str], order: str):  # noqa: ANN201
