@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from symbolmill.functions.names import schema_name
 from symbolmill.operators.lines import enclosing, sql_lines
+from symbolmill.session import checkpointed
 
 #: What binds a table, what names a column, words that are no aliases, and what makes a table the primary one.
 TABLE_NAME = r"(?:[\"'`])?((?:[A-Za-z0-9_]+\.)?[A-Za-z0-9_]+)(?:[\"'`])?(?:\s+(?:as\s+)?([A-Za-z_][A-Za-z0-9_]*))?"
@@ -72,7 +73,7 @@ def validate(lines: DataFrame, tables: DataFrame, columns: DataFrame, keys: Data
     table_name, column_name); ``keys``: (repo_id, source_table, source_columns, target_table, target_columns).
     kind is missing_table, unresolved_alias, verified_column, missing_column, verified_join or missing_fk.
     """
-    rows = sql_lines(lines)
+    rows = checkpointed(sql_lines(lines))  # met by every check below
     known = tables.filter("repo_id is not null and table_name is not null").select("repo_id", "table_name").distinct()
     cols = columns.select("repo_id", "table_name", F.lower("column_name").alias("column_name")).distinct()
     bound = _tables_bound(rows, known)

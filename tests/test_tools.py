@@ -167,7 +167,7 @@ def test_routes_names_and_reports(spark):
     families = compare.route_families(symbols, files)
     assert {r.path for r in families.collect() if r.display_path == "CostCenterAssets"} == {"app/Routes/CostCenterAssetsInterface.php"}
     assert rows(compare.family_pairs(families)) == {("CostCenters/Assets", "CostCenterAssets"), ("Jobs/Labors", None), ("Classes/Entries/Foo_bar", None)}
-    assert [r[0] for r in spark.createDataFrame([("entries",), ("classes",), ("class",), ("jobs",), ("s",), ("ies",)], "w string").select(names.singular(F.col("w"))).collect()] == ["entry", "classe", "class", "job", "s", "ie"]
+    assert [r[0] for r in spark.createDataFrame([("entries",), ("classes",), ("class",), ("jobs",), ("s",), ("ies",)], "w string").select(names.singular(F.col("w"))).collect()] == ["entry", "classes", "class", "job", "s", "ie"]
     df = spark.createDataFrame([(["A", '"a"', "b", "B.c", "b.C"], "a.b*(c)")], "n array<string>, t string")
     assert df.select(names.distinct_names("n")).first()[0] == ["A", "b", "B.c"] and df.select(names.regex_quoted("t")).first()[0] == r"a\.b\*\(c\)"
     ages = spark.createDataFrame([(5,), (61,), (7200,), (200_000,)], "s long")
