@@ -23,7 +23,7 @@ from symbolmill.functions.names import as_column
 #: Words that say nothing of a file, endings of file names, what hints are worth, the least score.
 GENERIC_TOKENS = (
     "test tests spec specs src app php interface controller route builder model entity repository service handler page report factory manager provider "
-    "resource module restapi rest api application integration feature unit simpro data object dataobject"
+    "resource module restapi rest api application integration feature unit data object dataobject"
 ).split()
 STRUCTURAL_SUFFIXES = (
     "Interface Controller Route Builder Model Entity Repository Service Handler Page Report Factory Manager Provider Resource Resolver Action Module "
