@@ -1,8 +1,10 @@
 import random
 
 import duckdb
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from symbolmill.llm import tokens
 from symbolmill.llm.tokens import TOKENIZERS, VOCABULARY, _PATTERN, count_tokens, encode_documents, encoded_words, merge_replay, slice_words, sliced, words_of
 
 SCHEMA = "doc_id long, text string, ids string"
@@ -57,3 +59,36 @@ def test_a_word_of_the_corpus_is_encoded_in_one_partition(spark):
     parts = coded.withColumn("p", F.spark_partition_id()).groupBy("word").agg(F.countDistinct("p").alias("n"), F.countDistinct("ids").alias("m"))
     assert parts.filter("n > 1 or m > 1").count() == 0
     assert coded.count() == words.distinct().count()
+
+
+class Direct:
+    """Stands for a DataFrame: hands back what would run over its batches."""
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_text_that_comes_again_is_not_split_again(monkeypatch):
+    rnd, split = random.Random(2), []
+    pool = [" The", " plan's", " foo(bar);", "\n    return", " \u0441\u043b\u043e\u0432\u043e", " \u20ac12.50", "\t\t}", "  12345"]
+    texts = ["".join(rnd.choice(pool) for _ in range(300)) for _ in range(200)] + [None, ""]
+    expected = {w for t in texts if t for w in _PATTERN.findall(t)}
+    monkeypatch.setattr(tokens, "words_of", lambda t: split.append(len(t)) or words_of(t))
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * len(texts), pa.int64()), pa.array(texts)], ["slice", "text"])
+    out = pa.Table.from_batches(slice_words(Direct())(iter([batch])))
+    assert set(out["word"].to_pylist()) == expected and set(out["slice"].to_pylist()) == {7} and len(out) == len(expected)
+    assert sum(split) < sum(len(t or "") for t in texts) / 100
+
+
+def test_pieces_have_the_words_of_their_texts():
+    rnd = random.Random(3)
+    blanks = [" ", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", *map(chr, (0x1680, 0x2000, 0x2003, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
+    signs = ["a", "B", "1", "?", "'s", "'re", *map(chr, (0xC9, 0xDF, 0xE0, 0x81, 0x301, 0x44B, 0x200B, 0x2019, 0x180E, 0xFEFF, 0x6570, 0x10400, 0x1F469))]
+    for _ in range(300):
+        texts = ["".join(rnd.choice(rnd.choice((blanks, signs))) for _ in range(rnd.randrange(14))) for _ in range(30)] + [None, "", None]
+        pieces, bounds = tokens.pieces_of(pa.array(["cut off", *texts, "cut off"])[1:-1])
+        words, firsts = tokens.words_of_pieces(pieces.dictionary)
+        order = pieces.indices.to_pylist()
+        got = [[w for k in order[a:z] for w in words[firsts[k] : firsts[k + 1]]] for a, z in zip(bounds, bounds[1:], strict=False)]
+        assert got == [_PATTERN.findall(t or "") for t in texts]
+    assert tokens.pieces_of(pa.array([], pa.string()))[1].tolist() == [0] and tokens.words_of_pieces(pa.array([], pa.string()))[0] == []
